@@ -127,14 +127,9 @@ def hash_rank(
         F.sum("_n").over(whole).alias("_size"),
     )
     inside = Window.partitionBy(*block).orderBy("_hash", key)
-    out = (
-        hashed.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, block)
-        .withColumn(rank, F.col("_before") + F.col("_row"))
-    )
-    if size:
-        out = out.withColumn(size, F.col("_size"))
-    return out.drop("_hash", "_block", "_row", "_before", "_size")
+    numbered = hashed.withColumn("_row", F.row_number().over(inside)).join(offsets, block)
+    extra = [F.col("_size").alias(size)] if size else []
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_row")).alias(rank), *extra)
 
 
 def running_totals(

@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from dnsflow.functions.text import basic_features
 from dnsflow.operators import alerts as al
+from dnsflow.operators import ablation as ab
 from dnsflow.operators import allowlist, cooldown, datasets, evaluation, lexical, matching, suffix, windows
+from dnsflow.operators.classifier import evaluate_classifier, held_out_families, score_names, train_classifier
+from dnsflow.operators.forest import Forest, train_forest
 from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize
+from dnsflow.plans import detect as dt
+from dnsflow.plans import train as tr
 from dnsflow.queries import tables as t
 from dnsflow.schemas import TUNNELLING, WINDOW_FEATURES
 from dnsflow.sources import events as ev
 from dnsflow.sources import lists, sinks
+from dnsflow.streaming import detect as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -390,3 +396,148 @@ def tool_signatures(spark, sf_dir):
 def bootstrap_sessions(spark, sf_dir):
     pool = t.tunnel_queries(spark, sf_dir).where("label = 0")
     return t.rounded(datasets.bootstrap_sessions(pool, "seq"), *_RATES)
+
+
+# --- models ---
+
+_FIT = {"trees": 10, "depth": 4}    # enough for the test tables; the library default is 200 trees
+_shared: dict[tuple, object] = {}
+
+
+def _once(spark, sf_dir, name, build):
+    """Models and tables that several queries of a session use."""
+    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    if key not in _shared:
+        _shared[key] = build()
+    return _shared[key]
+
+
+def _featurized(spark, sf_dir):
+    return _once(spark, sf_dir, "featurized", lambda: tr.featurized(
+        _labelled(spark, sf_dir), _rules(spark, sf_dir), lexical.lexicon(t.tokens(spark, sf_dir))))
+
+
+def _split(spark, sf_dir):
+    return _once(spark, sf_dir, "split", lambda: materialize(
+        datasets.stratified_split(_featurized(spark, sf_dir), "domain")))
+
+
+def _classifier(spark, sf_dir):
+    return _once(spark, sf_dir, "classifier", lambda: train_classifier(
+        _split(spark, sf_dir).where("not is_test"), **_FIT))
+
+
+def _windows(spark, sf_dir):
+    return _once(spark, sf_dir, "windows", lambda: materialize(
+        windows.window_features(t.threat_events(spark, sf_dir), t.HOUR_US)))
+
+
+def _forest(spark, sf_dir) -> Forest:
+    """Trained on the windows that are long enough to be scored."""
+    return _once(spark, sf_dir, "forest", lambda: train_forest(
+        _windows(spark, sf_dir).where(F.col("query_rate") >= 3), "seq"))
+
+
+def detector(spark, sf_dir) -> dt.Detector:
+    rules = _once(spark, sf_dir, "rules", lambda: _rules(spark, sf_dir))
+    return dt.Detector(
+        rules, _once(spark, sf_dir, "lexicon", lambda: lexical.lexicon(t.tokens(spark, sf_dir))),
+        _classifier(spark, sf_dir), _forest(spark, sf_dir),
+        allowlist=_once(spark, sf_dir, "allowed", lambda: allowlist.popular_domains(
+            t.popular_hosts(spark, sf_dir), rules)),
+        cooldown_us=24 * t.HOUR_US, min_queries=3, bucket_us=t.HOUR_US)
+
+
+@query
+def classifier_scores(spark, sf_dir):
+    test = _split(spark, sf_dir).where("is_test")
+    return score_names(_classifier(spark, sf_dir), test).select("domain", "label", "family", "prob")
+
+
+@query
+def classifier_metrics(spark, sf_dir):
+    return evaluate_classifier(_classifier(spark, sf_dir), _split(spark, sf_dir).where("is_test"))
+
+
+@query
+def family_holdout(spark, sf_dir):
+    """Each fourth of the families held out: families are folded so that four fits cover them all."""
+    folded = _featurized(spark, sf_dir).withColumn("family", F.when(
+        F.col("label") == 1, F.concat(F.lit("fold"), F.pmod(F.xxhash64("family"), F.lit(4)))).otherwise(F.col("family")))
+    return held_out_families(materialize(folded), trees=5, depth=3)
+
+
+@query
+def forest_scores(spark, sf_dir):
+    return _forest(spark, sf_dir).score(_windows(spark, sf_dir)).select("seq", "src_ip", "decision")
+
+
+@query
+def forest_flags(spark, sf_dir):
+    """Windows with enough queries by flag."""
+    enough = _windows(spark, sf_dir).where(F.col("query_rate") >= 3)
+    scored = _forest(spark, sf_dir).score(enough)
+    return scored.groupBy((F.col("decision") < 0).alias("flagged")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("query_rate").alias("mean_rate"))
+
+
+def _session_forest(spark, sf_dir):
+    """Sessions of the five tools, bootstrap sessions, and a forest trained on the latter."""
+    def build():
+        sessions = materialize(_sessions(spark, sf_dir))
+        pool = t.tunnel_queries(spark, sf_dir).where("label = 0")
+        realistic = materialize(datasets.bootstrap_sessions(pool, "seq"))
+        return sessions, realistic, train_forest(realistic, "session")
+    return _once(spark, sf_dir, "session_forest", build)
+
+
+@query
+def holdout_report(spark, sf_dir):
+    """Detector trained on realistic normal sessions, judged on them and the tunnel sessions."""
+    sessions, realistic, forest = _session_forest(spark, sf_dir)
+    return tr.evaluate_forest(tr.realistic_holdout(realistic, sessions), forest)["report"]
+
+
+@query
+def holdout_per_tool(spark, sf_dir):
+    sessions, realistic, forest = _session_forest(spark, sf_dir)
+    return tr.evaluate_forest(tr.realistic_holdout(realistic, sessions), forest)["per_tool"]
+
+
+@query
+def feature_ablation(spark, sf_dir):
+    """False-positive rate of fixed normal sessions with each feature set to the training median."""
+    sessions, realistic, forest = _session_forest(spark, sf_dir)
+    return ab.false_positive_rates(sessions.where("label = 'normal'"), forest, ab.median_replacements(realistic, forest))
+
+
+@query
+def counterfactual(spark, sf_dir):
+    """The same with a realistic number of distinct names, and the verdict."""
+    sessions, _, forest = _session_forest(spark, sf_dir)
+    rates = ab.false_positive_rates(sessions.where("label = 'normal'"), forest, ab.revisit_replacement("session"))
+    rate = lambda v: F.max(F.when(F.col("variant") == v, F.col("fp_rate")))
+    return rates.agg(rate("baseline").alias("baseline_fp_rate"), rate("unique_subdomains").alias("revisit_fp_rate")).select(
+        "*", evaluation.verdict(F.col("baseline_fp_rate"), F.col("revisit_fp_rate")).alias("verdict"))
+
+
+# --- detection ---
+
+_ALERT = ("timestamp", "flow_id", "threat_class", "severity", "confidence")
+
+
+@query
+def detect_batch(spark, sf_dir):
+    alerts = dt.detect(t.threat_events(spark, sf_dir), detector(spark, sf_dir))
+    return alerts.select("seq", *_ALERT).orderBy("timestamp", "seq", "threat_class")
+
+
+@query
+def detect_stream(spark, sf_dir):
+    """The same events as JSON lines through the streaming path."""
+    base = f"{checkpoint_folder(spark)}/dnsflow/stream-{uuid.uuid4().hex}"
+    lines = t.threat_events(spark, sf_dir).select(
+        F.to_json(F.struct("seq", "ts", "src_ip", "domain", "qtype", "length", "nxdomain")).alias("value"))
+    lines.write.text(f"{base}/in")
+    folders = streaming.detect_stream(spark, f"{base}/in", base, detector(spark, sf_dir))
+    return sinks.read_alerts(spark, folders.alerts).select(*_ALERT)

@@ -34,6 +34,14 @@ def dns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("domain").cast("double").alias("length"), "nxdomain", "ts_us", "value")
 
 
+def threat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, where failing queries ask for random-looking names."""
+    random_name = F.concat(F.substring(F.md5(F.col("seq").cast("string")), 1, 12), F.lit(".net"))
+    domain = F.when(F.col("nxdomain"), random_name).otherwise(F.col("domain"))
+    return dns_events(spark, sf_dir).withColumn("domain", domain).withColumn(
+        "length", F.char_length("domain").cast("double"))
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON log lines of all events, some with seeded defects, and all conversation texts as raw lines."""
     e = dns_events(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from dnsflow.schemas import ALERT
 
@@ -19,9 +20,21 @@ def write_report(metrics: DataFrame, path: str, mode: str = "overwrite", format:
     metrics.write.mode(mode).format(format).save(path)
 
 
-def count_run(checked: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
-    """Count accepted and rejected lines while ``checked`` is consumed."""
-    seen = Observation(name)
+def count_run(checked: DataFrame, counters: Observation | str = "ingest") -> DataFrame:
+    """Count accepted and rejected lines while ``checked`` is consumed.
+
+    A batch run reads them from an ``Observation``, a stream from its progress under a name.
+    """
     return checked.observe(
-        seen, F.count(F.lit(1)).alias("lines"), F.count("reason").alias("rejected"),
-        F.count(F.when(F.col("reason").isNull(), 1)).alias("events")), seen
+        counters, F.count(F.lit(1)).alias("lines"), F.count("reason").alias("rejected"),
+        F.count(F.when(F.col("reason").isNull(), 1)).alias("events"))
+
+
+def stream_counts(running: StreamingQuery, name: str = "ingest") -> dict[str, int]:
+    """Counters of a stream summed over its recent micro-batches."""
+    total: dict[str, int] = {}
+    for progress in running.recentProgress:
+        row = progress.observedMetrics.get(name)
+        for key, value in (row.asDict() if row else {}).items():
+            total[key] = total.get(key, 0) + value
+    return total

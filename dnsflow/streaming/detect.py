@@ -6,14 +6,15 @@ keyed state. Raw alerts land in a table. The second applies the cooldown and fee
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from dnsflow.plans.detect import Detector, name_alerts, window_alerts
 from dnsflow.sources.events import accepted, check_events, rejected, stream_lines
-from dnsflow.sources.sinks import count_run
+from dnsflow.sources.sinks import count_run, stream_counts
 from dnsflow.streaming.cooldown import cooldown_stream
 from dnsflow.streaming.windows import window_features_stream
 
@@ -22,12 +23,25 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @dataclass
 class Folders:
-    """Where a run keeps its tables and checkpoints."""
+    """Where a run keeps its tables and checkpoints, and the line counts of its last call."""
 
     base: str
+    run_counts: dict[str, int] = field(default_factory=dict)
 
-    def __getattr__(self, name: str) -> str:
-        return f"{self.base}/{name}"
+    @property
+    def rejects(self) -> str:
+        return f"{self.base}/rejects"
+
+    @property
+    def raw(self) -> str:
+        return f"{self.base}/raw"
+
+    @property
+    def alerts(self) -> str:
+        return f"{self.base}/alerts"
+
+    def checkpoint(self, query: str) -> str:
+        return f"{self.base}/checkpoint/{query}"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -41,11 +55,17 @@ def _append_batch(path: str):
     return write
 
 
+def _events(spark: SparkSession, source: str, **options: str) -> DataFrame:
+    """Clean events; lines without an arrival number are told apart by their hash."""
+    checked = check_events(stream_lines(spark, source, **options))
+    return accepted(checked.withColumn("event_seq", F.coalesce("event_seq", F.xxhash64("value"))))
+
+
 def start_quarantine(spark: SparkSession, source: str, folders: Folders, **options: str) -> StreamingQuery:
     """Bad lines with their reason; accepted and rejected lines are observed as ``ingest``."""
-    checked, _ = count_run(check_events(stream_lines(spark, source, **options)))
+    checked = count_run(check_events(stream_lines(spark, source, **options)))
     return rejected(checked).writeStream.foreachBatch(_append_batch(folders.rejects)).option(
-        "checkpointLocation", folders.checkpoint_rejects).trigger(availableNow=True).start()
+        "checkpointLocation", folders.checkpoint("rejects")).trigger(availableNow=True).start()
 
 
 def start_names(spark: SparkSession, source: str, folders: Folders, detector: Detector, **options: str) -> StreamingQuery:
@@ -53,18 +73,16 @@ def start_names(spark: SparkSession, source: str, folders: Folders, detector: De
     write = _append_batch(f"{folders.raw}/detector=names")
     def score(df: DataFrame, batch: int) -> None:
         write(name_alerts(df, detector), batch)
-    events = accepted(check_events(stream_lines(spark, source, **options)))
-    return events.writeStream.foreachBatch(score).option(
-        "checkpointLocation", folders.checkpoint_names).trigger(availableNow=True).start()
+    return _events(spark, source, **options).writeStream.foreachBatch(score).option(
+        "checkpointLocation", folders.checkpoint("names")).trigger(availableNow=True).start()
 
 
 def start_windows(spark: SparkSession, source: str, folders: Folders, detector: Detector, **options: str) -> StreamingQuery:
     """Raw tunnelling alerts from windows kept as state."""
-    events = accepted(check_events(stream_lines(spark, source, **options)))
-    features = window_features_stream(events, detector.bucket_us, detector.n_buckets)
+    features = window_features_stream(_events(spark, source, **options), detector.bucket_us, detector.n_buckets)
     return window_alerts(features, detector).writeStream.foreachBatch(
         _append_batch(f"{folders.raw}/detector=windows")).option(
-        "checkpointLocation", folders.checkpoint_windows).trigger(availableNow=True).start()
+        "checkpointLocation", folders.checkpoint("windows")).trigger(availableNow=True).start()
 
 
 def start_alerts(spark: SparkSession, folders: Folders, detector: Detector) -> StreamingQuery:
@@ -72,7 +90,7 @@ def start_alerts(spark: SparkSession, folders: Folders, detector: Detector) -> S
     schema = spark.read.parquet(f"{folders.raw}/detector=*/batch=*").schema
     raw = spark.readStream.schema(schema).parquet(f"{folders.raw}/detector=*/batch=*")
     return cooldown_stream(raw, detector.cooldown_us).writeStream.format("json").outputMode("append").option(
-        "path", folders.alerts).option("checkpointLocation", folders.checkpoint_alerts).trigger(availableNow=True).start()
+        "path", folders.alerts).option("checkpointLocation", folders.checkpoint("alerts")).trigger(availableNow=True).start()
 
 
 def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, **options: str) -> Folders:
@@ -87,5 +105,6 @@ def detect_stream(spark: SparkSession, source: str, base: str, detector: Detecto
              start_windows(spark, source, folders, detector, **options)]
     for running in first:
         running.awaitTermination()
+    folders.run_counts = stream_counts(first[0])
     start_alerts(spark, folders, detector).awaitTermination()
     return folders

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from dnsflow.functions.text import value_entropy
 from dnsflow.operators.windows import BUCKET_US, N_BUCKETS, SKETCH_LG_K
 
 FEATURE_SCHEMA = T.StructType([
@@ -34,38 +33,42 @@ def hopping_stream(
 ) -> DataFrame:
     """Features of each window when the watermark passes its end.
 
-    Partial aggregation runs before the shuffle, so a busy source sends one row per task and
-    window. ``sketch`` replaces the exact set of names by a HyperLogLog estimate.
+    Queries are first counted per window, source and record type, and per window, source and
+    name; a second aggregation adds these up. Both combine before the shuffle and hold counters
+    only, so a busy source is spread over its types and names. ``sketch`` replaces the count of
+    names by a HyperLogLog estimate with bounded state.
     """
-    span = f"{bucket_us * n_buckets} microseconds"
+    window = F.window("event_time", f"{bucket_us * n_buckets} microseconds", f"{bucket_us} microseconds")
+    timed = with_event_time(events, delay)
+    count = F.count(F.lit(1))
+    of_type = lambda q: F.when(F.col("qtype") == q, F.col("n")).otherwise(F.lit(0))
+    sketched = F.hll_sketch_agg("domain", F.lit(SKETCH_LG_K)) if sketch else F.lit(None).cast("binary")
+    by_type = timed.groupBy(window, "src_ip", "qtype").agg(
+        count.alias("n"), F.sum("length").alias("len"), F.count(F.when(F.col("nxdomain"), 1)).alias("nx"),
+        sketched.alias("sketch"),
+    ).select(
+        "window", "src_ip", "n", "len", "nx", of_type("TXT").alias("txt"), of_type("A").alias("a"),
+        (F.col("n") * F.log2(F.col("n").cast("double"))).alias("terms"), F.lit(0).cast("long").alias("names"), "sketch")
+    parts = by_type
+    if not sketch:
+        none = F.lit(0).cast("long")
+        by_name = timed.groupBy(window, "src_ip", "domain").agg(count.alias("times")).select(
+            "window", "src_ip", none.alias("n"), F.lit(0.0).alias("len"), none.alias("nx"), none.alias("txt"),
+            none.alias("a"), F.lit(0.0).alias("terms"), F.lit(1).cast("long").alias("names"),
+            F.lit(None).cast("binary").alias("sketch"))
+        parts = by_type.unionByName(by_name)
+    names = F.hll_sketch_estimate(F.hll_union_agg("sketch")) if sketch else F.sum("names")
     n = F.col("n")
-    names = F.hll_sketch_estimate(F.hll_sketch_agg("domain", F.lit(SKETCH_LG_K))) if sketch else F.size(
-        F.collect_set("domain"))
-    # Types are counted per window with one conditional sum each; the rare rest goes to an array.
-    types = ("A", "AAAA", "TXT", "CNAME", "NULL", "MX", "NS", "PTR", "SRV", "SOA")
-    other = F.when(~F.col("qtype").isin(*types), F.col("qtype"))
-    grouped = with_event_time(events, delay).groupBy(
-        F.window("event_time", span, f"{bucket_us} microseconds"), "src_ip").agg(
-        F.count(F.lit(1)).alias("n"), names.cast("double").alias("unique_subdomains"),
-        F.sum("length").alias("len"), F.count(F.when(F.col("nxdomain"), 1)).alias("nx"),
-        *[F.count(F.when(F.col("qtype") == q, 1)).alias(f"q_{q}") for q in types],
-        F.collect_list(other).alias("others"))
-    def part(count):
-        p = count / n
-        return F.when(count > 0, -p * F.log2(p)).otherwise(F.lit(0.0))
-    n_others = F.size("others")
-    share = n_others / n
-    # Entropy of the rest, scaled to its share, plus the share's own term.
-    rest = F.when(n_others > 0, share * value_entropy(F.col("others")) - share * F.log2(share)).otherwise(F.lit(0.0))
-    entropy = rest
-    for q in types:
-        entropy = entropy + part(F.col(f"q_{q}"))
+    summed = parts.groupBy("window", "src_ip").agg(
+        *[F.sum(c).alias(c) for c in ("n", "len", "nx", "txt", "a", "terms")], names.cast("double").alias("names"))
     end = F.unix_micros(F.col("window.end"))
-    return grouped.select(
+    return summed.select(
         "src_ip", (F.floor(end / bucket_us) - 1).cast("long").alias("slide"), n.alias("query_rate"),
-        "unique_subdomains", (F.col("len") / n).alias("avg_query_len"), (F.col("q_TXT") / n).alias("txt_ratio"),
-        (F.col("nx") / n).alias("nxdomain_rate"), ((n - F.col("q_A")) / n).alias("non_a_ratio"),
-        entropy.alias("record_type_entropy"), F.col("window.end").alias("window_end"))
+        F.col("names").alias("unique_subdomains"), (F.col("len") / n).alias("avg_query_len"),
+        (F.col("txt") / n).alias("txt_ratio"), (F.col("nx") / n).alias("nxdomain_rate"),
+        ((n - F.col("a")) / n).alias("non_a_ratio"),
+        F.greatest(F.lit(0.0), F.log2(n.cast("double")) - F.col("terms") / n).alias("record_type_entropy"),
+        F.col("window.end").alias("window_end"))
 
 
 class _WindowState(StatefulProcessor):

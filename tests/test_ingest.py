@@ -108,3 +108,12 @@ def test_list_files(spark, tmp_path):
     (tmp_path / "3_mirai_v2_dga.csv").write_text("domain,seen\nq.com,1\n")
     got = {(r["domain"], r["family"]) for r in read_family_domains(spark, str(tmp_path / "*_dga.csv")).collect()}
     assert got == {("ab.com", "zeus"), ("y.org", "zeus"), ("q.com", "mirai_v2")}
+
+
+def test_run_counters(checked):
+    from pyspark.sql import Observation
+
+    from dnsflow.sources.sinks import count_run
+    seen = Observation("run")
+    count_run(checked, seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"lines": len(BAD) + len(GOOD), "rejected": len(BAD), "events": len(GOOD)}

@@ -33,43 +33,55 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.concat(*[F.concat(F.char_length(c).cast("string"), F.lit(":"), F.col(c)) for c in columns])
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive rows with the same (key, chunk); a run may continue in the next batch."""
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        key, chunk = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
-        edges = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-        for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(pdf)]):
-            yield (key[lo], chunk[lo]), pdf.iloc[lo:hi]
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
+    """Consecutive rows with the same (key, chunk): ``(group, from, to)``."""
+    key, chunk = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
+    edges = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+    bounds = [0, *edges.tolist(), len(pdf)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        yield (key[lo], int(chunk[lo])), lo, hi
 
 
 def _exits(cooldown_us: int):
     """Pass 1: (first emission at ``start``) -> ``free`` again, per chunk."""
-    def table(group: tuple, start: np.ndarray, free: np.ndarray) -> pd.DataFrame:
-        last = np.r_[free[1:] != free[:-1], True]   # equal exits: the latest start stands for all
-        return pd.DataFrame({"key": group[0], "chunk": group[1], "start": start[last], "free": free[last]})
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start, free = None, None, None
-        for group, pdf in _runs(batches):
-            if group != current:
-                if current is not None:
-                    yield table(current, start, free)
-                current, start, free = group, np.empty(0, np.int64), np.empty(0, np.int64)
-            t = pdf["ts_us"].to_numpy()
-            first_cooldown = (group[1] * CHUNK_COOLDOWNS + 1) * cooldown_us
-            n = int(np.searchsorted(t, first_cooldown))
-            if n < len(t) and not (len(start) and start[-1] >= first_cooldown):
-                n += 1   # the first alert after it serves chains that skip all of the first cooldown
-            start, free = np.r_[start, t[:n]], np.r_[free, t[:n]]
-            while len(free) and (due := free <= t[-1]).any():
-                free[due] = t[np.searchsorted(t, free[due])] + cooldown_us
+        current, start, free = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            times, done = pdf["ts_us"].to_numpy(), []
+            for group, lo, hi in _runs(pdf):   # the last run may go on in the next batch
+                if group != current:
+                    if current is not None:
+                        done.append((current, start, free))
+                    current, start, free = group, np.empty(0, np.int64), np.empty(0, np.int64)
+                t = times[lo:hi]
+                first_cooldown = (group[1] * CHUNK_COOLDOWNS + 1) * cooldown_us
+                n = int(t.searchsorted(first_cooldown))
+                if n < len(t) and not (len(start) and start[-1] >= first_cooldown):
+                    n += 1   # the first alert after it serves chains that skip all of the first cooldown
+                if n:
+                    start, free = np.concatenate([start, t[:n]]), np.concatenate([free, t[:n]])
+                while len(free) and (due := free <= t[-1]).any():
+                    free[due] = t[t.searchsorted(free[due])] + cooldown_us
+            yield _table(done)
         if current is not None:
-            yield table(current, start, free)
+            yield _table([(current, start, free)])
     return run
 
 
+def _table(done: list[tuple]) -> pd.DataFrame:
+    """Exit tables of finished chunks; of adjacent equal exits the latest start stands for all."""
+    sizes = [len(start) for _, start, _ in done]
+    column = lambda values, dtype: np.concatenate([np.empty(0, dtype), *values])
+    out = pd.DataFrame({
+        "key": np.repeat(np.array([g[0] for g, _, _ in done], object), sizes),
+        "chunk": np.repeat(np.array([g[1] for g, _, _ in done], np.int64), sizes),
+        "start": column([s for _, s, _ in done], np.int64), "free": column([f for _, _, f in done], np.int64)})
+    later = out.shift(-1)
+    return out[(out["key"] != later["key"]) | (out["chunk"] != later["chunk"]) | (out["free"] != later["free"])]
+
+
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pass 2: when each chunk's flow is free at entry."""
     key, chunk, free, settled = None, None, _FREE, False
@@ -90,15 +102,18 @@ def _emit(cooldown_us: int):
     """Pass 3: alerts emitted by each chunk from its entry state."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, free = None, _FREE
-        for group, pdf in _runs(batches):
-            if group != current:
-                current, free = group, int(pdf["free"].iloc[0])
-            t, kept = pdf["ts_us"].to_numpy(), []
-            while (i := int(np.searchsorted(t, free))) < len(t):
-                kept.append(i)
-                free = int(t[i]) + cooldown_us
-            if kept:
-                yield pdf.iloc[kept][["key", "ts_us", "seq"]]
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            times, entry, kept = pdf["ts_us"].to_numpy(), pdf["free"].to_numpy(), []
+            for group, lo, hi in _runs(pdf):
+                if group != current:
+                    current, free = group, int(entry[lo])
+                t = times[lo:hi]
+                while (i := int(t.searchsorted(free))) < len(t):
+                    kept.append(lo + i)
+                    free = int(t[i]) + cooldown_us
+            yield pdf.iloc[kept][["key", "ts_us", "seq"]]
     return run
 
 

@@ -10,6 +10,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Small tables: keep all cores busy in stages that multiply rows after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -22,76 +22,73 @@ def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.readStream.options(**options).text(path)
 
 
-def _field(name: str) -> Column:
-    return F.expr(f"try_variant_get(event, '$.{name}', 'variant')")
+_FIELDS = (*REQUIRED_FIELDS, "nxdomain", "seq")
 
 
-def _kind(value: Column) -> Column:
-    """Python's name of a JSON value's type."""
-    schema = F.schema_of_variant(value)
+def _kind(name: str) -> Column:
+    """Python's name of a JSON value's type; null where the field is absent."""
+    schema = F.col(f"s_{name}")
     return (
-        F.when(schema == "VOID", "NoneType").when(schema == "BOOLEAN", "bool").when(schema == "STRING", "str")
-        .when(schema == "BIGINT", "int").when(schema.startswith("OBJECT"), "dict")
-        .when(schema.startswith("ARRAY"), "list").otherwise("float"))
+        F.when(schema == "STRING", "str").when(schema == "BIGINT", "int").when(schema == "BOOLEAN", "bool")
+        .when(schema == "VOID", "NoneType").when(schema.startswith("OBJECT"), "dict")
+        .when(schema.startswith("ARRAY"), "list").when(schema.isNotNull(), "float"))
 
 
-def _text(name: str) -> Column:
-    return F.expr(f"try_variant_get(event, '$.{name}', 'string')")
-
-
-def _number(name: str) -> Column:
-    return F.expr(f"try_variant_get(event, '$.{name}', 'double')")
-
-
-def _is_number(name: str) -> Column:
-    return F.col(f"k_{name}").isin("int", "float")
-
-
-def _shown(name: str) -> Column:
-    return F.to_json(_field(name))
+def _as(name: str, type_: str) -> Column:
+    return F.expr(f"try_cast(f_{name} as {type_})")
 
 
 def check_events(lines: DataFrame) -> DataFrame:
     """Parse non-blank lines; ``reason`` is null for valid events and the first failure otherwise.
 
     Types are those of the raw JSON value, so ``"12"`` is not a number and ``true`` is neither.
+    Every field is extracted, typed and cast once, in steps that the checks then share.
     """
-    parsed = lines.where(F.col("value").rlike(_VISIBLE)).withColumn("event", F.expr("try_parse_json(value)"))
-    kinds = parsed.withColumn("k_event", _kind(F.col("event")))
-    for name in (*REQUIRED_FIELDS, "nxdomain"):
-        kinds = kinds.withColumn(f"k_{name}", F.when(_field(name).isNotNull(), _kind(_field(name))))
+    names = ("event", *_FIELDS)
+    text, number = ("src_ip", "domain", "qtype"), ("ts", "length")
+    parsed = lines.where(F.col("value").rlike(_VISIBLE)).withColumn("f_event", F.expr("try_parse_json(value)"))
+    parts = parsed.withColumns({f"f_{n}": F.expr(f"try_variant_get(f_event, '$.{n}', 'variant')") for n in _FIELDS})
+    typed = parts.withColumns({
+        **{f"s_{n}": F.schema_of_variant(f"f_{n}") for n in names},
+        **{f"v_{n}": _as(n, "string") for n in text}, **{f"v_{n}": _as(n, "double") for n in number},
+        "v_nxdomain": _as("nxdomain", "boolean"), "event_seq": _as("seq", "long")})
+    kinds = typed.withColumns({
+        **{f"k_{n}": _kind(n) for n in names}, "n_domain": F.char_length("v_domain"),
+        **{f"seen_{n}": F.coalesce(F.col(f"v_{n}").rlike(_VISIBLE), F.lit(False)) for n in ("src_ip", "domain")}})
     missing = F.array_join(F.array_compact(F.array(
-        *[F.when(F.col(f"k_{name}").isNull(), name) for name in REQUIRED_FIELDS])), ", ")
-
-    def bad_text(name: str, pattern: str) -> Column:
-        return (F.col(f"k_{name}") != "str") | ~F.coalesce(_text(name).rlike(pattern), F.lit(False))
-
+        *[F.when(F.col(f"f_{n}").isNull(), n) for n in REQUIRED_FIELDS])), ", ")
+    any_missing = F.lit(False)
+    for n in REQUIRED_FIELDS:
+        any_missing = any_missing | F.col(f"f_{n}").isNull()
+    kind, value = (lambda n: F.col(f"k_{n}")), (lambda n: F.col(f"v_{n}"))
+    shown = lambda n: F.to_json(f"f_{n}")
     checks = [
-        (F.col("event").isNull(), F.lit("invalid JSON")),
-        (F.col("k_event") != "dict", F.concat(F.lit("event is not a JSON object: "), F.col("k_event"))),
-        (missing != "", F.concat(F.lit("missing required field(s): "), missing)),
-        (~_is_number("ts"), F.concat(F.lit("ts must be a number, got "), F.col("k_ts"))),
-        (_number("ts") < 0, F.concat(F.lit("ts must be non-negative, got "), _shown("ts"))),
-        (bad_text("src_ip", _VISIBLE), F.concat(F.lit("src_ip must be a non-empty string, got "), _shown("src_ip"))),
-        (bad_text("domain", _VISIBLE), F.concat(F.lit("domain must be a non-empty string, got "), _shown("domain"))),
-        (F.char_length(_text("domain")) > MAX_NAME, F.concat(
-            F.lit("domain exceeds max DNS name length: "), F.char_length(_text("domain")), F.lit(" chars"))),
-        (bad_text("qtype", r"(?s)."), F.concat(F.lit("qtype must be a non-empty string, got "), _shown("qtype"))),
-        (~_is_number("length") | (_number("length") < 0),
-         F.concat(F.lit("length must be a non-negative number, got "), _shown("length"))),
-        (F.coalesce(F.col("k_nxdomain"), F.lit("bool")) != "bool",
-         F.concat(F.lit("nxdomain must be a boolean if present, got "), _shown("nxdomain"))),
+        (F.col("f_event").isNull(), F.lit("invalid JSON")),
+        (kind("event") != "dict", F.concat(F.lit("event is not a JSON object: "), kind("event"))),
+        (any_missing, F.concat(F.lit("missing required field(s): "), missing)),
+        (~kind("ts").isin("int", "float"), F.concat(F.lit("ts must be a number, got "), kind("ts"))),
+        (value("ts") < 0, F.concat(F.lit("ts must be non-negative, got "), shown("ts"))),
+        ((kind("src_ip") != "str") | ~F.col("seen_src_ip"),
+         F.concat(F.lit("src_ip must be a non-empty string, got "), shown("src_ip"))),
+        ((kind("domain") != "str") | ~F.col("seen_domain"),
+         F.concat(F.lit("domain must be a non-empty string, got "), shown("domain"))),
+        (F.col("n_domain") > MAX_NAME, F.concat(
+            F.lit("domain exceeds max DNS name length: "), F.col("n_domain"), F.lit(" chars"))),
+        ((kind("qtype") != "str") | (value("qtype") == ""),
+         F.concat(F.lit("qtype must be a non-empty string, got "), shown("qtype"))),
+        (~kind("length").isin("int", "float") | (value("length") < 0),
+         F.concat(F.lit("length must be a non-negative number, got "), shown("length"))),
+        (F.col("f_nxdomain").isNotNull() & (kind("nxdomain") != "bool"),
+         F.concat(F.lit("nxdomain must be a boolean if present, got "), shown("nxdomain"))),
     ]
     reason = F.lit(None).cast("string")
-    for failed, text in reversed(checks):
-        reason = F.when(failed, text).otherwise(reason)
+    for failed, text_ in reversed(checks):
+        reason = F.when(failed, text_).otherwise(reason)
+    # Generated, so that a filter on it stays above and does not repeat all the parsing.
+    reason = F.explode(F.array(reason))
     return kinds.select(
-        *lines.columns,
-        _number("ts").alias("ts"), _text("src_ip").alias("src_ip"), _text("domain").alias("domain"),
-        _text("qtype").alias("qtype"), _number("length").alias("length"),
-        F.coalesce(F.expr("try_variant_get(event, '$.nxdomain', 'boolean')"), F.lit(False)).alias("nxdomain"),
-        F.expr("try_variant_get(event, '$.seq', 'long')").alias("event_seq"),
-        reason.alias("reason"))
+        *lines.columns, *[value(n).alias(n) for n in (*REQUIRED_FIELDS,)],
+        F.coalesce(value("nxdomain"), F.lit(False)).alias("nxdomain"), "event_seq", reason.alias("reason"))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

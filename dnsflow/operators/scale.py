@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ HOT_ROWS = 1_000_000       # rows of one key from which its rows are salted
 HOT_KEYS = 2_000           # a key outside the 2,000 largest holds < 1/2000 of the rows
 SALTS = 128
 
+T = TypeVar("T")
+
 _local_folder: str | None = None
 
 
@@ -50,6 +54,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def at_once(*steps: Callable[[], T]) -> list[T]:
+    """Run independent driver steps side by side, so that their jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [future.result() for future in [pool.submit(step) for step in steps]]
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dnsflow.operators.scale import lookup_join, materialize, union_all
+from dnsflow.operators.scale import at_once, lookup_join, materialize, union_all
 
 BUCKET_US = 5_000_000
 N_BUCKETS = 12
@@ -26,8 +26,8 @@ PROMOTE_THRESHOLD = 40
 SKETCH_LG_K = 12
 BLOCK_ROWS = 1 << 20       # arrivals per block: bounds the rows one window group can hold
 
-_DECIMAL = "decimal(38,9)"  # exact running sums of the entropy terms: nothing drifts
 _COUNTERS = ("n", "len", "nx", "txt", "a")
+_NANO = 1_000_000_000
 
 
 def with_bucket(events: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
@@ -39,6 +39,13 @@ def _c_log2_c(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
 
+def _whole_and_rest(value: Column, name: str, sign: Column | int = 1) -> list[Column]:
+    """A non-negative double as two integers, so that running sums over any history stay exact."""
+    whole = F.floor(value)
+    rest = F.round((value - whole) * _NANO).cast("long")
+    return [(whole * sign).alias(name), (rest * sign).alias(f"{name}_rest")]
+
+
 def _is(qtype: str, value: Column) -> Column:
     return F.when(F.col("qtype") == qtype, value).otherwise(F.lit(0))
 
@@ -98,65 +105,61 @@ def window_features(
     in_window = Window.partitionBy("src_ip", "qtype").orderBy("bucket").rangeBetween(-span, -1)
     in_bucket = Window.partitionBy("src_ip", "qtype", "bucket").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    types = materialize(bucket_counters(e, ("block",)).withColumn(
-        "held", F.coalesce(F.sum("n").over(in_window), F.lit(0)) + F.coalesce(F.sum("n").over(in_bucket), F.lit(0))))
+    types = bucket_counters(e, ("block",)).withColumn(
+        "held", F.coalesce(F.sum("n").over(in_window), F.lit(0)) + F.coalesce(F.sum("n").over(in_bucket), F.lit(0)))
+    names = name_buckets(e).drop("domain")
+    types, names = at_once(lambda: materialize(types), lambda: materialize(names))
 
     cells = types.groupBy(*cell).agg(
         F.sum("n").alias("n"), F.sum("len").alias("len"), F.sum("nx").alias("nx"),
         F.sum(_is("TXT", F.col("n"))).alias("txt"), F.sum(_is("A", F.col("n"))).alias("a"),
-        F.sum((_c_log2_c(F.col("held") + F.col("n")).cast(_DECIMAL) - _c_log2_c(F.col("held")).cast(_DECIMAL))
-              .cast(_DECIMAL)).cast(_DECIMAL).alias("terms"),
-    )
+        F.sum(_c_log2_c(F.col("held") + F.col("n")) - _c_log2_c(F.col("held"))).alias("terms"))
 
     # Earliest occurrences in the window, as arrivals of the current bucket.
-    names = materialize(name_buckets(e).drop("domain"))
     fresh = names.where(F.col("previous").isNull() | (F.col("previous") < F.col("bucket") - span)).select(
         "src_ip", "bucket", F.expr(f"seq div {block_rows}L").alias("block"), "seq")
+    fresh_cells = fresh.groupBy(*cell).agg(F.count(F.lit(1)).alias("names"))
 
-    # Changes of the window state from one bucket to the next.
-    moves = types.groupBy("src_ip", "qtype", "bucket").agg(F.sum("n").alias("n")).select(
-        "src_ip", "qtype", F.explode(F.array(
-            F.struct((F.col("bucket") + 1).alias("at"), F.col("n").alias("d")),
-            F.struct((F.col("bucket") + n_buckets).alias("at"), (-F.col("n")).alias("d")))).alias("m")
-    ).select("src_ip", "qtype", "m.at", "m.d")
-    so_far = Window.partitionBy("src_ip", "qtype").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
-    term_moves = moves.withColumn("held", F.sum("d").over(so_far)).select(
-        "src_ip", "at",
-        (_c_log2_c(F.col("held")).cast(_DECIMAL) - _c_log2_c(F.col("held") - F.col("d")).cast(_DECIMAL))
-        .cast(_DECIMAL).alias("d_terms"))
+    # What enters the window of the following bucket and leaves it n_buckets later.
+    sign = F.col("sign")
+    type_moves = (
+        types.groupBy("src_ip", "qtype", "bucket")
+        .agg(F.sum("n").alias("n"), F.sum("len").alias("len"), F.sum("nx").alias("nx"))
+        .withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+        .withColumn("at", F.when(sign > 0, F.col("bucket") + 1).otherwise(F.col("bucket") + n_buckets))
+    )
+    so_far = Window.partitionBy("src_ip", "qtype").orderBy("at", "sign").rowsBetween(Window.unboundedPreceding, 0)
+    moved = F.col("n") * sign
+    type_moves = type_moves.withColumn("after", F.sum(moved).over(so_far))
+    after, before = (_whole_and_rest(_c_log2_c(c), "terms") for c in (F.col("after"), F.col("after") - moved))
+    type_moves = type_moves.select(
+        "src_ip", "at", moved.alias("n"), *_whole_and_rest(F.col("len"), "len", sign), (F.col("nx") * sign).alias("nx"),
+        _is("TXT", moved).alias("txt"), _is("A", moved).alias("a"),
+        *[(x - y).alias(name) for x, y, name in zip(after, before, ("terms", "terms_rest"))])
     enters = F.greatest(F.col("bucket") + 1, F.coalesce(F.col("previous") + n_buckets, F.col("bucket") + 1))
     leaves = F.col("bucket") + n_buckets
     name_moves = (
         names.where(enters < leaves)
-        .select("src_ip", F.explode(F.array(
-            F.struct(enters.alias("at"), F.lit(1).cast("long").alias("d")),
-            F.struct(leaves.alias("at"), F.lit(-1).cast("long").alias("d")))).alias("m"))
-        .select("src_ip", F.col("m.at").alias("at"), F.col("m.d").alias("d_names"))
+        .withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+        .select("src_ip", F.when(sign > 0, enters).otherwise(leaves).alias("at"), sign.cast("long").alias("names"))
     )
-    changes = union_all([term_moves, name_moves]).groupBy("src_ip", "at").agg(
-        F.sum("d_terms").cast(_DECIMAL).alias("d_terms"), F.sum("d_names").alias("d_names"))
+    moving = ("n", "len", "len_rest", "nx", "txt", "a", "terms", "terms_rest", "names")
+    changes = union_all([type_moves, name_moves]).groupBy("src_ip", F.col("at").alias("bucket")).agg(
+        *[F.sum(c).alias(f"d_{c}") for c in moving])
 
-    # Totals carried into each block: earlier buckets of the window, then earlier blocks of the bucket.
-    fresh_cells = fresh.groupBy(*cell).agg(F.count(F.lit(1)).alias("names"))
-    state = union_all([
-        cells.withColumn("is_cell", F.lit(True)), fresh_cells, changes.withColumnRenamed("at", "bucket")])
-    by_source = Window.partitionBy("src_ip").orderBy("bucket")
-    earlier_buckets = by_source.rangeBetween(-span, -1)
-    up_to_bucket = by_source.rangeBetween(Window.unboundedPreceding, 0)
+    # Totals carried into each block: the window before the bucket, then earlier blocks of the bucket.
+    state = union_all([cells.withColumn("is_cell", F.lit(True)), fresh_cells, changes])
+    up_to_bucket = Window.partitionBy("src_ip").orderBy("bucket").rangeBetween(Window.unboundedPreceding, 0)
     earlier_blocks = Window.partitionBy("src_ip", "bucket").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    in_cell = (*_COUNTERS, "terms", "names")
     state = state.select(
-        *cell, *_COUNTERS, "names", "terms", "is_cell",
-        *[F.coalesce(F.sum(c).over(earlier_buckets), F.lit(0)).alias(f"w_{c}") for c in _COUNTERS],
-        F.coalesce(F.sum("d_names").over(up_to_bucket), F.lit(0)).alias("w_names"),
-        F.coalesce(F.sum("d_terms").over(up_to_bucket).cast(_DECIMAL), F.lit(0).cast(_DECIMAL)).alias("w_terms"),
-    )
+        *cell, "is_cell", *[F.sum(f"d_{c}").over(up_to_bucket).alias(f"w_{c}") for c in moving],
+        *[F.sum(c).over(earlier_blocks).alias(f"b_{c}") for c in in_cell],
+    ).where(F.col("is_cell")).na.fill(0)
+    rest = lambda c: F.col(f"w_{c}_rest") / _NANO if c in ("len", "terms") else F.lit(0)
     carry = state.select(
-        *cell, "is_cell",
-        *[(F.col(f"w_{c}") + F.coalesce(F.sum(c).over(earlier_blocks), F.lit(0))).alias(c)
-          for c in (*_COUNTERS, "names")],
-        (F.col("w_terms") + F.coalesce(F.sum("terms").over(earlier_blocks), F.lit(0))).cast("double").alias("terms"),
-        F.lit(-1).cast("long").alias("seq"),
-    ).where(F.col("is_cell")).drop("is_cell")
+        *cell, F.lit(-1).cast("long").alias("seq"),
+        *[(F.col(f"w_{c}") + rest(c) + F.col(f"b_{c}")).alias(c) for c in in_cell])
     type_carry = types.select(*cell, "qtype", F.col("held").alias("k"), F.lit(-1).cast("long").alias("seq"))
 
     rows = e.select(

@@ -14,7 +14,7 @@ from dnsflow.operators.classifier import score_names
 from dnsflow.operators.cooldown import COOLDOWN_US, apply_cooldown
 from dnsflow.operators.forest import Forest
 from dnsflow.operators.lexical import label_features
-from dnsflow.operators.scale import lookup_join, materialize
+from dnsflow.operators.scale import at_once, lookup_join, materialize
 from dnsflow.operators.suffix import registrable_names
 from dnsflow.operators.windows import BUCKET_US, N_BUCKETS, window_features
 
@@ -62,13 +62,20 @@ def window_alerts(features: DataFrame, detector: Detector) -> DataFrame:
 
 
 def raw_alerts(events: DataFrame, detector: Detector) -> DataFrame:
-    features = window_features(events, detector.bucket_us, detector.n_buckets)
-    return name_alerts(events, detector).unionByName(window_alerts(features, detector))
+    """Alerts of both detectors, each written once; the detectors run side by side.
+
+    ``events`` is read several times: pass a table, or materialize a parsed log first.
+    """
+    def from_windows() -> DataFrame:
+        return window_alerts(window_features(events, detector.bucket_us, detector.n_buckets), detector)
+    by_name, by_window = at_once(
+        lambda: materialize(name_alerts(events, detector)), lambda: materialize(from_windows()))
+    return by_name.unionByName(by_window)
 
 
 def detect(events: DataFrame, detector: Detector) -> DataFrame:
     """All alerts after the cooldown, with arrival number."""
-    return apply_cooldown(materialize(raw_alerts(events, detector)), detector.cooldown_us)
+    return apply_cooldown(raw_alerts(events, detector), detector.cooldown_us)
 
 
 def in_order(alerts: DataFrame) -> DataFrame:

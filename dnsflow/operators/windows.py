@@ -214,8 +214,11 @@ def features_at(
     events: DataFrame, probes: DataFrame, bucket_us: int = BUCKET_US, n_buckets: int = N_BUCKETS
 ) -> DataFrame:
     """Features of the window that ends at each probe ``(src_ip, ts_us)``; all zero when it is empty."""
-    features = hopping_features(events, bucket_us, n_buckets).withColumnRenamed("slide", "bucket")
-    joined = lookup_join(with_bucket(probes, bucket_us), features, ["src_ip", "bucket"], "left")
+    probes = with_bucket(probes, bucket_us)
+    asked = materialize(probes.select("src_ip", F.col("bucket").alias("slide")).distinct())
+    features = hopping_features(events, bucket_us, n_buckets).join(asked, ["src_ip", "slide"], "left_semi")
+    joined = lookup_join(
+        probes, materialize(features.withColumnRenamed("slide", "bucket")), ["src_ip", "bucket"], "left")
     return joined.na.fill(0).drop("bucket")
 
 

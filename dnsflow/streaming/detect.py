@@ -1,7 +1,7 @@
 """Streaming detection: log files -> alerts, with quarantine and counters.
 
-Two hops. The first scores: names per micro-batch with the batch operators, windows with
-keyed state. Raw alerts land in a table. The second applies the cooldown and feeds the sink.
+Two hops. The first scores names and windows per micro-batch with the batch operators; raw
+alerts land in a table. The second applies the cooldown and feeds the sink.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from dnsflow.operators.scale import materialize
+from dnsflow.operators.windows import window_features
 from dnsflow.plans.detect import Detector, name_alerts, window_alerts
-from dnsflow.sources.events import accepted, check_events, rejected, stream_lines
+from dnsflow.schemas import EVENT
+from dnsflow.sources.events import accepted, check_events, rejected, stream_lines, with_arrival_number
 from dnsflow.sources.sinks import count_run, stream_counts
 from dnsflow.streaming.cooldown import cooldown_stream
-from dnsflow.streaming.windows import window_features_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,6 +38,10 @@ class Folders:
     def raw(self) -> str:
         return f"{self.base}/raw"
 
+    @property
+    def history(self) -> str:
+        return f"{self.base}/history"
+
     @property
     def alerts(self) -> str:
         return f"{self.base}/alerts"
@@ -78,10 +84,31 @@ def start_names(spark: SparkSession, source: str, folders: Folders, detector: De
 
 
 def start_windows(spark: SparkSession, source: str, folders: Folders, detector: Detector, **options: str) -> StreamingQuery:
-    """Raw tunnelling alerts from windows kept as state."""
-    features = window_features_stream(_events(spark, source, **options), detector.bucket_us, detector.n_buckets)
-    return window_alerts(features, detector).writeStream.foreachBatch(
-        _append_batch(f"{folders.raw}/detector=windows")).option(
+    """Raw tunnelling alerts, computed per micro-batch from its events and those still in a window.
+
+    The batch operator splits busy sources; ``window_features_stream`` keeps one task per
+    source instead. Each batch stores the events that later windows can reach, under its own
+    number, so a repeated batch starts from the same state.
+    """
+    write, keep = _append_batch(f"{folders.raw}/detector=windows"), _append_batch(folders.history)
+    reach = detector.bucket_us * detector.n_buckets
+
+    def score(df: DataFrame, batch: int) -> None:
+        columns = EVENT.fieldNames()
+        events = with_arrival_number(df).select(*columns).withColumn("is_new", F.lit(True))
+        if batch > 0:
+            past = df.sparkSession.read.schema(EVENT).parquet(f"{folders.history}/batch={batch - 1}")
+            shift = past.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            events = events.withColumn("seq", F.col("seq") + shift).unionByName(past.withColumn("is_new", F.lit(False)))
+        events = materialize(events)
+        newest = events.agg(F.max("ts_us")).first()[0]
+        first_new = events.where("is_new").agg(F.min("seq")).first()[0]
+        if first_new is not None:
+            features = window_features(events, detector.bucket_us, detector.n_buckets)
+            write(window_alerts(features.where(F.col("seq") >= first_new), detector), batch)
+        keep(events.where(F.col("ts_us") > (newest or 0) - reach).select(*columns), batch)
+
+    return _events(spark, source, **options).writeStream.foreachBatch(score).option(
         "checkpointLocation", folders.checkpoint("windows")).trigger(availableNow=True).start()
 
 

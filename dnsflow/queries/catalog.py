@@ -125,7 +125,8 @@ def bigram_model(spark, sf_dir):
 
 
 def _word_features(spark, sf_dir):
-    return lexical.word_features(t.host_labels(spark, sf_dir), lexical.lexicon(t.tokens(spark, sf_dir)))
+    words = materialize(t.tokens(spark, sf_dir))
+    return lexical.word_features(t.host_labels(spark, sf_dir), lexical.lexicon(words))
 
 
 @query
@@ -136,7 +137,7 @@ def bigram_score(spark, sf_dir):
 @query
 def dictionary_coverage(spark, sf_dir):
     """Coverage by the words of six letters and more, so that not every word covers itself."""
-    words = t.tokens(spark, sf_dir)
+    words = materialize(t.tokens(spark, sf_dir))
     lex = lexical.lexicon(words.where(F.char_length("word") >= 6))
     return t.rounded(lexical.word_features(t.host_labels(spark, sf_dir), lex).select("label", "dict_word_ratio"),
                      "dict_word_ratio")
@@ -145,7 +146,7 @@ def dictionary_coverage(spark, sf_dir):
 @query
 def lexical_features(spark, sf_dir):
     """All eight features per host, through the registrable label."""
-    lex = lexical.lexicon(t.tokens(spark, sf_dir))
+    lex = lexical.lexicon(materialize(t.tokens(spark, sf_dir)))
     out = lexical.domain_features(t.hosts(spark, sf_dir), _rules(spark, sf_dir), lex)
     return t.rounded(out.drop("suffix_length", "registrable_domain"),
                      *[c for c in out.columns if c not in ("domain", "registrable_label")])
@@ -412,9 +413,13 @@ def _once(spark, sf_dir, name, build):
     return _shared[key]
 
 
+def _lexicon(spark, sf_dir):
+    return _once(spark, sf_dir, "lexicon", lambda: lexical.lexicon(materialize(t.tokens(spark, sf_dir))))
+
+
 def _featurized(spark, sf_dir):
     return _once(spark, sf_dir, "featurized", lambda: tr.featurized(
-        _labelled(spark, sf_dir), _rules(spark, sf_dir), lexical.lexicon(t.tokens(spark, sf_dir))))
+        _labelled(spark, sf_dir), _rules(spark, sf_dir), _lexicon(spark, sf_dir)))
 
 
 def _split(spark, sf_dir):
@@ -429,7 +434,7 @@ def _classifier(spark, sf_dir):
 
 def _windows(spark, sf_dir):
     return _once(spark, sf_dir, "windows", lambda: materialize(
-        windows.window_features(t.threat_events(spark, sf_dir), t.HOUR_US)))
+        windows.window_features(materialize(t.threat_events(spark, sf_dir)), t.HOUR_US)))
 
 
 def _forest(spark, sf_dir) -> Forest:
@@ -441,8 +446,7 @@ def _forest(spark, sf_dir) -> Forest:
 def detector(spark, sf_dir) -> dt.Detector:
     rules = _once(spark, sf_dir, "rules", lambda: _rules(spark, sf_dir))
     return dt.Detector(
-        rules, _once(spark, sf_dir, "lexicon", lambda: lexical.lexicon(t.tokens(spark, sf_dir))),
-        _classifier(spark, sf_dir), _forest(spark, sf_dir),
+        rules, _lexicon(spark, sf_dir), _classifier(spark, sf_dir), _forest(spark, sf_dir),
         allowlist=_once(spark, sf_dir, "allowed", lambda: allowlist.popular_domains(
             t.popular_hosts(spark, sf_dir), rules)),
         cooldown_us=24 * t.HOUR_US, min_queries=3, bucket_us=t.HOUR_US)
@@ -528,7 +532,7 @@ _ALERT = ("timestamp", "flow_id", "threat_class", "severity", "confidence")
 
 @query
 def detect_batch(spark, sf_dir):
-    alerts = dt.detect(t.threat_events(spark, sf_dir), detector(spark, sf_dir))
+    alerts = dt.detect(materialize(t.threat_events(spark, sf_dir)), detector(spark, sf_dir))
     return alerts.select("seq", *_ALERT).orderBy("timestamp", "seq", "threat_class")
 
 

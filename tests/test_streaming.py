@@ -97,7 +97,7 @@ def test_cooldown_equals_batch(spark, tmp_path):
 
 
 def test_stream_match_equals_batch(spark, tmp_path):
-    first = MESSAGES[:8] + MESSAGES[9:10]   # one response per query: the stream join emits each match
+    first = MESSAGES[:10]   # one query has two responses
     rows = [*first, message(50, 3000.0, "z", "z", 1, 1, 0, 0, None, "close.me"), message(51, 3000.0, "z", "z", 1, 1, 0, 1, 0, "x")]
     rows += [message(52, 4000.0, "z", "z", 1, 1, 0, 0, None, "close.me"), message(53, 4000.0, "z", "z", 1, 1, 0, 1, 0, "x")]
     path = str(tmp_path / "in")

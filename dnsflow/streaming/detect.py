@@ -11,15 +11,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
+from dnsflow.operators.alerts import public_columns
+from dnsflow.operators.cooldown import KEYS, apply_cooldown, last_emitted
 from dnsflow.operators.scale import materialize
 from dnsflow.operators.windows import window_features
 from dnsflow.plans.detect import Detector, name_alerts, window_alerts
 from dnsflow.schemas import EVENT
 from dnsflow.sources.events import accepted, check_events, rejected, stream_lines, with_arrival_number
 from dnsflow.sources.sinks import count_run, stream_counts
-from dnsflow.streaming.cooldown import cooldown_stream
 
+ALERT_MEMORY_US = 300_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,6 +41,10 @@ class Folders:
     def raw(self) -> str:
         return f"{self.base}/raw"
 
+    @property
+    def last_alerts(self) -> str:
+        return f"{self.base}/last_alerts"
+
     @property
     def history(self) -> str:
         return f"{self.base}/history"
@@ -51,6 +58,7 @@ class Folders:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """State store that the operators with keyed state need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
@@ -113,11 +121,32 @@ def start_windows(spark: SparkSession, source: str, folders: Folders, detector:
 
 
 def start_alerts(spark: SparkSession, folders: Folders, detector: Detector) -> StreamingQuery:
-    """Raw alerts -> cooldown -> alert table. Both detectors use their own keys, so no state is shared."""
+    """Raw alerts -> cooldown -> JSON alert log, one folder per micro-batch.
+
+    The batch operator splits busy flows; ``cooldown_stream`` keeps one task per flow instead.
+    The last emission of each flow is stored per batch, until it is older than the cooldown
+    and ``ALERT_MEMORY_US``.
+    """
     schema = spark.read.parquet(f"{folders.raw}/detector=*/batch=*").schema
     raw = spark.readStream.schema(schema).parquet(f"{folders.raw}/detector=*/batch=*")
-    return cooldown_stream(raw, detector.cooldown_us).writeStream.format("json").outputMode("append").option(
-        "path", folders.alerts).option("checkpointLocation", folders.checkpoint("alerts")).trigger(availableNow=True).start()
+    keep = _append_batch(folders.last_alerts)
+    state = StructType([*[schema[k] for k in KEYS], StructField("last_us", LongType())])
+
+    def emit(df: DataFrame, batch: int) -> None:
+        alerts, previous = materialize(df), None
+        if batch > 0:
+            previous = df.sparkSession.read.schema(state).parquet(f"{folders.last_alerts}/batch={batch - 1}")
+        emitted = materialize(apply_cooldown(alerts, detector.cooldown_us, previous=previous))
+        public_columns(emitted).write.mode("overwrite").json(f"{folders.alerts}/batch={batch}")
+        last = last_emitted(emitted)
+        if previous is not None:
+            last = last.unionByName(previous).groupBy(*KEYS).agg(F.max("last_us").alias("last_us"))
+        newest = alerts.agg(F.max("ts_us")).first()[0] or 0
+        memory = max(detector.cooldown_us or 0, ALERT_MEMORY_US)
+        keep(last.where(F.col("last_us") >= newest - memory), batch)
+
+    return raw.writeStream.foreachBatch(emit).option(
+        "checkpointLocation", folders.checkpoint("alerts")).trigger(availableNow=True).start()
 
 
 def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, **options: str) -> Folders:
@@ -125,7 +154,6 @@ def detect_stream(spark: SparkSession, source: str, base: str, detector: Detecto
 
     Call it again when more files have arrived: the checkpoints carry all state over.
     """
-    use_rocksdb(spark)
     folders = Folders(base)
     first = [start_quarantine(spark, source, folders, **options),
              start_names(spark, source, folders, detector, **options),

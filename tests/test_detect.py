@@ -156,6 +156,7 @@ def test_stream_equals_batch(spark, detector, tmp_path):
     detect_stream(spark, str(source), base, detector)
     (source / "b.jsonl").write_text("\n".join(lines[half:]))      # arrives later; state carries over
     folders = detect_stream(spark, str(source), base, detector)
+    assert detect_stream(spark, str(source), base, detector).run_counts == {}      # nothing new
     assert folders.run_counts == {"lines": len(lines) - half, "rejected": int(half <= 10) + int(half <= 40), "events": len(lines) - half - int(half <= 40) - int(half <= 10)}
     assert sorted(r["reason"] for r in spark.read.parquet(f"{folders.rejects}/batch=*").collect()) == [
         "invalid JSON", "missing required field(s): src_ip, domain, qtype, length"]

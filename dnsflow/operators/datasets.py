@@ -9,7 +9,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dnsflow.functions.text import value_entropy
 from dnsflow.operators.scale import hash_key, hash_rank, lookup_join, materialize
@@ -37,9 +36,8 @@ def union_domains(lists: Sequence[DataFrame]) -> DataFrame:
 
 
 def cap_per_group(df: DataFrame, group: str, key: str, cap: int = FAMILY_CAP, seed: int = 42) -> DataFrame:
-    """At most ``cap`` random rows per group; map tasks already drop what cannot be among them."""
-    w = Window.partitionBy(group).orderBy(hash_key(key, seed), F.col(key))
-    return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= cap).drop("_row")
+    """At most ``cap`` random rows per group; ``key`` is unique within the group."""
+    return hash_rank(df, key, seed, [group], at_most=cap).drop("rank")
 
 
 def labelled_domains(dga: DataFrame, benign: DataFrame) -> DataFrame:
@@ -50,7 +48,7 @@ def labelled_domains(dga: DataFrame, benign: DataFrame) -> DataFrame:
 
 def random_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` random rows of ``df``."""
-    return hash_rank(df, key, seed).where(F.col("rank") <= n).drop("rank")
+    return hash_rank(df, key, seed, at_most=n).drop("rank")
 
 
 def balance(dga: DataFrame, benign: DataFrame, seed: int = 42) -> tuple[DataFrame, int]:

@@ -117,13 +117,14 @@ def hash_key(key: str | Column, seed: int | str) -> Column:
 
 def hash_rank(
     df: DataFrame, key: str, seed: int | str, group: Sequence[str] = (), rank: str = "rank", size: str | None = None,
-    digits: int = 4,
+    digits: int = 4, at_most: int | None = None,
 ) -> DataFrame:
     """Row number (from 1) of each row within ``group`` in the order of ``hash_key``.
 
     Rows are numbered inside blocks that share the first ``digits`` hex digits of the hash,
     so a group of any size is spread evenly over 16**digits blocks; the block sizes give
-    the offsets. ``key`` must be unique within the group.
+    the offsets. ``key`` must be unique within the group. ``at_most`` keeps the first ranks
+    only, and blocks that lie behind them are dropped before any row is shuffled.
     """
     group = list(group)
     block = [*group, "_block"]
@@ -137,7 +138,13 @@ def hash_rank(
         F.sum("_n").over(whole).alias("_size"),
     )
     inside = Window.partitionBy(*block).orderBy("_hash", key)
-    numbered = hashed.withColumn("_row", F.row_number().over(inside)).join(offsets, block)
+    if at_most is None:
+        placed = hashed.join(offsets, block)
+    else:
+        placed = lookup_join(hashed, materialize(offsets.where(F.col("_before") < at_most)), block, "inner", [key])
+    numbered = placed.withColumn("_row", F.row_number().over(inside))
+    if at_most is not None:
+        numbered = numbered.where(F.col("_before") + F.col("_row") <= at_most)
     extra = [F.col("_size").alias(size)] if size else []
     return numbered.select(*df.columns, (F.col("_before") + F.col("_row")).alias(rank), *extra)
 

@@ -18,6 +18,14 @@ def test_hash_rank_is_the_md5_order(spark):
             assert [got[k] for k in keys] == list(range(1, len(keys) + 1))
 
 
+@pytest.mark.parametrize("cap", [0, 1, 17, 600])
+def test_first_ranks_only(spark, cap):
+    df = spark.createDataFrame([(i, i % 2) for i in range(1000)], "k long, g int")
+    whole = hash_rank(df, "k", 7, ["g"], digits=2).where(f"rank <= {cap}")
+    few = hash_rank(df, "k", 7, ["g"], digits=2, at_most=cap)
+    assert sorted(few.collect()) == sorted(whole.collect())
+
+
 def test_running_totals(spark):
     rows = [(i * 37 % 1009, i % 3, i) for i in range(1009)]
     df = spark.createDataFrame(rows, "o int, g int, v long")

@@ -14,16 +14,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from dnsflow.llm.common import with_column_type
 
 LONG = 20_000           # characters; texts up to this length are encoded in one call
+ROWS = 512              # rows that a step holds at a time
 IDS = T.ArrayType(T.IntegerType(), False)
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -70,54 +73,94 @@ def _apart(part: str, size: int) -> Iterator[str]:
     yield part[at:]
 
 
-def encode_text(encoder, text: str | None) -> list[int]:
+def encode_text(encoder, text: str | None) -> np.ndarray:
     if not text:
-        return []
-    if len(text) <= LONG:
-        return encoder.encode_ordinary(text)
-    ids: list[int] = []
-    for part in pieces(text):
-        if len(part) > LONG and _BLANK.fullmatch(part):
-            ids += encoder._core_bpe.encode_single_piece(part.encode())
-        else:
-            ids += encoder.encode_ordinary(part)
-    return ids
-
-
-def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+        return np.zeros(0, np.int32)
+    parts = [text] if len(text) <= LONG else pieces(text)
+    ids = [
+        # What is one match is encoded without the pattern.
+        np.array(encoder._core_bpe.encode_single_piece(p.encode()), np.int32) if len(p) > LONG and _BLANK.fullmatch(p)
+        else encoder.encode_to_numpy(p, disallowed_special=()).view(np.int32)
+        for p in parts
+    ]
+    return ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+
+#: A step takes and gives a record batch; steps that follow each other share one pass through Python.
+Step = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def apply(df: DataFrame, added: dict[str, T.DataType], *steps: Step, dropped: Sequence[str] = ()) -> DataFrame:
+    """Run ``steps`` over all batches of ``df``; they replace or add the columns ``added`` and remove ``dropped``."""
+    schema = df.schema
+    for name, kind in added.items():
+        schema = with_column_type(schema, name, kind)
+    schema = T.StructType([f for f in schema.fields if f.name not in dropped])
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                for step in steps:
+                    part = step(part)
+                yield part.select(schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     keep = [n for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [values], [*keep, name])
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the token ids of ``text``."""
-    def run(batches):
+def rows_of_ids(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row; none for null."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    for end in ends.tolist():
+        yield flat[start:end]
+        start = end
+
+
+def encode_step(ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> Step:
+    def step(batch):
         encoder = encoding(ranks_path, pattern)
-        for batch in batches:
-            texts = batch.column(text)
-            lists = pa.array((encode_text(encoder, t.as_py()) for t in texts), pa.list_(pa.int32()))
-            yield _replaced(batch, ids, lists)
+        rows = [encode_text(encoder, t.as_py()) for t in batch.column(text)]
+        offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        return replaced(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
 
-    return df.mapInArrow(run, with_column_type(df.schema, ids, IDS))
+    return step
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
-    """Add the bytes that ``ids`` stand for; they need not be whole characters."""
-    def run(batches):
+def decode_step(ranks_path: str, pattern: str, ids: str = "ids", raw: str = "raw") -> Step:
+    def step(batch):
         encoder = encoding(ranks_path, pattern)
-        for batch in batches:
-            lists = batch.column(ids)
-            decoded = pa.array((encoder.decode_bytes(i.as_py() or []) for i in lists), pa.binary())
-            yield _replaced(batch, raw, decoded)
+        decoded = [encoder.decode_bytes(i.tolist()) for i in rows_of_ids(batch.column(ids))]
+        return replaced(batch, raw, pa.array(decoded, pa.binary()))
 
-    return df.mapInArrow(run, with_column_type(df.schema, raw, T.BinaryType()))
+    return step
 
 
-def ids_digest(df: DataFrame, ids: str = "ids", digest: str = "ids_sha256") -> DataFrame:
-    """Add the SHA-256 of the decimal ids joined by commas, in lower-case hex."""
-    def run(batches):
-        for batch in batches:
-            hexes = (hashlib.sha256(",".join(map(str, i.as_py() or [])).encode()).hexdigest() for i in batch.column(ids))
-            yield _replaced(batch, digest, pa.array(hexes, pa.string()))
+def digest_step(ids: str = "ids", digest: str = "ids_sha256") -> Step:
+    """SHA-256 of the decimal ids joined by commas, in lower-case hex."""
+    def step(batch):
+        lists = batch.column(ids)
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        words = pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *lengths], dtype=np.int32)), pc.cast(lists.flatten(), pa.string()))
+        joined = pc.binary_join(words, ",").cast(pa.binary())
+        return replaced(batch, digest, pa.array([hashlib.sha256(j.as_py()).hexdigest() for j in joined], pa.string()))
+
+    return step
 
-    return df.mapInArrow(run, with_column_type(df.schema, digest, T.StringType()))
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add the token ids of ``text``."""
+    return apply(df, {ids: IDS}, encode_step(ranks_path, pattern, text, ids))
+
+
+def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", raw: str = "raw") -> DataFrame:
+    """Add the bytes that ``ids`` stand for; they need not be whole characters."""
+    return apply(df, {raw: T.BinaryType()}, decode_step(ranks_path, pattern, ids, raw))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dnsflow.llm import byte_bpe, chat, mixing, token_records, warc_store
 from dnsflow.llm.common import table
@@ -22,10 +26,17 @@ def query(function):
 def op3_byte_bpe(spark, sf_dir):
     """Ids of every document, and the bytes that they decode to."""
     path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    digested = byte_bpe.ids_digest(byte_bpe.decode(encoded, path, pattern))
-    return digested.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("raw", 256).alias("decoded_sha256"))
+
+    def summary(batch):
+        raw = pa.array([hashlib.sha256(r.as_py()).hexdigest() for r in batch.column("raw")], pa.string())
+        counts = batch.column("ids").value_lengths().cast(pa.int64())
+        return byte_bpe.replaced(byte_bpe.replaced(batch, "n_tokens", counts), "decoded_sha256", raw)
+
+    return byte_bpe.apply(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()},
+        byte_bpe.encode_step(path, pattern), byte_bpe.decode_step(path, pattern), byte_bpe.digest_step(), summary,
+        dropped=["text"])
 
 
 @query

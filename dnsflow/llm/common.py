@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dnsflow.operators.scale import materialize
+
 #: A word is a run of characters other than space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,3 +32,24 @@ def lower_ascii(text: Column) -> Column:
 def with_column_type(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     """``schema`` with one more nullable column, which replaces one of the same name."""
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def successors(ids: DataFrame, key: str) -> DataFrame:
+    """Add ``next``, the next larger ``key`` (after the largest: the smallest); ``key`` is unique and not null.
+
+    The ids are range-partitioned; ranges are chained by their first id, one row per range.
+    """
+    placed = materialize(ids.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    ranges = placed.groupBy("_range").agg(F.min(key).alias("_first"))
+    order = Window.orderBy("_range")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = ranges.select("_range", F.coalesce(
+        F.lead("_first").over(order), F.first("_first").over(whole)).alias("_following"))
+    inside = F.lead(key).over(Window.partitionBy("_range").orderBy(key))
+    return placed.withColumn("_inside", inside).join(following, "_range").withColumn(
+        "next", F.coalesce("_inside", "_following")).drop("_range", "_inside", "_following")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import byte_bpe, chat, mixing, token_records, warc_store
+from dnsflow.llm import byte_bpe, chat, hilbert, mixing, order_minhash, token_records, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -82,3 +82,18 @@ def op8_warc_store(spark, sf_dir):
     return warc_store.read_headers(spark, archive).join(payloads, "digest").select(
         F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), "payload_digest",
         F.col("kind").alias("record_type"), "refers_to")
+
+
+@query
+def op1_order_minhash(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    own = order_minhash.compare_with_edits(table(spark, sf_dir, "documents"))
+    return own.select(
+        "doc_id", "n_chars", "edited_sha256", order_minhash.as_text(F.col("entries")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_entries")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op10_hilbert_search(spark, sf_dir):
+    """The ten nearest vectors found for every hundredth vector."""
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

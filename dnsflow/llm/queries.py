@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import byte_bpe, chat, hilbert, mixing, order_minhash, token_records, warc_store
+from dnsflow.llm import byte_bpe, chat, hilbert, mixing, order_minhash, token_records, toxicity, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -97,3 +97,12 @@ def op1_order_minhash(spark, sf_dir):
 def op10_hilbert_search(spark, sf_dir):
     """The ten nearest vectors found for every hundredth vector."""
     return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op2_toxicity_grammar(spark, sf_dir):
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"),
+                         F.col("_predicted").alias("predicted"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import byte_bpe, chat, hilbert, mixing, order_minhash, token_records, toxicity, warc_store
+from dnsflow.llm import byte_bpe, chat, hilbert, jaccard_join, mixing, order_minhash, token_records, toxicity, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -106,3 +106,9 @@ def op2_toxicity_grammar(spark, sf_dir):
     scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"),
                          F.col("_predicted").alias("predicted"))
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    """Components of documents whose four-word shingles agree to 85 %."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))

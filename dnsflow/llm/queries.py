@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import byte_bpe, chat, hilbert, jaccard_join, mixing, order_minhash, token_records, toxicity, warc_store
+from dnsflow.llm import byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, token_records, toxicity, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -112,3 +112,14 @@ def op2_toxicity_grammar(spark, sf_dir):
 def op5_jaccard_join(spark, sf_dir):
     """Components of documents whose four-word shingles agree to 85 %."""
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_chained_repeats(spark, sf_dir):
+    """Passages of every document that occur in an earlier one, within repeated spans of 50 words and more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = chaining.with_ids(chaining.repeats(docs), docs, "key", "other")
+    return found.select(
+        F.col("key").alias("doc_id"), "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"),
+        "other_start", (F.col("other_stop") - F.col("other_start")).alias("other_words"), F.col("agree").alias("agreeing_words"),
+        "span_start", (F.col("span_stop") - F.col("span_start")).alias("span_words"))

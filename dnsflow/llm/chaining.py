@@ -352,22 +352,19 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     marked = docs.withColumn("_key", key).join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
     schema = T.StructType([*docs.schema.fields, T.StructField("_empty", T.BooleanType())])
-    at = docs.columns.index("text")
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts, empty = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
-                kept = without(text, spans) if spans else text
-                texts.append(kept)
-                empty.append(bool(spans) and not kept.strip(" \t\n\v\f\r"))
-            columns = [batch.column(c) for c in docs.columns]
-            columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in docs.columns:
-                i = docs.columns.index("n_chars")
-                sizes = [len(t) if s else n for t, s, n in zip(texts, batch.column("_spans").to_pylist(), columns[i].to_pylist())]
-                columns[i] = pa.array(sizes, columns[i].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(empty, pa.bool_())], [*docs.columns, "_empty"])
+            columns, cut = {n: batch.column(n) for n in names}, batch.column("_spans").to_pylist()
+            texts = [without(t, c) if c else t for t, c in zip(columns["text"].to_pylist(), cut)]
+            empty = [bool(c) and not t.strip(" \t\n\v\f\r") for t, c in zip(texts, cut)]
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                own = columns["n_chars"]
+                sizes = [len(t) if c else n for t, c, n in zip(texts, cut, own.to_pylist())]
+                columns["n_chars"] = pa.array(sizes, own.type)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(empty, pa.bool_())], [*names, "_empty"])
 
     return marked.mapInArrow(run, schema).where("not _empty").drop("_empty")
 

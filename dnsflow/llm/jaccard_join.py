@@ -208,8 +208,8 @@ def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are not read)."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
     index = materialize(_index(docs))
     whole = Window.partitionBy("sig")
     shared = materialize(
@@ -233,7 +233,26 @@ def join(docs: DataFrame) -> DataFrame:
     rest = _pairs("node", "other", mixed.join(outside, "sig").where("label != other_label")).join(tried, ["u", "v"], "left_anti")
     more = materialize(_linked(materialize(rest), sets))
     labels = materialize(components(links.unionByName(more)))
-    own = index.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return index.select("key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
+        "key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are not read)."""
+    own = _labelled(docs)
     first = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
     return own.join(first, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each component (one without an id only if there is none), and all without shingles."""
+    own = materialize(_labelled(docs))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key"))["key"]
+    kept = own.where("n_shingles > 0").groupBy("label").agg(best.alias("_key")).select("_key", F.lit(True).alias("_once"))
+    free = own.where("n_shingles = 0").select(F.col("key").alias("_key"), F.lit(False).alias("_once")).distinct()
+    chosen = materialize(kept.unionByName(free).groupBy("_key").agg(F.max("_once").alias("_once")))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    return docs.withColumn("_key", key).join(chosen, "_key").withColumn("_copy", copy).where(
+        "not _once or _copy = 1").select(*docs.columns)

@@ -10,8 +10,8 @@ neighbourhoods alone where few segments are needed, so that segments stay large;
 
 Equal sets share a 64-bit digest and are one node (digests of n different sets clash with a probability of n^2 / 2^65). Copies within a task send their
 signatures once. A signature's sets are verified against one of them, the one that shares most signatures, so a group of n near copies costs n
-verifications and not n^2; only sets that end up outside the main component of their signature are then compared with each other set there.
-No candidate is dropped.
+verifications and not n^2. Where that leaves sets of one signature in different components, a link between them has to show in what tells both from
+the centre: ``_remaining`` joins those differences, again by a pigeonhole. No candidate is dropped.
 
 Nulls: a null text has no shingles; such texts and empty ones are linked with nothing. A null doc_id takes part, but never names a component;
 a component without any id has null. Rows that share a doc_id and a text are one; with different texts they are documents of their own.
@@ -204,6 +204,59 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each (node, centre): their sizes and the shingles that only one of them has."""
+    def run(batches):
+        for batch in batches:
+            found, sizes = [], []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
+                found.append(np.setxor1d(a, b, assume_unique=True).view(np.int64))
+                sizes.append((len(a), len(b)))
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(flat, pa.int64()))
+            own, other = (pa.array([s[i] for s in sizes], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("centre"), own, other, lists], ["node", "centre", "size", "centre_size", "only"])
+
+    left = sets.select("node", F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("b"))
+    return pairs.join(left, "node").join(right, "centre").select("node", "centre", "a", "b").mapInArrow(
+        run, "node long, centre long, size long, centre_size long, only array<long>")
+
+
+def _remaining(tried: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) around one centre that may be linked though not yet in one component.
+
+    Relative to their centre, u and v differ in |U| + |V| - 2 |U and V| shingles, where U and V are what tells each from the
+    centre. If u isn't linked with the centre, U alone exceeds the differences allowed, so a link needs more than half of V within U: among the
+    rarest half of V at least one shingle is in U. Edits of different copies seldom share any, so few pairs are left of n^2.
+    """
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    members = materialize(
+        tried.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+        .withColumn("label", F.coalesce("node_label", "node"))
+        .withColumn("outside", F.col("label") != F.coalesce("centre_label", "centre")).select("node", "centre", "label", "outside"))
+    mixed = members.where("outside").select("centre").distinct()
+    around = members.join(mixed, "centre", "left_semi")
+    differ = _differences(around.select("node", "centre"), sets).join(around, ["node", "centre"])
+    rows = differ.withColumn("apart", F.size("only")).withColumn("shingle", F.explode("only")).drop("only").withColumn(
+        "times", F.count(F.lit(1)).over(Window.partitionBy("centre", "shingle")))
+    rarest = Window.partitionBy("centre", "node").orderBy("times", "shingle")
+    rows = materialize(rows.withColumn("place", F.row_number().over(rarest) - 1).drop("times"))
+    names = ("node", "label", "size", "apart", "place", "centre_size", "outside")
+    u = rows.where("outside").select("centre", "shingle", *[F.col(n).alias(f"u_{n}") for n in names])
+    v = rows.where(F.expr(f"2 * place <= apart - 1 + ceil({100 - PERCENT} * greatest(0, size - centre_size) / {100 + PERCENT})")).select(
+        "centre", "shingle", *[F.col(n).alias(f"v_{n}") for n in names])
+    allowed = F.expr(f"floor({100 - PERCENT} * (u_size + v_size) / {100 + PERCENT})")
+    possible = (
+        (F.col("u_label") != F.col("v_label")) & (100 * F.least("u_size", "v_size") >= PERCENT * F.greatest("u_size", "v_size"))
+        & (2 * F.col("v_place") <= F.col("v_apart") - F.col("u_apart") + allowed))
+    found = u.join(v, ["centre", "shingle"]).where(possible)
+    done = _pairs("node", "centre", tried)
+    return _pairs("u_node", "v_node", found).join(done, ["u", "v"], "left_anti")
+
+
 def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
 
@@ -221,18 +274,10 @@ def _labelled(docs: DataFrame) -> DataFrame:
     # The set that shares most signatures, and those of the largest groups, is the likeliest to be near all others.
     weights = shared.groupBy("node").agg(F.sum("k").alias("weight"))
     centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(whole)["node"])
-    tried = materialize(_pairs("node", "centre", centres))
-    links = materialize(_linked(tried, sets))
-    labels = components(links)
-    labelled = shared.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = materialize(
-        labelled.withColumn("least", F.min("label").over(whole)).withColumn("most", F.max("label").over(whole))
-        .where("least != most").select("sig", "node", "label"))
-    main = mixed.groupBy("sig", "label").count().groupBy("sig").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-    outside = mixed.join(main, "sig").where("label != main").select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    rest = _pairs("node", "other", mixed.join(outside, "sig").where("label != other_label")).join(tried, ["u", "v"], "left_anti")
-    more = materialize(_linked(materialize(rest), sets))
-    labels = materialize(components(links.unionByName(more)))
+    tried = materialize(centres.select("node", "centre").where("node != centre").distinct())
+    links = materialize(_linked(_pairs("node", "centre", tried), sets))
+    rest = materialize(_remaining(tried, materialize(components(links)), sets))
+    labels = materialize(components(links.unionByName(materialize(_linked(rest, sets)))))
     return index.select("key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
 

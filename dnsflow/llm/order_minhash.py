@@ -110,38 +110,40 @@ def likeness(a: Column, b: Column) -> Column:
 def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Each document's place in the ascending order of ids, and its successor's.
 
-    A row is named by (key, copy): its id, and its number among rows of that id by (length, hash of the text); a null id
-    comes first. Returns the documents (key, copy, doc_id, text, n_chars) and the links (key, copy, next_key,
-    next_copy, n_chars), where n_chars belongs to (key, copy). The last document is followed by the first.
+    A document is named by (key, hash), its id and the hash of its text; a null id comes first, and texts of one id are ordered by length, then hash.
+    Rows that repeat id and text are one document. Returns the rows (key, hash, doc_id, text, n_chars) and the links (key, hash,
+    next_key, next_hash, n_chars), where n_chars belongs to (key, hash). The last document is followed by the first.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    place = Window.partitionBy("key").orderBy("n_chars", "hash", F.col("doc_id").asc_nulls_first())
-    rows = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn(
-        "n_chars", F.char_length("text").cast("long")).withColumn("hash", F.xxhash64("text")).withColumn(
-        "copy", F.row_number().over(place)).drop("hash")
-    names = materialize(rows.select("key", "copy", "n_chars"))
+    rows = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(doc_id).alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
+        "n_chars", F.char_length("text").cast("long")).withColumn("hash", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("n_chars", "hash"))
+    names = materialize(rows.select("key", "hash", "n_chars").distinct().withColumn("copy", place))
     counts = successors(names.groupBy("key").agg(F.max("copy").alias("copies")), "key")
     last = F.col("copy") == F.col("copies")
-    links = names.join(counts, "key").select(
-        "key", "copy", F.when(last, F.col("next")).otherwise(F.col("key")).alias("next_key"),
-        F.when(last, 1).otherwise(F.col("copy") + 1).alias("next_copy"), "n_chars")
-    return rows, materialize(links)
+    following = names.join(counts, "key").select(
+        "key", "hash", "n_chars", F.when(last, F.col("next")).otherwise(F.col("key")).alias("next_key"),
+        F.when(last, 1).otherwise(F.col("copy") + 1).alias("next_copy"))
+    named = names.select(F.col("key").alias("next_key"), F.col("copy").alias("next_copy"), F.col("hash").alias("next_hash"))
+    return rows, materialize(following.join(named, ["next_key", "next_copy"]).drop("next_copy"))
 
 
 def edit_tail(docs: DataFrame, share: int = 4) -> DataFrame:
     """Each document with ``edited``: its last ``n_chars / share`` characters replaced by as many first ones of the next.
 
-    Only that part of the next document is sent to it. Returns key, copy, doc_id, n_chars, text, edited, next_key, next_copy.
+    Texts are shuffled once, by the same key for giving and for taking; what is given away is cut to what is taken. Returns key, hash,
+    doc_id, n_chars, text, edited, next_key, next_hash.
     """
     rows, links = neighbours(docs)
     wanted = links.select(
-        F.col("next_key").alias("key"), F.col("next_copy").alias("copy"), F.col("key").alias("to_key"),
-        F.col("copy").alias("to_copy"), F.floor(F.col("n_chars") / share).cast("int").alias("wanted"))
-    heads = rows.join(wanted, ["key", "copy"]).select(
-        F.col("to_key").alias("key"), F.col("to_copy").alias("copy"), F.left("text", "wanted").alias("head"))
+        F.col("next_key").alias("key"), F.col("next_hash").alias("hash"), F.col("key").alias("to_key"),
+        F.col("hash").alias("to_hash"), F.floor(F.col("n_chars") / share).cast("int").alias("wanted"))
+    heads = rows.join(wanted, ["key", "hash"]).select(
+        F.col("to_key").alias("key"), F.col("to_hash").alias("hash"), F.left("text", "wanted").alias("head")).groupBy(
+        "key", "hash").agg(F.first("head").alias("head"))
     kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / share)).cast("int"))
-    return rows.join(heads, ["key", "copy"]).join(links.drop("n_chars"), ["key", "copy"]).withColumn(
+    return rows.join(heads, ["key", "hash"]).join(links.drop("n_chars"), ["key", "hash"]).withColumn(
         "edited", F.concat(kept, F.col("head"))).drop("head")
 
 
@@ -151,11 +153,12 @@ def compare_with_edits(docs: DataFrame, share: int = 4) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, entries, edited_entries, near_edited, near_next.
     """
     marked = materialize(edit_tail(docs, share).select(
-        "key", "copy", "doc_id", "n_chars", "next_key", "next_copy", F.sha2("edited", 256).alias("edited_sha256"),
+        "key", "hash", "doc_id", "n_chars", "next_key", "next_hash", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("entries"), fingerprint(F.col("edited")).alias("edited_entries")))
     following = marked.select(
-        F.col("key").alias("next_key"), F.col("copy").alias("next_copy"), F.col("entries").alias("next_entries"))
-    return marked.join(following, ["next_key", "next_copy"]).select(
+        F.col("key").alias("next_key"), F.col("hash").alias("next_hash"), F.col("entries").alias("next_entries")).groupBy(
+        "next_key", "next_hash").agg(F.first("next_entries").alias("next_entries"))
+    return marked.join(following, ["next_key", "next_hash"]).select(
         "doc_id", "n_chars", "edited_sha256", "entries", "edited_entries",
         likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
         likeness(F.col("entries"), F.col("next_entries")).alias("near_next"))

@@ -1,6 +1,5 @@
 import random
 
-import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -79,6 +78,6 @@ def test_edges(spark):
 def test_repeated_rows_and_very_long_text(spark):
     long = " ".join(str(i % 1000) for i in range(100_000))
     docs = spark.createDataFrame([(1, long), (1, long), (2, "x")], "doc_id long, text string")
-    rows = o.compare_with_edits(docs).orderBy("doc_id", "near_next").collect()
-    assert [r["near_next"] for r in rows] == [0.0, 1.0, 0.0] and rows[0]["entries"] == rows[1]["entries"]
-    assert rows[0]["near_edited"] == pytest.approx(1.0, abs=0.99)
+    rows = o.compare_with_edits(docs).orderBy("doc_id").collect()
+    assert len(rows) == 3 and rows[0] == rows[1] and [r["near_next"] for r in rows] == [0.0] * 3
+    assert 0.2 < rows[0]["near_edited"] < 1

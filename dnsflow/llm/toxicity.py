@@ -203,7 +203,7 @@ def training_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "tox
 def labelled_texts(docs: DataFrame, known: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The sample to fit on: text, y and times, the labelled rows that one sampled row stands for."""
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    chance = F.lit(0.0)
+    chance = F.lit(1.0)
     for y, n in sizes.items():
         chance = F.when(F.col("y") == y, min(1.0, fit_rows / n)).otherwise(chance)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)

@@ -111,38 +111,40 @@ def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> t
     """Each document's place in the ascending order of ids, and its successor's.
 
     A document is named by (key, hash), its id and the hash of its text; a null id comes first, and texts of one id are ordered by length, then hash.
-    Rows that repeat id and text are one document. Returns the rows (key, hash, doc_id, text, n_chars) and the links (key, hash,
+    Rows that repeat id and text are one document. Returns the rows (key, hash, text, n_chars) and the links (key, hash, doc_id,
     next_key, next_hash, n_chars), where n_chars belongs to (key, hash). The last document is followed by the first.
     """
-    rows = docs.select(
+    own = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long")).withColumn("hash", F.xxhash64("text"))
     place = F.row_number().over(Window.partitionBy("key").orderBy("n_chars", "hash"))
-    names = materialize(rows.select("key", "hash", "n_chars").distinct().withColumn("copy", place))
+    names = materialize(own.groupBy("key", "hash", "n_chars").agg(F.max("doc_id").alias("doc_id")).withColumn("copy", place))
     counts = successors(names.groupBy("key").agg(F.max("copy").alias("copies")), "key")
     last = F.col("copy") == F.col("copies")
     following = names.join(counts, "key").select(
-        "key", "hash", "n_chars", F.when(last, F.col("next")).otherwise(F.col("key")).alias("next_key"),
+        "key", "hash", "doc_id", "n_chars", F.when(last, F.col("next")).otherwise(F.col("key")).alias("next_key"),
         F.when(last, 1).otherwise(F.col("copy") + 1).alias("next_copy"))
     named = names.select(F.col("key").alias("next_key"), F.col("copy").alias("next_copy"), F.col("hash").alias("next_hash"))
-    return rows, materialize(following.join(named, ["next_key", "next_copy"]).drop("next_copy"))
+    return own.drop("doc_id"), materialize(following.join(named, ["next_key", "next_copy"]).drop("next_copy"))
 
 
 def edit_tail(docs: DataFrame, share: int = 4) -> DataFrame:
     """Each document with ``edited``: its last ``n_chars / share`` characters replaced by as many first ones of the next.
 
-    Texts are shuffled once, by the same key for giving and for taking; what is given away is cut to what is taken. Returns key, hash,
-    doc_id, n_chars, text, edited, next_key, next_hash.
+    Giving and taking use the same columns of the rows by the same key, so the texts are shuffled once; what is given away is cut to what is
+    taken. Returns key, hash, doc_id, n_chars, text, edited, next_key, next_hash.
     """
     rows, links = neighbours(docs)
+    taken = lambda n: F.floor(n / share).cast("int")
     wanted = links.select(
         F.col("next_key").alias("key"), F.col("next_hash").alias("hash"), F.col("key").alias("to_key"),
-        F.col("hash").alias("to_hash"), F.floor(F.col("n_chars") / share).cast("int").alias("wanted"))
+        F.col("hash").alias("to_hash"), taken(F.col("n_chars")).alias("wanted"))
+    head = F.left("text", F.least("wanted", F.col("n_chars").cast("int")))
     heads = rows.join(wanted, ["key", "hash"]).select(
-        F.col("to_key").alias("key"), F.col("to_hash").alias("hash"), F.left("text", "wanted").alias("head")).groupBy(
-        "key", "hash").agg(F.first("head").alias("head"))
-    kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / share)).cast("int"))
+        F.col("to_key").alias("key"), F.col("to_hash").alias("hash"), head.alias("head")).groupBy("key", "hash").agg(
+        F.first("head").alias("head"))
+    kept = F.left("text", F.col("n_chars").cast("int") - taken(F.col("n_chars")))
     return rows.join(heads, ["key", "hash"]).join(links.drop("n_chars"), ["key", "hash"]).withColumn(
         "edited", F.concat(kept, F.col("head"))).drop("head")
 

@@ -109,7 +109,7 @@ def scheme(band: int) -> tuple[int, int, int]:
     if differences < 8:
         segments = near = (differences + 2) // 2
     else:
-        segments, near = differences + 2 + -(-differences // 25), 1 + -(-differences // 50)
+        segments, near = differences + 2 + -(-differences // 16), 1
     return segments, near, segments + near - differences
 
 
@@ -204,57 +204,65 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
-def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For each (node, centre): their sizes and the shingles that only one of them has."""
+def _compared(tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each (node, centre): whether they are linked, the node's size, in how many shingles they differ, and the first of these.
+
+    ``firsts`` has as many of the differing shingles as ``_remaining`` may need, hashed with the centre: those that only the node has, then
+    those that only the centre has, each in ascending order.
+    """
     def run(batches):
         for batch in batches:
-            found, sizes = [], []
-            for a, b in zip(batch.column("a"), batch.column("b")):
+            rows, firsts = [], []
+            for centre, a, b in zip(batch.column("centre").to_pylist(), batch.column("a"), batch.column("b")):
                 a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
-                found.append(np.setxor1d(a, b, assume_unique=True).view(np.int64))
-                sizes.append((len(a), len(b)))
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(flat, pa.int64()))
-            own, other = (pa.array([s[i] for s in sizes], pa.int64()) for i in (0, 1))
+                added, removed = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+                common = len(a) - len(added)
+                linked = 100 * common >= PERCENT * (len(a) + len(b) - common)
+                most = (100 - PERCENT) * (len(a) + 100 * len(a) // PERCENT) // (100 + PERCENT) + 1
+                salt = mix(np.array([centre], np.int64).view(np.uint64))
+                firsts.append(mix(np.concatenate([added, removed])[:most] ^ salt).view(np.int64))
+                rows.append((linked, len(a), len(added) + len(removed)))
+            flat = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, firsts)], dtype=np.int32), pa.array(flat, pa.int64()))
+            linked, size, apart = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("centre"), own, other, lists], ["node", "centre", "size", "centre_size", "only"])
+                [batch.column("node"), batch.column("centre"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()),
+                 pa.array(apart, pa.int64()), lists], ["node", "centre", "linked", "size", "apart", "firsts"])
 
     left = sets.select("node", F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("b"))
-    return pairs.join(left, "node").join(right, "centre").select("node", "centre", "a", "b").mapInArrow(
-        run, "node long, centre long, size long, centre_size long, only array<long>")
+    return tried.join(left, "node").join(right, "centre").select("node", "centre", "a", "b").mapInArrow(
+        run, "node long, centre long, linked boolean, size long, apart long, firsts array<long>")
 
 
-def _remaining(tried: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _remaining(compared: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (u, v) around one centre that may be linked though not yet in one component.
 
-    Relative to their centre, u and v differ in |U| + |V| - 2 |U and V| shingles, where U and V are what tells each from the
-    centre. If u isn't linked with the centre, U alone exceeds the differences allowed, so a link needs more than half of V within U: among the
-    rarest half of V at least one shingle is in U. Edits of different copies seldom share any, so few pairs are left of n^2.
+    Relative to their centre, u and v differ in |U| + |V| - 2 |U and V| shingles, where U and V are what tells each from the centre. So a link
+    needs |U and V| >= (|U| + |V| - allowed) / 2: in any common order of the shingles, U and V then share one among their first
+    |U| - that + 1 and |V| - that + 1. The order puts shingles that the centre lacks first: edits of different copies seldom share any,
+    so few pairs are left of n^2. |U| and |V| differ by no more than allowed, which bounds how many first ones are needed.
     """
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    members = materialize(
-        tried.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+    members = (
+        compared.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
         .withColumn("label", F.coalesce("node_label", "node"))
-        .withColumn("outside", F.col("label") != F.coalesce("centre_label", "centre")).select("node", "centre", "label", "outside"))
-    mixed = members.where("outside").select("centre").distinct()
-    around = members.join(mixed, "centre", "left_semi")
-    differ = _differences(around.select("node", "centre"), sets).join(around, ["node", "centre"])
-    rows = differ.withColumn("apart", F.size("only")).withColumn("shingle", F.explode("only")).drop("only").withColumn(
-        "times", F.count(F.lit(1)).over(Window.partitionBy("centre", "shingle")))
-    rarest = Window.partitionBy("centre", "node").orderBy("times", "shingle")
-    rows = materialize(rows.withColumn("place", F.row_number().over(rarest) - 1).drop("times"))
-    names = ("node", "label", "size", "apart", "place", "centre_size", "outside")
-    u = rows.where("outside").select("centre", "shingle", *[F.col(n).alias(f"u_{n}") for n in names])
-    v = rows.where(F.expr(f"2 * place <= apart - 1 + ceil({100 - PERCENT} * greatest(0, size - centre_size) / {100 + PERCENT})")).select(
-        "centre", "shingle", *[F.col(n).alias(f"v_{n}") for n in names])
+        .withColumn("outside", F.col("label") != F.coalesce("centre_label", "centre")))
+    mixed = materialize(members.where("outside").select("centre").distinct())
+    rows = members.join(mixed, "centre", "left_semi").select(
+        "node", "label", "outside", "size", "apart", F.posexplode("firsts").alias("place", "key"))
+    same = Window.partitionBy("key")
+    shared = materialize(
+        rows.withColumn("least", F.min("label").over(same)).withColumn("most", F.max("label").over(same))
+        .withColumn("any", F.max("outside").over(same)).where("least != most and any").drop("least", "most", "any"))
+    side = lambda rows, n: rows.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "size", "apart", "place")])
     allowed = F.expr(f"floor({100 - PERCENT} * (u_size + v_size) / {100 + PERCENT})")
     possible = (
         (F.col("u_label") != F.col("v_label")) & (100 * F.least("u_size", "v_size") >= PERCENT * F.greatest("u_size", "v_size"))
+        & (2 * F.col("u_place") <= F.col("u_apart") - F.col("v_apart") + allowed)
         & (2 * F.col("v_place") <= F.col("v_apart") - F.col("u_apart") + allowed))
-    found = u.join(v, ["centre", "shingle"]).where(possible)
-    done = _pairs("node", "centre", tried)
-    return _pairs("u_node", "v_node", found).join(done, ["u", "v"], "left_anti")
+    found = side(shared.where("outside"), "u").join(side(shared, "v"), "key").where(possible)
+    return _pairs("u_node", "v_node", found).join(_pairs("node", "centre", compared), ["u", "v"], "left_anti")
 
 
 def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -275,8 +283,9 @@ def _labelled(docs: DataFrame) -> DataFrame:
     weights = shared.groupBy("node").agg(F.sum("k").alias("weight"))
     centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(whole)["node"])
     tried = materialize(centres.select("node", "centre").where("node != centre").distinct())
-    links = materialize(_linked(_pairs("node", "centre", tried), sets))
-    rest = materialize(_remaining(tried, materialize(components(links)), sets))
+    compared = materialize(_compared(tried, sets))
+    links = compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    rest = materialize(_remaining(compared, materialize(components(links))))
     labels = materialize(components(links.unionByName(materialize(_linked(rest, sets)))))
     return index.select("key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))

@@ -2,8 +2,8 @@
 
 A shard holds records one after the other: length of the data (8 bytes, little-endian), masked checksum of those 8 bytes
 (4 bytes), the data, masked checksum of the data. The checksum is CRC-32, rotated right by 15 bits plus 0xA282EAD8, so that a checksum
-over data that holds checksums stays useful. The data are ids as unsigned 32-bit little-endian integers. The index is a Parquet
-table: shard, file, ordinal, doc_id, first (ids of the shard before the record), offset, length.
+over data that holds checksums stays useful. The data are ids as unsigned little-endian integers: of 16 bits where the whole
+vocabulary fits, else of 32 (``RecordFiles.width``). The index is a Parquet table: shard, file, ordinal, doc_id, first (ids of the shard before the record), offset, length.
 
 Documents are range-partitioned by doc_id: one shard per partition, the shards in order. A task writes a file of its own name and reports
 it in the index, so a task that runs twice leaves at worst a file that nothing refers to.
@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from dnsflow.operators.scale import checkpoint_folder
 
 INDEX = "shard int, file string, ordinal long, doc_id long, first long, offset long, length long"
-CACHED_WORDS = 500_000      # a worker remembers the ids of so many chunks of at most CACHED_LENGTH characters
+CACHED_WORDS = 1_500_000    # a worker remembers the ids of so many chunks of at most CACHED_LENGTH characters
 CACHED_LENGTH = 40
+ROWS = 256                  # texts that are split into chunks at a time
 #: White space other than space, tab, newline and return: texts that hold any are split at those four only.
 _RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
@@ -40,10 +41,11 @@ _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 
 @dataclass(frozen=True)
 class RecordFiles:
-    """Folders of the shards and of their index."""
+    """Folders of the shards and of their index, and the bytes that an id takes."""
 
     shards: str
     index: str
+    width: int = 4
 
 
 class ChunkEncoder:
@@ -58,10 +60,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        self.width = id_width(tokenizer_path)
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text as little-endian integers of ``width`` bytes."""
+        kind = f"<u{self.width}"
         chunks = [self._chunks(t) for t in texts]
         known = self.known
         new = [c for c in set().union(*chunks) if c not in known]
@@ -69,7 +73,7 @@ class ChunkEncoder:
         for start in range(0, len(new), 5_000):
             some = new[start:start + 5_000]
             for chunk, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[chunk] = np.asarray(encoded.ids, "<u4").tobytes()
+                fresh[chunk] = np.asarray(encoded.ids, kind).tobytes()
         if len(known) + len(fresh) <= CACHED_WORDS:
             known.update((c, i) for c, i in fresh.items() if len(c) <= CACHED_LENGTH)
         if not fresh:
@@ -83,6 +87,14 @@ class ChunkEncoder:
         return [c for c in _PLAIN_SPACE.split(text) if c] if _RARE_SPACE.search(text) else text.split()
 
 
+@lru_cache(maxsize=2)
+def id_width(tokenizer_path: str) -> int:
+    """Bytes that hold any id of the vocabulary."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 @lru_cache(maxsize=2)
 def _encoder(tokenizer_path: str) -> ChunkEncoder:
     return ChunkEncoder(tokenizer_path)
@@ -112,10 +124,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, text: str =
     """Encode each document, append ``end_id`` and write the records in ascending doc_id order."""
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/dnsflow/records-{uuid.uuid4().hex}"
-    files = RecordFiles(f"{folder}/shards", f"{folder}/index")
+    files = RecordFiles(f"{folder}/shards", f"{folder}/index", id_width(tokenizer_path))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     placed = own.repartitionByRange(*([shards] if shards else []), "doc_id").sortWithinPartitions("doc_id", "text")
-    end, target = struct.pack("<I", end_id), files.shards
+    end, target, width = int(end_id).to_bytes(files.width, "little"), files.shards, files.width
 
     def run(batches):
         from pyarrow import fs
@@ -124,8 +136,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, text: str =
         store, path = fs.FileSystem.from_uri(target)
         name = f"{shard:08d}-{uuid.uuid4().hex}.records"
         out, ordinal, first, offset = None, 0, 0, 0
-        for batch in batches:
-            if out is None and batch.num_rows:
+        parts = (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        for batch in parts:
+            if out is None:
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}")
             rows = []
@@ -133,7 +146,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, text: str =
                 record = frame(ids + end)
                 out.write(record)
                 rows.append((shard, name, ordinal, i, first, offset, len(record)))
-                ordinal, first, offset = ordinal + 1, first + len(ids) // 4 + 1, offset + len(record)
+                ordinal, first, offset = ordinal + 1, first + len(ids) // width + 1, offset + len(record)
             kinds = (pa.int32(), pa.string(), *[pa.int64()] * 5)
             columns = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
@@ -150,7 +163,7 @@ def read_index(spark: SparkSession, files: RecordFiles) -> DataFrame:
     index = spark.read.schema(INDEX).parquet(files.index)
     last = F.max_by(F.struct("first", "length"), "ordinal")
     shards = index.groupBy("shard").agg(last.alias("last")).select(
-        "shard", (F.col("last.first") + (F.col("last.length") - 16) / 4).cast("long").alias("ids"))
+        "shard", (F.col("last.first") + (F.col("last.length") - 16) / files.width).cast("long").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)    # one row per shard
     bases = shards.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("_base"))
     return index.join(bases, index["shard"] == bases["_shard"]).withColumn(
@@ -158,8 +171,8 @@ def read_index(spark: SparkSession, files: RecordFiles) -> DataFrame:
 
 
 def read_records(index: DataFrame, files: RecordFiles) -> DataFrame:
-    """``index`` rows, in any order and number, with the record's checked ``ids`` (bytes) from the files."""
-    source = files.shards
+    """``index`` rows, in any order and number, with the record's checked ``ids`` from the files, as 32-bit integers in bytes."""
+    source, kind = files.shards, f"<u{files.width}"
     schema = T.StructType([*index.schema.fields, T.StructField("ids", T.BinaryType())])
 
     def run(batches):
@@ -175,7 +188,7 @@ def read_records(index: DataFrame, files: RecordFiles) -> DataFrame:
                         opened.close()
                     name, opened = file, store.open_input_file(f"{path}/{file}")
                 opened.seek(offset)
-                ids.append(unframe(opened.read(length)))
+                ids.append(np.frombuffer(unframe(opened.read(length)), kind).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "ids"])
         if opened is not None:
             opened.close()

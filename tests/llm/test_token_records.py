@@ -61,5 +61,5 @@ def test_damage_is_found():
 def test_chunks_beyond_the_cache_are_still_encoded(monkeypatch):
     monkeypatch.setattr(t, "CACHED_WORDS", 2)
     texts = ["one two three", "three four one", "five"]
-    got = [np.frombuffer(b, "<u4").tolist() + [1] for b in t.ChunkEncoder(PATH).encode(texts)]
+    got = [np.frombuffer(b, "<u2").tolist() + [1] for b in t.ChunkEncoder(PATH).encode(texts)]
     assert got == expected(texts)

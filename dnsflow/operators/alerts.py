@@ -29,7 +29,10 @@ def alert_rows(
     details = F.struct(*[
         (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVIDENCE])
     observed = F.coalesce(F.col("ts"), F.unix_micros(F.current_timestamp()) / 1_000_000)
-    identity = F.sha2(F.concat_ws("|", F.lit(threat_class), F.col(flow_id), observed.cast("string")), 256)
+    # Each part follows its length, so no two alerts share an id, and a replay gives the same ones.
+    parts = (F.lit(threat_class), F.col(flow_id), F.col("src_ip"), F.col("seq").cast("string"), F.col("ts_us").cast("string"))
+    identity = F.sha2(F.concat(*[
+        F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in (F.coalesce(x, F.lit("")) for x in parts)]), 256)
     return fired.select(
         identity.alias("alert_id"), observed.alias("timestamp"), F.col(flow_id).alias("flow_id"),
         F.lit(threat_class).alias("threat_class"), severity(confidence).alias("severity"),

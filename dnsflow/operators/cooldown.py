@@ -25,7 +25,7 @@ from dnsflow.operators.scale import lookup_join, materialize
 COOLDOWN_US = 30_000_000
 CHUNK_COOLDOWNS = 64
 KEYS = ("threat_class", "flow_id")
-_FREE = np.iinfo(np.int64).min
+_FREE, _MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def _key(columns: tuple[str, ...]) -> Column:
@@ -33,6 +33,11 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.concat(*[F.concat(F.char_length(c).cast("string"), F.lit(":"), F.col(c)) for c in columns])
 
 
+def in_range(times: np.ndarray, cooldown_us: int) -> np.ndarray:
+    """Times to which the cooldown can be added; what lies beyond counts as one last moment."""
+    return np.minimum(times, _MAX - cooldown_us - 1)
+
+
 def _runs(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, int]]:
     """Consecutive rows with the same (key, chunk): ``(group, from, to)``."""
     key, chunk = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
@@ -49,14 +54,14 @@ def _exits(cooldown_us: int):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            times, done = pdf["ts_us"].to_numpy(), []
+            times, done = in_range(pdf["ts_us"].to_numpy(), cooldown_us), []
             for group, lo, hi in _runs(pdf):   # the last run may go on in the next batch
                 if group != current:
                     if current is not None:
                         done.append((current, start, free))
                     current, start, free = group, np.empty(0, np.int64), np.empty(0, np.int64)
                 t = times[lo:hi]
-                first_cooldown = (group[1] * CHUNK_COOLDOWNS + 1) * cooldown_us
+                first_cooldown = min((group[1] * CHUNK_COOLDOWNS + 1) * cooldown_us, _MAX)
                 n = int(t.searchsorted(first_cooldown))
                 if n < len(t) and not (len(start) and start[-1] >= first_cooldown):
                     n += 1   # the first alert after it serves chains that skip all of the first cooldown
@@ -105,7 +110,7 @@ def _emit(cooldown_us: int):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            times, entry, kept = pdf["ts_us"].to_numpy(), pdf["free"].to_numpy(), []
+            times, entry, kept = in_range(pdf["ts_us"].to_numpy(), cooldown_us), pdf["free"].to_numpy(), []
             for group, lo, hi in _runs(pdf):
                 if group != current:
                     current, free = group, int(entry[lo])
@@ -133,7 +138,7 @@ def apply_cooldown(
     if previous is not None:
         known = lookup_join(alerts, previous.select(*keys, "last_us"), keys, "left", spread=["seq"])
         alerts = materialize(known.where(
-            F.col("last_us").isNull() | (F.col("ts_us") >= F.col("last_us") + cooldown_us)).drop("last_us"))
+            F.col("last_us").isNull() | (F.col("ts_us") - F.col("last_us") >= cooldown_us)).drop("last_us"))
     chunk = F.expr(f"ts_us div {cooldown_us * CHUNK_COOLDOWNS}L")
     points = materialize(
         alerts.groupBy(_key(keys).alias("key"), "ts_us").agg(F.min("seq").alias("seq")).withColumn("chunk", chunk))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dnsflow.operators.scale import lookup_join, materialize, union_all
+from dnsflow.sources.events import MAX_TS, valid
 from dnsflow.sources.messages import queries, responses
 
 NXDOMAIN_RCODE = 3
@@ -14,20 +15,23 @@ KEY = ("dns_id", "src_ip", "src_port")
 
 
 def _ts_us(ts: Column) -> Column:
-    return F.floor(ts * 1_000_000).cast("long")
+    """Microseconds; times beyond what events may have are cut to that, so that intervals can be added."""
+    return F.floor(F.least(ts, F.lit(MAX_TS)) * 1_000_000).cast("long")
 
 
-def _events(matched: DataFrame) -> DataFrame:
-    return matched.select(
+def matched_events(matched: DataFrame) -> DataFrame:
+    """Events of queries with the response code that was found; those that break the rules for events are dropped."""
+    events = matched.select(
         "seq", "ts", "src_ip", "domain", "qtype", F.char_length("domain").cast("double").alias("length"),
         F.coalesce(F.col("rcode") == NXDOMAIN_RCODE, F.lit(False)).alias("nxdomain"),
         _ts_us(F.col("ts")).alias("ts_us"))
+    return events.where(valid(events))
 
 
 def match_responses(messages: DataFrame) -> DataFrame:
     """One event per query; the last response with its key decides, unmatched queries are kept."""
     outcome = materialize(responses(messages).groupBy(*KEY).agg(F.max_by("rcode", "seq").alias("rcode")))
-    return _events(lookup_join(queries(messages), outcome, KEY, "left", spread=["seq"]))
+    return matched_events(lookup_join(queries(messages), outcome, KEY, "left", spread=["seq"]))
 
 
 def match_responses_within(messages: DataFrame, within_us: int = 10_000_000) -> DataFrame:
@@ -56,4 +60,4 @@ def match_responses_within(messages: DataFrame, within_us: int = 10_000_000) ->
         .where(F.col("ts_us").isNotNull())
         .select(*KEY, "ts_us", F.when(F.col("last.answered") >= F.col("ts_us"), F.col("last.rcode")).alias("rcode"))
     )
-    return _events(lookup_join(asked, materialize(outcome), [*KEY, "ts_us"], "left", spread=["seq"]))
+    return matched_events(lookup_join(asked, materialize(outcome), [*KEY, "ts_us"], "left", spread=["seq"]))

@@ -9,10 +9,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from functools import reduce
 from typing import TypeVar
 
@@ -20,23 +23,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BROADCAST_ROWS = 500_000   # lists of short strings: tens of MB at most
-HOT_ROWS = 1_000_000       # rows of one key from which its rows are salted
-HOT_KEYS = 2_000           # a key outside the 2,000 largest holds < 1/2000 of the rows
+BROADCAST_BYTES = 32 << 20  # of a lookup side's values as text; beyond it both sides are shuffled
+HOT_ROWS = 1_000_000        # rows of one key from which its rows are salted
 SALTS = 128
 
 T = TypeVar("T")
 
 _local_folder: str | None = None
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
+    """Folder named by ``spark.checkpoint.dir``; a session on one machine without it gets a folder of its own."""
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="dnsflow-")
@@ -49,19 +52,44 @@ def materialize(df: DataFrame) -> DataFrame:
     Later uses see the same rows even if executors are lost, read only the columns they
     need, and give the optimizer a real table size.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/dnsflow/{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or checkpoint_folder(df.sparkSession) + '/dnsflow'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def has_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables materialized inside are deleted at the end: write what is to stay elsewhere."""
+    folder = f"{checkpoint_folder(spark)}/dnsflow/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        remove_folder(spark, folder)
+
+
 def at_once(*steps: Callable[[], T]) -> list[T]:
     """Run independent driver steps side by side, so that their jobs share the cluster."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [future.result() for future in [pool.submit(step) for step in steps]]
+        return [future.result() for future in [pool.submit(copy_context().run, step) for step in steps]]
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all values of ``df``, written as text, take at most ``most`` bytes; every row is measured."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns), F.lit(16))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
 
 
 def lookup_join(
@@ -70,30 +98,25 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     spread: Sequence[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` (any size, any skew) with ``right`` (unique in ``on``).
 
-    A counted small right side is broadcast. Otherwise both sides are shuffled, and rows of
-    hot left keys are spread over ``salts`` sub-keys by the hash of the ``spread`` columns
-    while the matching right rows, at most ``HOT_KEYS`` of them, are repeated per sub-key.
+    A right side of measured small size is broadcast. Otherwise ``left`` is written once, both sides are
+    shuffled, and the rows of every left key with ``hot_rows`` rows or more are spread over ``salts`` sub-keys by
+    the hash of the ``spread`` columns, while the matching right row is repeated per sub-key.
     """
     on = list(on)
-    if fits_broadcast(right, broadcast_rows):
+    if fits_broadcast(right, broadcast_bytes):
         return left.join(F.broadcast(right), on, how)
-    hot = (
-        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.col("_rows").desc()).limit(HOT_KEYS)
-        .select(*on).collect()
-    )
-    if not hot:
+    left = materialize(left)
+    hot_keys = materialize(
+        left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
+        .select(*on, F.lit(True).alias("_hot")))
+    if hot_keys.isEmpty():
         return left.join(right, on, how)
-    hot_keys = F.broadcast(
-        left.sparkSession.createDataFrame(hot, left.select(*on).schema).withColumn("_hot", F.lit(True))
-    )
     sub_key = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts))
     salted_left = (
         left.join(hot_keys, on, "left")
@@ -181,7 +204,8 @@ def order_statistics(
     Equal values are counted before the shuffle, then located by their running count.
     """
     group = list(group)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_times"))
+    counted = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_times")))
     placed = running_totals(counted, [value], {"_upto": "_times"}, group)
     sizes = counted.groupBy(*group).agg(F.sum("_times").alias("n"))
     if group:

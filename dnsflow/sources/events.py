@@ -9,6 +9,8 @@ from dnsflow.operators.scale import running_totals
 from dnsflow.schemas import REQUIRED_FIELDS
 
 MAX_NAME = 255
+#: Seconds whose microseconds, plus any interval in use, fit a long: later times would overflow what is added to them.
+MAX_TS = 9_000_000_000_000.0
 # A character other than white space, as Python's str.strip sees it.
 _VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
@@ -68,6 +70,7 @@ def check_events(lines: DataFrame) -> DataFrame:
         (any_missing, F.concat(F.lit("missing required field(s): "), missing)),
         (~kind("ts").isin("int", "float"), F.concat(F.lit("ts must be a number, got "), kind("ts"))),
         (value("ts") < 0, F.concat(F.lit("ts must be non-negative, got "), shown("ts"))),
+        (F.isnan(value("ts")) | (value("ts") > MAX_TS), F.concat(F.lit("ts is out of range, got "), shown("ts"))),
         ((kind("src_ip") != "str") | ~F.col("seen_src_ip"),
          F.concat(F.lit("src_ip must be a non-empty string, got "), shown("src_ip"))),
         ((kind("domain") != "str") | ~F.col("seen_domain"),
@@ -100,6 +103,15 @@ def accepted(checked: DataFrame) -> DataFrame:
         F.floor(F.col("ts") * 1_000_000).cast("long").alias("ts_us"))
 
 
+def valid(events: DataFrame) -> Column:
+    """Whether typed event columns obey the rules that ``check_events`` applies to lines."""
+    seen = lambda n: F.col(n).rlike(_VISIBLE)
+    rules = (
+        (F.col("ts") >= 0) & (F.col("ts") <= MAX_TS) & seen("src_ip") & seen("domain") & (F.char_length("domain") <= MAX_NAME)
+        & (F.col("qtype") != "") & (F.col("length") >= 0))
+    return F.coalesce(rules & ~F.isnan("ts") & ~F.isnan("length"), F.lit(False))
+
+
 def rejected(checked: DataFrame) -> DataFrame:
     extra = [c for c in ("seq", "file_name") if c in checked.columns]
     return checked.where(F.col("reason").isNotNull()).select(*extra, F.col("value").alias("raw"), "reason")

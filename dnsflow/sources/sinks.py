@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.query import StreamingQuery
 
 from dnsflow.schemas import ALERT
 
@@ -20,21 +19,16 @@ def write_report(metrics: DataFrame, path: str, mode: str = "overwrite", format:
     metrics.write.mode(mode).format(format).save(path)
 
 
-def count_run(checked: DataFrame, counters: Observation | str = "ingest") -> DataFrame:
-    """Count accepted and rejected lines while ``checked`` is consumed.
-
-    A batch run reads them from an ``Observation``, a stream from its progress under a name.
-    """
+def count_run(checked: DataFrame, counters: Observation) -> DataFrame:
+    """Count accepted and rejected lines while ``checked`` is consumed."""
     return checked.observe(
         counters, F.count(F.lit(1)).alias("lines"), F.count("reason").alias("rejected"),
         F.count(F.when(F.col("reason").isNull(), 1)).alias("events"))
 
 
-def stream_counts(running: StreamingQuery, name: str = "ingest") -> dict[str, int]:
-    """Counters of a stream summed over its recent micro-batches."""
-    total: dict[str, int] = {}
-    for progress in running.recentProgress:
-        row = progress.observedMetrics.get(name)
-        for key, value in (row.asDict() if row else {}).items():
-            total[key] = total.get(key, 0) + value
-    return total
+def run_totals(counts: DataFrame) -> dict[str, int]:
+    """Totals of a table with one row of counters per micro-batch; ``active_*`` are those of the last one."""
+    names = [c for c in counts.columns if c != "batch"]
+    total = lambda c: F.max_by(c, "batch") if c.startswith("active_") else F.sum(c)
+    row = counts.agg(F.count(F.lit(1)).alias("batches"), *[total(c).alias(c) for c in names]).first()
+    return {c: int(row[c]) for c in names} if row["batches"] else {}

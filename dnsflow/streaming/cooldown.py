@@ -8,19 +8,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from dnsflow.operators.cooldown import COOLDOWN_US, KEYS
+from dnsflow.operators.cooldown import COOLDOWN_US, KEYS, in_range
+from dnsflow.streaming.windows import time_mode
 
 
 class _LastEmitted(StatefulProcessor):
-    def __init__(self, cooldown_us: int):
-        self._cooldown_us = cooldown_us
+    def __init__(self, cooldown_us: int, ttl_ms: int | None):
+        self._cooldown_us, self._ttl_ms = cooldown_us, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "last_us long")
+        self._last = handle.getValueState("last", "last_us long", self._ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "seq"]).reset_index(drop=True)
-        t = batch["ts_us"].to_numpy()
+        t = in_range(batch["ts_us"].to_numpy(), self._cooldown_us)
         free = self._last.get()[0] + self._cooldown_us if self._last.exists() else int(t[0])
         kept = []
         while (i := int(t.searchsorted(free))) < len(t):
@@ -34,9 +35,12 @@ class _LastEmitted(StatefulProcessor):
         pass
 
 
-def cooldown_stream(alerts: DataFrame, cooldown_us: int | None = COOLDOWN_US) -> DataFrame:
-    """Alerts of a stream that pass the cooldown. Needs the RocksDB state store."""
+def cooldown_stream(alerts: DataFrame, cooldown_us: int | None = COOLDOWN_US, ttl_ms: int | None = None) -> DataFrame:
+    """Alerts of a stream that pass the cooldown. Needs the RocksDB state store.
+
+    A flow that emits nothing for ``ttl_ms`` of processing time is forgotten; keep that longer than the cooldown, and ``None`` for a stream that is to end by itself.
+    """
     if cooldown_us is None or cooldown_us <= 0:
         return alerts
     return alerts.groupBy(*KEYS).transformWithStateInPandas(
-        _LastEmitted(cooldown_us), alerts.schema, "Append", "None")
+        _LastEmitted(cooldown_us, ttl_ms), alerts.schema, "Append", time_mode(ttl_ms))

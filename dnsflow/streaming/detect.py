@@ -1,7 +1,12 @@
 """Streaming detection: log files -> alerts, with quarantine and counters.
 
-Two hops. The first scores names and windows per micro-batch with the batch operators; raw
-alerts land in a table. The second applies the cooldown and feeds the sink.
+One query reads and parses each line once. A micro-batch runs the batch operators on its events together with stored
+state, so busy sources and flows split as they do in a batch. All that a batch writes stands in folders of its own number, so a
+repeated batch replaces itself and starts from the same state; intermediate tables go when the batch is done.
+
+State is kept per key, so a source with a wrong clock harms only itself: its history is cut by its own newest time. A key expires when the stream's
+clock has moved on by ``idle_us`` since the key was last seen. That clock is the median of the newest times of all known keys: one key
+can't move it.
 """
 
 from __future__ import annotations
@@ -10,25 +15,30 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from dnsflow.operators.alerts import public_columns
-from dnsflow.operators.cooldown import KEYS, apply_cooldown, last_emitted
-from dnsflow.operators.scale import materialize
+from dnsflow.operators.cooldown import KEYS, apply_cooldown
+from dnsflow.operators.scale import at_once, has_folder, materialize, remove_folder, scratch
 from dnsflow.operators.windows import window_features
 from dnsflow.plans.detect import Detector, name_alerts, window_alerts
 from dnsflow.schemas import EVENT
 from dnsflow.sources.events import accepted, check_events, rejected, stream_lines, with_arrival_number
-from dnsflow.sources.sinks import count_run, stream_counts
+from dnsflow.sources.sinks import run_totals
 
-ALERT_MEMORY_US = 300_000_000
+IDLE_US = 300_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HISTORY = T.StructType([*EVENT.fields, T.StructField("seen_us", T.LongType())])
+LAST = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS],
+                     T.StructField("last_us", T.LongType()), T.StructField("seen_us", T.LongType())])
+COUNTS = "batch long, lines long, rejected long, events long, alerts long, active_sources long, expired_sources long, " \
+         "active_flows long, expired_flows long"
 
 
 @dataclass
 class Folders:
-    """Where a run keeps its tables and checkpoints, and the line counts of its last call."""
+    """Where a run keeps its tables and checkpoint, and the counters of its last call."""
 
     base: str
     run_counts: dict[str, int] = field(default_factory=dict)
@@ -37,10 +47,6 @@ class Folders:
     def rejects(self) -> str:
         return f"{self.base}/rejects"
 
-    @property
-    def raw(self) -> str:
-        return f"{self.base}/raw"
-
     @property
     def last_alerts(self) -> str:
         return f"{self.base}/last_alerts"
@@ -53,8 +59,13 @@ class Folders:
     def alerts(self) -> str:
         return f"{self.base}/alerts"
 
-    def checkpoint(self, query: str) -> str:
-        return f"{self.base}/checkpoint/{query}"
+    @property
+    def counts(self) -> str:
+        return f"{self.base}/counts"
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.base}/checkpoint"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -62,104 +73,113 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _append_batch(path: str):
-    """Write each micro-batch to its own folder, so that a repeated batch replaces itself."""
-    def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    return write
-
+def _of(batch: int, path: str) -> str:
+    return f"{path}/batch={batch}"
 
-def _events(spark: SparkSession, source: str, **options: str) -> DataFrame:
-    """Clean events; lines without an arrival number are told apart by their hash."""
-    checked = check_events(stream_lines(spark, source, **options))
-    return accepted(checked.withColumn("event_seq", F.coalesce("event_seq", F.xxhash64("value"))))
 
+def _state(spark: SparkSession, path: str, batch: int, schema: T.StructType) -> DataFrame:
+    """State after the batch before; empty for the first one."""
+    return spark.read.schema(schema).parquet(_of(batch - 1, path)) if batch else spark.createDataFrame([], schema)
 
-def start_quarantine(spark: SparkSession, source: str, folders: Folders, **options: str) -> StreamingQuery:
-    """Bad lines with their reason; accepted and rejected lines are observed as ``ingest``."""
-    checked = count_run(check_events(stream_lines(spark, source, **options)))
-    return rejected(checked).writeStream.foreachBatch(_append_batch(folders.rejects)).option(
-        "checkpointLocation", folders.checkpoint("rejects")).trigger(availableNow=True).start()
 
+def _clock(newest: DataFrame) -> int:
+    """Median of the newest times of all keys (the lower one of two)."""
+    return newest.agg(F.percentile_approx("at", 0.5)).first()[0] or 0
 
-def start_names(spark: SparkSession, source: str, folders: Folders, detector: Detector, **options: str) -> StreamingQuery:
-    """Raw DGA alerts. The batch operators featurize the distinct names of a micro-batch."""
-    write = _append_batch(f"{folders.raw}/detector=names")
-    def score(df: DataFrame, batch: int) -> None:
-        write(name_alerts(df, detector), batch)
-    return _events(spark, source, **options).writeStream.foreachBatch(score).option(
-        "checkpointLocation", folders.checkpoint("names")).trigger(availableNow=True).start()
 
+def _kept(keys: list[str], seen: DataFrame, clock: int, idle_us: int) -> tuple[DataFrame, int, int]:
+    """Keys that stay (with ``seen_us``, the clock when last seen), their number and that of the expired ones.
 
-def start_windows(spark: SparkSession, source: str, folders: Folders, detector: Detector, **options: str) -> StreamingQuery:
-    """Raw tunnelling alerts, computed per micro-batch from its events and those still in a window.
-
-    The batch operator splits busy sources; ``window_features_stream`` keeps one task per
-    source instead. Each batch stores the events that later windows can reach, under its own
-    number, so a repeated batch starts from the same state.
-    """
-    write, keep = _append_batch(f"{folders.raw}/detector=windows"), _append_batch(folders.history)
-    reach = detector.bucket_us * detector.n_buckets
-
-    def score(df: DataFrame, batch: int) -> None:
-        columns = EVENT.fieldNames()
-        events = with_arrival_number(df).select(*columns).withColumn("is_new", F.lit(True))
-        if batch > 0:
-            past = df.sparkSession.read.schema(EVENT).parquet(f"{folders.history}/batch={batch - 1}")
-            shift = past.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-            events = events.withColumn("seq", F.col("seq") + shift).unionByName(past.withColumn("is_new", F.lit(False)))
-        events = materialize(events)
-        newest = events.agg(F.max("ts_us")).first()[0]
-        first_new = events.where("is_new").agg(F.min("seq")).first()[0]
-        if first_new is not None:
-            features = window_features(events, detector.bucket_us, detector.n_buckets)
-            write(window_alerts(features.where(F.col("seq") >= first_new), detector), batch)
-        keep(events.where(F.col("ts_us") > (newest or 0) - reach).select(*columns), batch)
-
-    return _events(spark, source, **options).writeStream.foreachBatch(score).option(
-        "checkpointLocation", folders.checkpoint("windows")).trigger(availableNow=True).start()
-
-
-def start_alerts(spark: SparkSession, folders: Folders, detector: Detector) -> StreamingQuery:
-    """Raw alerts -> cooldown -> JSON alert log, one folder per micro-batch.
-
-    The batch operator splits busy flows; ``cooldown_stream`` keeps one task per flow instead.
-    The last emission of each flow is stored per batch, until it is older than the cooldown
-    and ``ALERT_MEMORY_US``.
+    ``seen``: the keys with ``was``, the clock stored for them, and ``now``, whether this batch holds them.
     """
-    schema = spark.read.parquet(f"{folders.raw}/detector=*/batch=*").schema
-    raw = spark.readStream.schema(schema).parquet(f"{folders.raw}/detector=*/batch=*")
-    keep = _append_batch(folders.last_alerts)
-    state = StructType([*[schema[k] for k in KEYS], StructField("last_us", LongType())])
-
-    def emit(df: DataFrame, batch: int) -> None:
-        alerts, previous = materialize(df), None
-        if batch > 0:
-            previous = df.sparkSession.read.schema(state).parquet(f"{folders.last_alerts}/batch={batch - 1}")
-        emitted = materialize(apply_cooldown(alerts, detector.cooldown_us, previous=previous))
-        public_columns(emitted).write.mode("overwrite").json(f"{folders.alerts}/batch={batch}")
-        last = last_emitted(emitted)
-        if previous is not None:
-            last = last.unionByName(previous).groupBy(*KEYS).agg(F.max("last_us").alias("last_us"))
-        newest = alerts.agg(F.max("ts_us")).first()[0] or 0
-        memory = max(detector.cooldown_us or 0, ALERT_MEMORY_US)
-        keep(last.where(F.col("last_us") >= newest - memory), batch)
-
-    return raw.writeStream.foreachBatch(emit).option(
-        "checkpointLocation", folders.checkpoint("alerts")).trigger(availableNow=True).start()
-
-
-def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, **options: str) -> Folders:
+    known = materialize(seen.groupBy(*keys).agg(F.max(F.when(F.col("now"), F.lit(clock)).otherwise(F.col("was"))).alias("seen_us")))
+    stays = F.lit(clock) - F.col("seen_us") <= idle_us
+    n, live = known.agg(F.count(F.lit(1)), F.count(F.when(stays, 1))).first()
+    return known.where(stays), live, n - live
+
+
+def _with_past(new: DataFrame, past: DataFrame) -> DataFrame:
+    """The new events, numbered after those still in reach, together with these; ``now`` tells them apart."""
+    shift = past.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    arrived = with_arrival_number(new).withColumn("seq", F.col("seq") + shift).withColumn("seen_us", F.lit(None).cast("long"))
+    return arrived.withColumn("now", F.lit(True)).unionByName(past.withColumn("now", F.lit(False)))
+
+
+def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Detector, idle_us: int = IDLE_US) -> None:
+    """One micro-batch: rejects, alerts after the cooldown, state and counters, each in the batch's own folder."""
+    spark = lines.sparkSession
+    write = lambda df, path: df.write.mode("overwrite").parquet(_of(batch, path))
+    with scratch(spark):
+        checked = materialize(check_events(lines).withColumn("event_seq", F.coalesce("event_seq", F.xxhash64("value"))))
+        write(rejected(checked), folders.rejects)
+        new = materialize(accepted(checked))
+        both = materialize(_with_past(new, _state(spark, folders.history, batch, HISTORY)))
+
+        def from_windows() -> DataFrame:
+            features = window_features(both.select(*EVENT.fieldNames()), detector.bucket_us, detector.n_buckets)
+            fresh = both.where("now").select("seq")
+            return window_alerts(features.join(fresh, "seq", "left_semi"), detector)
+
+        by_name, by_window = at_once(lambda: materialize(name_alerts(new, detector)), lambda: materialize(from_windows()))
+        raw = by_name.unionByName(by_window)
+
+        previous = _state(spark, folders.last_alerts, batch, LAST)
+        emitted = materialize(apply_cooldown(raw, detector.cooldown_us, previous=previous.drop("seen_us")))
+        public_columns(emitted).write.mode("overwrite").json(_of(batch, folders.alerts))
+
+        # Sources: events that later windows of the same source can reach.
+        reach = detector.bucket_us * detector.n_buckets
+        newest = materialize(both.groupBy("src_ip").agg(
+            F.max("ts_us").alias("at"), F.max("now").alias("now"), F.max("seen_us").alias("was")))
+        sources, live, gone = _kept(["src_ip"], newest, _clock(newest), idle_us)
+        held = both.drop("seen_us", "now").join(newest.select("src_ip", "at"), "src_ip").where(
+            F.col("at") - F.col("ts_us") < reach).join(sources, "src_ip")
+        write(held.select(*HISTORY.fieldNames()), folders.history)
+
+        # Flows: the last emission, which the cooldown starts from. One that lies ahead of the clock doesn't silence the flow.
+        memory = max(detector.cooldown_us or 0, idle_us)
+        emissions = materialize(
+            emitted.select(*KEYS, F.col("ts_us").alias("at"), F.lit(True).alias("now"), F.lit(None).cast("long").alias("was"))
+            .unionByName(previous.select(*KEYS, F.col("last_us").alias("at"), F.lit(False).alias("now"), F.col("seen_us").alias("was"))))
+        clock = _clock(emissions.groupBy(*KEYS).agg(F.max("at").alias("at")))
+        flows = emissions.where(F.col("at") - clock <= memory).groupBy(*KEYS).agg(
+            F.max("at").alias("last_us"), F.max("now").alias("now"), F.max("was").alias("was"))
+        flows = materialize(flows)
+        kept, live_flows, gone_flows = _kept(list(KEYS), flows, clock, memory)
+        write(flows.select(*KEYS, "last_us").join(kept, list(KEYS)).select(*LAST.fieldNames()), folders.last_alerts)
+
+        n, bad = checked.agg(F.count(F.lit(1)), F.count("reason")).first()
+        row = (batch, n, bad, n - bad, emitted.count(), live, gone, live_flows, gone_flows)
+        write(spark.createDataFrame([row], COUNTS), folders.counts)
+    # A repeated batch needs the state before it, so only older state goes.
+    for path in (folders.history, folders.last_alerts):
+        if batch > 1:
+            remove_folder(spark, _of(batch - 2, path))
+
+
+def start(spark: SparkSession, source: str, folders: Folders, detector: Detector, idle_us: int = IDLE_US, **options: str) -> StreamingQuery:
+    """Start the query over all that is available; ``options`` are those of the file source."""
+    def step(lines: DataFrame, batch: int) -> None:
+        process_batch(lines, batch, folders, detector, idle_us)
+
+    return stream_lines(spark, source, **options).writeStream.foreachBatch(step).option(
+        "checkpointLocation", folders.checkpoint).trigger(availableNow=True).start()
+
+
+def read_counts(spark: SparkSession, folders: Folders) -> DataFrame:
+    """Counters of every micro-batch so far: one small row each."""
+    return spark.read.schema(COUNTS).parquet(f"{folders.counts}/batch=*")
+
+
+def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, idle_us: int = IDLE_US, **options: str) -> Folders:
     """Process everything that is available in ``source`` and return the folders of the run.
 
-    Call it again when more files have arrived: the checkpoints carry all state over.
+    Call it again when more files have arrived: checkpoint and state folders carry everything over.
     """
     folders = Folders(base)
-    first = [start_quarantine(spark, source, folders, **options),
-             start_names(spark, source, folders, detector, **options),
-             start_windows(spark, source, folders, detector, **options)]
-    for running in first:
-        running.awaitTermination()
-    folders.run_counts = stream_counts(first[0])
-    start_alerts(spark, folders, detector).awaitTermination()
+    last = lambda: read_counts(spark, folders).agg(F.max("batch")).first()[0] if has_folder(spark, folders.counts) else -1
+    before = last()
+    start(spark, source, folders, detector, idle_us, **options).awaitTermination()
+    if last() > before:
+        folders.run_counts = run_totals(read_counts(spark, folders).where(F.col("batch") > before))
     return folders

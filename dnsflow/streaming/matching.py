@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsflow.operators.matching import KEY, NXDOMAIN_RCODE
+from dnsflow.operators.matching import KEY, matched_events
 from dnsflow.sources.messages import queries, responses
 
+LAST_TIME = 253_402_300_799     # timestamps end with the year 9999
+
 
 def match_responses_stream(messages: DataFrame, within: str = "10 seconds", delay: str = "10 seconds") -> DataFrame:
     """Left outer stream join on the key and a time range; of several responses the last one decides.
@@ -13,7 +15,8 @@ def match_responses_stream(messages: DataFrame, within: str = "10 seconds", dela
     A query is emitted once the watermark passes its interval.
     """
     time = lambda df: F.timestamp_micros(F.floor(df["ts"] * 1_000_000).cast("long"))
-    asked, answered = queries(messages), responses(messages)
+    timely = messages.where(F.col("ts").between(0, LAST_TIME))
+    asked, answered = queries(timely), responses(timely)
     q = asked.withColumn("asked_at", time(asked)).withWatermark("asked_at", delay).alias("q")
     r = answered.withColumn("answered_at", time(answered)).withWatermark("answered_at", delay).select(
         *[F.col(k).alias(f"r_{k}") for k in KEY], "answered_at", F.col("seq").alias("r_seq"), "rcode").alias("r")
@@ -24,7 +27,4 @@ def match_responses_stream(messages: DataFrame, within: str = "10 seconds", dela
     matched = q.join(r, condition, "left_outer").groupBy(
         F.window("asked_at", "1 second"), "seq", "ts", "src_ip", "domain", "qtype").agg(
         F.max(F.struct("answered_at", "r_seq", "rcode")).alias("last"))
-    return matched.select(
-        "seq", "ts", "src_ip", "domain", "qtype", F.char_length("domain").cast("double").alias("length"),
-        F.coalesce(F.col("last.rcode") == NXDOMAIN_RCODE, F.lit(False)).alias("nxdomain"),
-        F.floor(F.col("ts") * 1_000_000).cast("long").alias("ts_us"))
+    return matched_events(matched.withColumn("rcode", F.col("last.rcode")))

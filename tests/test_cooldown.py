@@ -59,3 +59,10 @@ def test_state_carries_over_runs(spark):
 def test_switched_off(spark):
     rows = rows_of(50, 2)
     assert len(seqs(apply_cooldown(spark.createDataFrame(rows, SCHEMA), None))) == 50
+
+
+def test_times_near_the_end_of_long_end(spark):
+    last = 2**63 - 1
+    rows = [("DGA", "flow", t, i) for i, t in enumerate((0, 50, last - 100, last - 1, last))]
+    got = sorted(r["ts_us"] for r in apply_cooldown(spark.createDataFrame(rows, SCHEMA), 30).collect())
+    assert got[:3] == [0, 50, last - 100] and len(got) <= 4

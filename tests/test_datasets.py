@@ -42,7 +42,7 @@ def test_salted_join_equals_the_plain_one(spark, how):
     left = spark.createDataFrame([(1 if i % 3 else i % 7, i) for i in range(600)], "k int, seq long")
     right = spark.createDataFrame([(k, f"v{k}") for k in (0, 1, 3, 9)], "k int, v string")
     plain = sorted(map(tuple, left.join(right, "k", how).collect()))
-    salted = lookup_join(left, right, ["k"], how, spread=["seq"], broadcast_rows=1, hot_rows=50, salts=8)
+    salted = lookup_join(left, right, ["k"], how, spread=["seq"], broadcast_bytes=1, hot_rows=50, salts=8)
     assert sorted(map(tuple, salted.collect())) == plain
 
 

@@ -15,8 +15,8 @@ from dnsflow.plans.detect import Detector, detect, in_order, raw_alerts, scored_
 from dnsflow.plans.train import evaluate_forest, featurized, train_and_evaluate
 from dnsflow.schemas import EVENT, WINDOW_FEATURES
 from dnsflow.sources.lists import EXTRA_SUFFIXES, FALLBACK_WORDS, read_words, suffix_rules
-from dnsflow.sources.sinks import read_alerts, write_alerts
-from dnsflow.streaming.detect import detect_stream
+from dnsflow.sources.sinks import read_alerts, run_totals, write_alerts
+from dnsflow.streaming.detect import Folders, detect_stream, process_batch, read_counts
 from tests.helpers import SUFFIX_LINES, event
 
 BURST_HOST = "203.0.113.7"
@@ -157,13 +157,66 @@ def test_stream_equals_batch(spark, detector, tmp_path):
     (source / "b.jsonl").write_text("\n".join(lines[half:]))      # arrives later; state carries over
     folders = detect_stream(spark, str(source), base, detector)
     assert detect_stream(spark, str(source), base, detector).run_counts == {}      # nothing new
-    assert folders.run_counts == {"lines": len(lines) - half, "rejected": int(half <= 10) + int(half <= 40), "events": len(lines) - half - int(half <= 40) - int(half <= 10)}
+    bad = int(half <= 10) + int(half <= 40)
+    counts = folders.run_counts
+    assert (counts["lines"], counts["rejected"], counts["events"]) == (len(lines) - half, bad, len(lines) - half - bad)
+    assert counts["active_sources"] > 0 and counts["expired_sources"] == 0
+    everything = run_totals(read_counts(spark, folders))
+    assert everything["lines"] == len(lines) and everything["alerts"] == read_alerts(spark, folders.alerts).count()
+    left = {p.name for p in (tmp_path / "run" / "history").iterdir()}
+    assert left == {"batch=0", "batch=1"}
     assert sorted(r["reason"] for r in spark.read.parquet(f"{folders.rejects}/batch=*").collect()) == [
         "invalid JSON", "missing required field(s): src_ip, domain, qtype, length"]
     batch = detect(spark.createDataFrame(rows, EVENT), detector)
     assert key_rows(read_alerts(spark, folders.alerts)) == key_rows(batch)
 
 
+FIELDS = ("seq", "ts", "src_ip", "domain", "qtype", "length", "nxdomain")
+
+
+def as_lines(rows):
+    return [json.dumps(dict(zip(FIELDS, r))) for r in rows]
+
+
+def feed(spark, folders, detector, batch, lines, **options):
+    process_batch(spark.createDataFrame([(x,) for x in lines], "value string"), batch, folders, detector, **options)
+
+
+def test_extreme_times_harm_no_other_source(spark, detector, tmp_path):
+    rows, folders = numbered(traffic()), Folders(str(tmp_path / "run"))
+    crafted = [json.dumps(dict(zip(FIELDS, (0, ts, "10.7.7.7", "xk3j9qzb7w1x0.net", "A", 17, False)))) for ts in (4e9, 1e15, 1e300)]
+    crafted.append(crafted[0].replace("4000000000.0", "1e400"))
+    half = len(rows) // 2
+    feed(spark, folders, detector, 0, [*as_lines(rows[:half]), *crafted])
+    feed(spark, folders, detector, 1, as_lines(rows[half:]))
+    got = [k for k in key_rows(read_alerts(spark, folders.alerts)) if k[0] != 4e9]
+    assert got == key_rows(detect(spark.createDataFrame(rows, EVENT), detector))
+    reasons = [r["reason"] for r in spark.read.parquet(f"{folders.rejects}/batch=*").collect()]
+    assert len(reasons) == 3 and all(r.startswith("ts is out of range") for r in reasons)
+
+
+def test_idle_keys_expire_and_scratch_tables_go(spark, detector, tmp_path):
+    folders = Folders(str(tmp_path / "run"))
+    name = "xk3j9qzb7w1x0.net"
+    early = [event(i, float(i), f"10.1.0.{i}", name, "A", 17) for i in range(4)]
+    late = [event(i, 5000.0 + i, f"10.2.0.{i}", name, "A", 17) for i in range(9)]
+    before = {p.name for p in (tmp_path.parent).rglob("scratch-*")}
+    feed(spark, folders, detector, 0, as_lines(early))
+    feed(spark, folders, detector, 1, as_lines(late))
+    counts = {r["batch"]: r for r in read_counts(spark, folders).collect()}
+    assert (counts[0]["active_sources"], counts[0]["expired_sources"]) == (4, 0)
+    assert (counts[1]["active_sources"], counts[1]["expired_sources"]) == (9, 4)
+    assert counts[1]["active_flows"] == 1
+    assert {p.name for p in (tmp_path.parent).rglob("scratch-*")} == before
+
+
+def test_alert_ids_are_unique_and_repeat(spark, detector):
+    rows = numbered([event(i, 5.0, f"10.0.0.{i % 2}", "xk3j9qzb7w1x0.net", "A", 17) for i in range(6)])
+    free = Detector(**{**detector.__dict__, "cooldown_us": None})
+    ids = [sorted(r["alert_id"] for r in detect(spark.createDataFrame(rows, EVENT), free).collect()) for _ in range(2)]
+    assert len(set(ids[0])) == 6 and ids[0] == ids[1]
+
+
 def test_ablation(spark, normal_windows, forest):
     odd = normal_windows.limit(60).withColumn("unique_subdomains", F.col("query_rate").cast("double") * 4)
     labelled = odd.withColumn("label", F.lit("normal")).withColumn("tool", F.lit("normal"))

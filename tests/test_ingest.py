@@ -105,7 +105,8 @@ def test_list_files(spark, tmp_path):
     (tmp_path / "words.txt").write_text("Cloud\n\n at \n")
     assert sorted(r["word"] for r in read_words(spark, str(tmp_path / "words.txt")).collect()) == ["at", "cloud"]
     (tmp_path / "12_zeus_dga.csv").write_text('domain,seen\n"AB.com",1\nab.com,2\nx.net,3,too,many\ny.org,4\n')
-    (tmp_path / "3_mirai_v2_dga.csv").write_text("domain,seen\nq.com,1\n")
+    (tmp_path / "3_mirai_v2_dga.csv").write_text("seen,domain\n1,q.com\n")
+    (tmp_path / "4_none_dga.csv").write_text("name,seen\nlost.com,1\n")
     got = {(r["domain"], r["family"]) for r in read_family_domains(spark, str(tmp_path / "*_dga.csv")).collect()}
     assert got == {("ab.com", "zeus"), ("y.org", "zeus"), ("q.com", "mirai_v2")}
 

@@ -136,11 +136,7 @@ def bigram_score(spark, sf_dir):
 
 @query
 def dictionary_coverage(spark, sf_dir):
-    """Coverage by the words of six letters and more, so that not every word covers itself."""
-    words = materialize(t.tokens(spark, sf_dir))
-    lex = lexical.lexicon(words.where(F.char_length("word") >= 6))
-    return t.rounded(lexical.word_features(t.host_labels(spark, sf_dir), lex).select("label", "dict_word_ratio"),
-                     "dict_word_ratio")
+    return t.rounded(_word_features(spark, sf_dir).select("label", "dict_word_ratio"), "dict_word_ratio")
 
 
 @query
@@ -187,7 +183,7 @@ def _window_alerts(spark, sf_dir):
 @query
 def alert_envelope(spark, sf_dir):
     a = _window_alerts(spark, sf_dir).select(
-        "timestamp", "flow_id", "threat_class", "severity", "confidence", "seq",
+        "alert_id", "timestamp", "flow_id", "threat_class", "severity", "confidence", "seq",
         *[F.col(f"evidence.{f}").alias(f) for f in WINDOW_FEATURES],
         F.col("evidence.entropy").isNull().alias("no_lexical_evidence"))
     return t.rounded(a, "confidence", *WINDOW_FEATURES)
@@ -203,7 +199,7 @@ def dga_alert_envelope(spark, sf_dir):
     scored = lookup_join(e.drop("length"), materialize(names), ["domain"], "inner", spread=["seq"]).withColumn(
         "prob", F.least(F.col("hex_char_ratio") * 1.5 + F.col("digit_ratio"), F.lit(1.0)))
     a = al.dga_alerts(scored).select(
-        "seq", "timestamp", "flow_id", "threat_class", "severity", "confidence", F.col("evidence.src_ip").alias("src_ip"),
+        "alert_id", "seq", "timestamp", "flow_id", "threat_class", "severity", "confidence", F.col("evidence.src_ip").alias("src_ip"),
         F.col("evidence.entropy").alias("entropy"), F.col("evidence.length").alias("length"),
         F.col("evidence.query_rate").isNull().alias("no_window_evidence"))
     return t.rounded(a, "confidence", "entropy")
@@ -236,7 +232,7 @@ def first_alert_per_flow(spark, sf_dir):
 
 @query
 def alert_cooldown(spark, sf_dir):
-    raw = t.dns_events(spark, sf_dir).where("qtype = 'TXT'").select(
+    raw = t.dns_events(spark, sf_dir).select(
         F.lit(TUNNELLING).alias("threat_class"), F.col("src_ip").alias("flow_id"), "ts_us", "seq")
     return cooldown.apply_cooldown(raw, COOLDOWN_US)
 
@@ -440,7 +436,7 @@ def _windows(spark, sf_dir):
 def _forest(spark, sf_dir) -> Forest:
     """Trained on the windows that are long enough to be scored."""
     return _once(spark, sf_dir, "forest", lambda: train_forest(
-        _windows(spark, sf_dir).where(F.col("query_rate") >= 3), "seq"))
+        _windows(spark, sf_dir).where(F.col("query_rate") >= al.MIN_QUERIES), "seq"))
 
 
 def detector(spark, sf_dir) -> dt.Detector:
@@ -449,7 +445,7 @@ def detector(spark, sf_dir) -> dt.Detector:
         rules, _lexicon(spark, sf_dir), _classifier(spark, sf_dir), _forest(spark, sf_dir),
         allowlist=_once(spark, sf_dir, "allowed", lambda: allowlist.popular_domains(
             t.popular_hosts(spark, sf_dir), rules)),
-        cooldown_us=24 * t.HOUR_US, min_queries=3, bucket_us=t.HOUR_US)
+        cooldown_us=24 * t.HOUR_US, bucket_us=t.HOUR_US)
 
 
 @query
@@ -479,7 +475,7 @@ def forest_scores(spark, sf_dir):
 @query
 def forest_flags(spark, sf_dir):
     """Windows with enough queries by flag."""
-    enough = _windows(spark, sf_dir).where(F.col("query_rate") >= 3)
+    enough = _windows(spark, sf_dir).where(F.col("query_rate") >= al.MIN_QUERIES)
     scored = _forest(spark, sf_dir).score(enough)
     return scored.groupBy((F.col("decision") < 0).alias("flagged")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("query_rate").alias("mean_rate"))

@@ -1,7 +1,10 @@
 """SQL twins of the catalog queries, written independently for DuckDB."""
 
-from dnsflow.sources.lists import EXTRA_SUFFIXES
-
+# Suffixes that the public list lacks.
+EXTRA_SUFFIXES = (
+    "dynserv.com freedynamicdns.net freedynamicdns.org mooo.com myddns.me mynumber.org viewdns.net yi.org "
+    "co.cc cz.cc localtunnel.me serveo.net glitch.me"
+).split()
 HOUR = 3_600_000_000
 
 HOSTS = "hosts as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as domain from pages)"
@@ -34,6 +37,12 @@ full_features as (
   select f.*, round(greatest(h, 0.0), 6) as record_type_entropy from features f join entropies using ({keys}))"""
 
 
+def _alert_id(threat_class: str, flow: str) -> str:
+    """Hash of the parts of an alert's identity, each after its length."""
+    parts = (threat_class, flow, "src_ip", "cast(seq as varchar)", "cast(ts_us as varchar)")
+    return "sha256(concat(" + ", ".join(f"length({x}), ':', {x}" for x in parts) + ")) as alert_id"
+
+
 PER_EVENT = EVENTS + ", " + _features("seq", """
   select a.seq, x.domain, x.qtype, x.length, x.nxdomain from dns_events a join dns_events x
     on a.src_ip = x.src_ip and x.bucket between a.bucket - 11 and a.bucket and x.seq <= a.seq""")
@@ -227,7 +236,7 @@ GENERATED = """generated as (
     else translate(substr(md5(text), 1, 14), '0123456789', 'ghijklmnop') end, '.net') as domain, source as family
   from documents)"""
 DOMAINS = f"""{HOSTS}, {TOKENS}, {GENERATED},
-benign as (select concat(word, '.com') as domain from tokens where length(word) >= 4 union select domain from hosts),
+benign as (select concat(word, '.com') as domain from tokens union select domain from hosts),
 labelled as (select domain, 1 as label, family from generated union all select domain, 0, 'benign' from benign)"""
 SESSIONS = EVENTS + """,
 tools as (
@@ -274,7 +283,7 @@ ORACLES: dict[str, str] = {
     "lexical_basic": f"with {LABELS}, {_basic('labels_in', 'label')} select * from basic",
     "bigram_model": f"with {TOKENS}, {BIGRAMS} select bigram, round(prob, 9) as prob from model",
     "bigram_score": f"with {LABELS}, {BIGRAMS}, {_bigram_score('labels_in', 'label')} select * from scores",
-    "dictionary_coverage": f"with {LABELS}, {_coverage('labels_in', 'label', 6)} select * from coverage",
+    "dictionary_coverage": f"with {LABELS}, {_coverage('labels_in', 'label', 3)} select * from coverage",
     "lexical_features": f"""with {REGISTRABLE}, {TOKENS}, {BIGRAMS},
         reg_labels as (select distinct registrable_label as name from registrable),
         {_basic('reg_labels', 'name')}, {_bigram_score('reg_labels', 'name')}, {_coverage('reg_labels', 'name', 3)}
@@ -293,7 +302,8 @@ ORACLES: dict[str, str] = {
     "alert_envelope": f"""with {ALERTS}
         select timestamp, flow_id, threat_class, severity, round(confidence, 6) as confidence, seq,
                cast(query_rate as double) as query_rate, unique_subdomains, avg_query_len, txt_ratio, nxdomain_rate,
-               non_a_ratio, record_type_entropy, true as no_lexical_evidence from alerts""",
+               non_a_ratio, record_type_entropy, true as no_lexical_evidence, {_alert_id("'DNS_TUNNELLING'", "src_ip")}
+        from alerts""",
     "dga_alert_envelope": f"""with {EVENTS}, names as (select distinct domain from dns_events), {_basic('names', 'domain')},
         scored as (select e.*, b.length as n_chars, entropy,
           least(length(regexp_replace(domain, '[^0-9a-f]', '', 'g')) / length(domain) * 1.5
@@ -301,7 +311,8 @@ ORACLES: dict[str, str] = {
           from dns_events e join basic b on b.label = e.domain)
         select seq, ts as timestamp, domain as flow_id, 'DGA' as threat_class,
           case when prob >= 0.85 then 'CRITICAL' when prob >= 0.6 then 'HIGH' when prob >= 0.3 then 'MEDIUM' else 'LOW' end as severity,
-          round(prob, 6) as confidence, src_ip, entropy, n_chars as length, true as no_window_evidence
+          round(prob, 6) as confidence, src_ip, entropy, n_chars as length, true as no_window_evidence,
+          {_alert_id("'DGA'", "domain")}
         from scored where prob > 0.5""",
     "severity_counts": f"with {ALERTS} select severity, count(*) as n from alerts group by severity",
     "class_counts": f"with {ALERTS} select threat_class, count(*) as n from alerts group by threat_class",
@@ -312,7 +323,7 @@ ORACLES: dict[str, str] = {
                round(arg_min(confidence, seq), 6) as confidence from alerts group by flow_id""",
     "alert_cooldown": f"""with recursive {EVENTS},
         raw as (select src_ip as flow_id, ts_us, seq, row_number() over (partition by src_ip order by seq) as r
-                from dns_events where qtype = 'TXT'),
+                from dns_events),
         chain as (
           select flow_id, ts_us, seq from raw where r = 1
           union all

@@ -130,9 +130,8 @@ def generated_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benign_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names made of words of four letters and more, and the hosts."""
-    words = tokens(spark, sf_dir).where(F.char_length("word") >= 4).select(
-        F.concat("word", F.lit(".com")).alias("domain"))
+    """Names made of all words, and the hosts."""
+    words = tokens(spark, sf_dir).select(F.concat("word", F.lit(".com")).alias("domain"))
     return words.unionByName(hosts(spark, sf_dir).select("domain")).distinct()
 
 

@@ -29,3 +29,54 @@ select page_id, payload_bytes,
   case when page_id is distinct from first_id then first_id end as refers_to
 from groups
 """
+
+ORACLES["op4_source_mix"] = r"""
+with recursive sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+totals as (select source, sum(size)::bigint as source_size from sized group by source),
+sources as (
+  select source, source_size, 3.0::double * source_size as cap,
+    (array[5.0, 2.0, 1.0])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight from totals),
+fill as (
+  select 0 as step, 0.0::double as level
+  union all
+  select step + 1, (select (sum(source_size) - sum(case when weight * level > cap then cap else 0 end))::double
+                           / sum(case when weight * level > cap then 0 else weight end) from sources)
+  from fill where step < (select count(*) from sources)),
+targets as (
+  select source, source_size, least(cap, weight * (select max_by(level, step) from fill)) as target from sources),
+goals as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from targets),
+placed as (
+  select s.*, g.source_size, g.target, g.whole, round(g.target)::bigint - g.whole * g.source_size as rest,
+    sum(s.size) over (partition by s.source order by md5(concat(s.doc_id, ':mix-1')), s.size
+                      rows between unbounded preceding and current row)::bigint as upto
+  from sized s join goals g on s.source is not distinct from g.source)
+select doc_id, size, source_size, target,
+  (whole * size + greatest(0, least(size, rest - (upto - size))))::bigint as taken
+from placed
+"""
+
+ORACLES["op5_jaccard_join"] = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from split where len(w) > 0)),
+sizes as (select doc_id, count(*)::bigint as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a, b from links union select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from split
+  union
+  select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select s.doc_id, coalesce(n, 0) as n_shingles, (select min(b) from reach r where r.a = s.doc_id) as component_id
+from split s left join sizes z on z.doc_id = s.doc_id
+"""

@@ -13,16 +13,16 @@ Nulls: a null text is empty, thus one end id; a null doc_id comes first. Rows th
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +33,7 @@ from dnsflow.operators.scale import checkpoint_folder
 INDEX = "shard int, file string, ordinal long, doc_id long, first long, offset long, length long"
 CACHED_WORDS = 1_500_000    # a worker remembers the ids of so many chunks of at most CACHED_LENGTH characters
 CACHED_LENGTH = 40
-ROWS = 256                  # texts that are split into chunks at a time
-#: White space other than space, tab, newline and return: texts that hold any are split at those four only.
-_RARE_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_PLAIN_SPACE = re.compile("[ \t\n\r]+")
+ROWS = 4096                 # texts that are split into chunks at a time
 
 
 @dataclass(frozen=True)
@@ -51,8 +48,8 @@ class RecordFiles:
 class ChunkEncoder:
     """Ids of texts for a tokenizer that drops white space and never matches across it.
 
-    Such a text is the sequence of its chunks between white space, and most chunks repeat: each is encoded by
-    the library once per worker, in one call per batch of texts.
+    Such a text is the sequence of its chunks between ASCII white space, and most chunks repeat: each is encoded by the library once per
+    worker, in one call per batch of texts. Other white space stays inside a chunk and is the library's to drop.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -63,28 +60,34 @@ class ChunkEncoder:
         self.width = id_width(tokenizer_path)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
-        kind = f"<u{self.width}"
-        chunks = [self._chunks(t) for t in texts]
-        known = self.known
-        new = [c for c in set().union(*chunks) if c not in known]
-        fresh = {}
+        chunks = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = chunks.flatten().dictionary_encode()
+        places = coded.indices.to_numpy()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        # Where in the ids of all different chunks the ids of each chunk in the texts lie.
+        lengths = sizes[places]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts[places], lengths)
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")[at]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(chunks.value_lengths().to_numpy())])].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        ids = list(map(self.known.get, chunks))
+        new = [i for i, known in enumerate(ids) if known is None]
+        room = len(self.known) + len(new) <= CACHED_WORDS
         for start in range(0, len(new), 5_000):
-            some = new[start:start + 5_000]
-            for chunk, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[chunk] = np.asarray(encoded.ids, kind).tobytes()
-        if len(known) + len(fresh) <= CACHED_WORDS:
-            known.update((c, i) for c, i in fresh.items() if len(c) <= CACHED_LENGTH)
-        if not fresh:
-            return [b"".join([known[c] for c in row]) for row in chunks]
-        return [b"".join([known[c] if c in known else fresh[c] for c in row]) for row in chunks]
-
-    @staticmethod
-    def _chunks(text: str | None) -> list[str]:
-        if not text:
-            return []
-        return [c for c in _PLAIN_SPACE.split(text) if c] if _RARE_SPACE.search(text) else text.split()
+            some = [chunks[i] for i in new[start:start + 5_000]]
+            for i, chunk, encoded in zip(new[start:], some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids[i] = array(kind, encoded.ids).tobytes()
+                if room and len(chunk) <= CACHED_LENGTH:
+                    self.known[chunk] = ids[i]
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -142,7 +145,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, text: str =
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}")
             rows = []
-            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 record = frame(ids + end)
                 out.write(record)
                 rows.append((shard, name, ordinal, i, first, offset, len(record)))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from dnsflow.llm import token_records as t
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello world, it's 42!", None, "", "ÀÉ nbsp  wide x\x1cy", "<|endoftext|> stays text", "é́ é ́a ΑΣ ΑΣ. İ", "a b " * 5000, "x" * 3000]
+TEXTS = ["Hello world, it's 42!", None, "", "ÀÉ nbsp  wide x\x1cy", "<|endoftext|> stays text", "é́ é ́a ΑΣ ΑΣ. İ", "a b " * 5000, "x" * 3000, "\x0btab\x0cfeed\x0b ", " \n ", "a\u3000b\xa0c\x85d"]
 
 
 def expected(texts):
@@ -61,5 +62,5 @@ def test_damage_is_found():
 def test_chunks_beyond_the_cache_are_still_encoded(monkeypatch):
     monkeypatch.setattr(t, "CACHED_WORDS", 2)
     texts = ["one two three", "three four one", "five"]
-    got = [np.frombuffer(b, "<u2").tolist() + [1] for b in t.ChunkEncoder(PATH).encode(texts)]
+    got = [np.frombuffer(b, "<u2").tolist() + [1] for b in t.ChunkEncoder(PATH).encode(pa.array(texts))]
     assert got == expected(texts)

@@ -128,10 +128,11 @@ def fixed_sessions(
         "label", F.when(F.col("tool") == "normal", "normal").otherwise("tunnel"))
 
 
-def _draw(low: int, high: Column | int, *parts: Column | str) -> Column:
-    """Hash-derived integer in ``low .. high``."""
+def _draw(low: int, high: Column | int, *parts: Column) -> Column:
+    """Integer in ``low .. high`` from the MD5 of the parts, which other engines reproduce."""
     high = F.lit(high) if isinstance(high, int) else high
-    return F.pmod(F.xxhash64(*parts), high - low + 1) + low
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), high - low + 1) + low
 
 
 def bootstrap_sessions(

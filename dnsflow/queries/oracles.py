@@ -248,6 +248,24 @@ ranked as (
 chunks as (select *, (r - 1) // k as session from ranked where ((r - 1) // k + 1) * k <= n),
 """ + _features("tool, session", "select tool, session, domain, qtype, length, nxdomain from chunks")
 
+
+
+def _draw(low: str, high: str, *parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', 42, {', '.join(parts)})), 1, 8))::bigint % ({high} - {low} + 1) + {low})"
+
+
+BOOTSTRAP = SESSIONS.split("ranked as (")[0] + f"""
+pool as (select *, row_number() over (order by md5(concat(seq, ':42'))) as place, count(*) over () as n
+  from tools where tool = 'normal'),
+plans as (
+  select s as session, n, least({_draw('2', '5', 's', "'f'")}, n) as favourites, {_draw('8', '20', 's', "'n'")} as size,
+    {_draw('0', 'n - 1', 's', "'start'")} as start, {_draw('1', 'greatest((n - 1) // 5, 1)', 's', "'step'")} as step
+  from (select unnest(range(416)) as s), (select max(n) as n from pool)),
+draws as (select *, unnest(range(1, size + 1)) as draw from plans),
+places as (
+  select session, (start + {_draw('0', 'favourites - 1', 'session', 'draw', "'pick'")} * step) % n + 1 as place from draws),
+""" + _features("session", "select session, domain, qtype, length, nxdomain from places join pool using (place)")
+
 ORACLES: dict[str, str] = {
     "event_validation": f"""with {LINES}
         select seq, cast(json_extract_string(j, '$.ts') as double) as ts, ip as src_ip, domain, qtype,
@@ -426,4 +444,7 @@ ORACLES: dict[str, str] = {
                round(avg(txt_ratio), 6) as txt_ratio, round(avg(non_a_ratio), 6) as non_a_ratio,
                round(avg(h), 6) as record_type_entropy
         from exact join entropies using (tool, session) group by tool""",
+    "bootstrap_sessions": f"""with {BOOTSTRAP}
+        select session, query_rate, unique_subdomains, avg_query_len, txt_ratio, 0.0::double as nxdomain_rate, non_a_ratio,
+               record_type_entropy, 'normal' as label, 'normal_realistic' as tool from full_features""",
 }

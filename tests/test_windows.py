@@ -46,7 +46,7 @@ def test_slide_features_equal_the_last_event_of_a_bucket(spark):
 
 
 def burst(n=60):
-    return [event(i, i, "10.0.0.7", f"{i}-chunk.tunnel.example.com", "TXT", 55, True) for i in range(n)]
+    return [event(i, i, "10.0.0.7", f"{i}-part.leak.test.org", "TXT", 55, True) for i in range(n)]
 
 
 def test_burst_then_decay(spark):
@@ -59,7 +59,7 @@ def test_burst_then_decay(spark):
 
 
 def test_bucket_edges_and_repeats(spark):
-    rows = [event(i, i, domain=f"dup{i % 3}.example.com") for i in range(10)]
+    rows = [event(i, i, domain=f"again{i % 3}.test.org") for i in range(10)]
     rows += [event(10, 4.999, "b", "x"), event(11, 5.0, "b", "x"), event(12, 59.999, "b", "y"), event(13, 60.0, "b", "y")]
     got = {r["seq"]: r for r in window_features(frame(spark, rows)).collect()}
     assert got[9]["unique_subdomains"] == 3
@@ -67,14 +67,14 @@ def test_bucket_edges_and_repeats(spark):
 
 
 def test_quiet_source_does_not_accumulate(spark):
-    rows = [event(i, 30.0 * i, domain=f"site{i}.example.com") for i in range(120)]
+    rows = [event(i, 30.0 * i, domain=f"quiet{i}.test.org") for i in range(120)]
     for row in window_features(frame(spark, rows)).collect():
         assert row["query_rate"] <= 3 and row["unique_subdomains"] <= 3
 
 
 def test_flood_is_estimated(spark):
-    rows = [event(i, 0.0, domain=f"{i}-flood.example.com", qtype="TXT") for i in range(500)]
-    rows += [event(500, 0.0, "10.0.0.2", "one.example.com")]
+    rows = [event(i, 0.0, domain=f"{i}-storm.test.org", qtype="TXT") for i in range(500)]
+    rows += [event(500, 0.0, "10.0.0.2", "single.test.org")]
     got = {r["src_ip"]: r for r in unique_names(frame(spark, rows)).where("slide = 0").collect()}
     assert got["10.0.0.1"]["is_estimate"] and abs(got["10.0.0.1"]["unique_subdomains"] - 500) < 25
     assert not got["10.0.0.2"]["is_estimate"] and got["10.0.0.2"]["unique_subdomains"] == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dnsflow.functions.text import basic_features
@@ -48,6 +48,43 @@ def event_rejects(spark, sf_dir):
     return ev.rejected(ev.check_events(t.event_lines(spark, sf_dir))).select("seq", "raw", "reason")
 
 
+@query
+def event_log_scan(spark, sf_dir):
+    """Events of a JSON-lines log in files, which hold the same lines."""
+    path = f"{checkpoint_folder(spark)}/dnsflow/lines-{uuid.uuid4().hex}"
+    t.event_lines(spark, sf_dir).select("value").write.text(path)
+    clean = ev.accepted(ev.check_events(ev.read_lines(spark, path)))
+    return clean.select("ts", "src_ip", "domain", "qtype", "length", "nxdomain")
+
+
+@query
+def run_counters(spark, sf_dir):
+    """Lines, rejects and events of an ingest run, observed while it is written."""
+    seen = Observation(f"run-{uuid.uuid4().hex}")
+    sinks.count_run(ev.check_events(t.event_lines(spark, sf_dir)), seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["lines"], seen.get["rejected"], seen.get["events"])], "lines long, rejected long, events long")
+
+
+@query
+def message_filter(spark, sf_dir):
+    """Matching where messages lack IP, UDP, a question or a name, and some names are too long to be valid."""
+    seq = F.col("seq")
+    damaged = t.messages(spark, sf_dir).withColumns({
+        "has_ip": seq % 11 != 0, "has_udp": seq % 13 != 0, "qdcount": F.when(seq % 17 == 0, 0).otherwise(F.col("qdcount")),
+        "qname": F.when(seq % 19 == 0, F.lit(None)).when(seq % 23 == 0, F.repeat(F.lit("x"), 300)).otherwise(F.col("qname"))})
+    return matching.match_responses(damaged).drop("ts")
+
+
+@query
+def ranked_list(spark, sf_dir):
+    """The first ten ranks of a popularity list in a file."""
+    path = f"{checkpoint_folder(spark)}/dnsflow/ranks-{uuid.uuid4().hex}"
+    counts = t.hosts(spark, sf_dir).groupBy("domain").count()
+    rank = F.row_number().over(Window.orderBy(F.col("count").desc(), "domain"))     # one row per host
+    counts.select(rank.alias("rank"), "domain").write.csv(path)
+    return lists.read_ranked_list(spark, path, 10)
+
+
 @query
 def query_response_match(spark, sf_dir):
     return matching.match_responses(t.messages(spark, sf_dir)).drop("ts")
@@ -249,6 +286,14 @@ def class_report(spark, sf_dir):
     return t.rounded(evaluation.classification_report(t.scored_documents(spark, sf_dir)), "precision", "recall", "f1")
 
 
+@query
+def report_sink(spark, sf_dir):
+    """The class report, written as JSON and read back."""
+    report, path = class_report(spark, sf_dir), f"{checkpoint_folder(spark)}/dnsflow/report-{uuid.uuid4().hex}"
+    sinks.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @query
 def roc_auc(spark, sf_dir):
     return t.rounded(evaluation.roc_auc(t.scored_documents(spark, sf_dir)), "auc")

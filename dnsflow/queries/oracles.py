@@ -447,4 +447,18 @@ ORACLES: dict[str, str] = {
     "bootstrap_sessions": f"""with {BOOTSTRAP}
         select session, query_rate, unique_subdomains, avg_query_len, txt_ratio, 0.0::double as nxdomain_rate, non_a_ratio,
                record_type_entropy, 'normal' as label, 'normal_realistic' as tool from full_features""",
+    "event_log_scan": f"""with {LINES}
+        select cast(json_extract_string(j, '$.ts') as double) as ts, ip as src_ip, domain, qtype,
+               cast(json_extract_string(j, '$.length') as double) as length,
+               coalesce(cast(json_extract_string(j, '$.nxdomain') as boolean), false) as nxdomain
+        from checked where reason is null""",
+    "run_counters": f"""with {LINES}
+        select count(*) as lines, count(reason) as rejected, count(*) - count(reason) as events from checked""",
+    "message_filter": _matched("").replace("from asked q left join answered r", """from (
+          select * from asked where seq % 11 <> 0 and seq % 13 <> 0 and seq % 17 <> 0 and seq % 19 <> 0 and seq % 23 <> 0) q
+        left join (select * from answered where seq % 11 <> 0 and seq % 13 <> 0) r"""),
+    "ranked_list": f"""with {HOSTS}
+        select rank, domain from (
+          select row_number() over (order by count(*) desc, domain) as rank, domain from hosts group by domain) where rank <= 10""",
 }
+ORACLES["report_sink"] = ORACLES["class_report"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsflow.operators import alerts as al
@@ -25,7 +25,7 @@ class Detector:
 
     rules: DataFrame
     lexicon: DataFrame
-    classifier: PipelineModel
+    classifier: PipelineModel | Column
     forest: Forest
     allowlist: DataFrame | None = None
     cooldown_us: int | None = COOLDOWN_US

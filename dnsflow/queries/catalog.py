@@ -13,7 +13,7 @@ from dnsflow.operators import alerts as al
 from dnsflow.operators import ablation as ab
 from dnsflow.operators import allowlist, cooldown, datasets, evaluation, lexical, matching, suffix, windows
 from dnsflow.operators.classifier import evaluate_classifier, held_out_families, score_names, train_classifier
-from dnsflow.operators.forest import Forest, train_forest
+from dnsflow.operators.forest import NODE_SCHEMA, Forest, train_forest
 from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize
 from dnsflow.plans import detect as dt
 from dnsflow.plans import train as tr
@@ -566,6 +566,56 @@ def counterfactual(spark, sf_dir):
         "*", evaluation.verdict(F.col("baseline_fp_rate"), F.col("revisit_fp_rate")).alias("verdict"))
 
 
+# --- detection by fixed rules, which SQL can repeat ---
+
+#: Two small trees over (query_rate, txt_ratio) and avg_query_len: tree, node, feature, threshold, left, right, depth, size.
+_FIXED_NODES = [
+    (0, 0, 0, 6.0, 1, 2, 0, 8), (0, 1, 0, float("inf"), 1, 1, 1, 6), (0, 2, 3, 0.25, 3, 4, 1, 2),
+    (0, 3, 0, float("inf"), 3, 3, 2, 1), (0, 4, 0, float("inf"), 4, 4, 2, 1),
+    (1, 0, 2, 15.5, 1, 2, 0, 8), (1, 1, 0, float("inf"), 1, 1, 1, 5), (1, 2, 0, float("inf"), 2, 2, 1, 3),
+]
+
+
+def _fixed_forest(spark) -> Forest:
+    return Forest(spark.createDataFrame(_FIXED_NODES, NODE_SCHEMA), sample=8, offset=-0.48)
+
+
+def _fixed_detector(spark, sf_dir) -> dt.Detector:
+    score = F.least(F.col("hex_char_ratio") * 0.75 + F.col("digit_ratio"), F.lit(1.0))
+    return dt.Detector(
+        _rules(spark, sf_dir), lexical.lexicon(materialize(t.tokens(spark, sf_dir))), score, _fixed_forest(spark),
+        cooldown_us=24 * t.HOUR_US, bucket_us=t.HOUR_US)
+
+
+@query
+def fixed_forest_scores(spark, sf_dir):
+    """Decisions of a small given forest for all windows."""
+    features = windows.window_features(materialize(t.threat_events(spark, sf_dir)), t.HOUR_US)
+    return t.rounded(_fixed_forest(spark).score(features).select("seq", "src_ip", "decision"), "decision", digits=9)
+
+
+@query
+def detect_fixed_batch(spark, sf_dir):
+    """All alerts after the cooldown, by a given forest and a given name score."""
+    alerts = dt.detect(materialize(t.threat_events(spark, sf_dir)), _fixed_detector(spark, sf_dir))
+    return t.rounded(alerts.select("seq", *_ALERT), "confidence", digits=9)
+
+
+@query
+def detect_fixed_stream(spark, sf_dir):
+    """The same through the streaming path, from JSON lines in files."""
+    return t.rounded(_streamed(spark, sf_dir, _fixed_detector(spark, sf_dir)), "confidence", digits=9)
+
+
+def _streamed(spark, sf_dir, by: dt.Detector) -> DataFrame:
+    base = f"{checkpoint_folder(spark)}/dnsflow/stream-{uuid.uuid4().hex}"
+    lines = t.threat_events(spark, sf_dir).select(
+        F.to_json(F.struct("seq", "ts", "src_ip", "domain", "qtype", "length", "nxdomain")).alias("value"))
+    lines.write.text(f"{base}/in")
+    folders = streaming.detect_stream(spark, f"{base}/in", base, by)
+    return sinks.read_alerts(spark, folders.alerts).select(*_ALERT)
+
+
 # --- detection ---
 
 _ALERT = ("timestamp", "flow_id", "threat_class", "severity", "confidence")
@@ -580,9 +630,4 @@ def detect_batch(spark, sf_dir):
 @query
 def detect_stream(spark, sf_dir):
     """The same events as JSON lines through the streaming path."""
-    base = f"{checkpoint_folder(spark)}/dnsflow/stream-{uuid.uuid4().hex}"
-    lines = t.threat_events(spark, sf_dir).select(
-        F.to_json(F.struct("seq", "ts", "src_ip", "domain", "qtype", "length", "nxdomain")).alias("value"))
-    lines.write.text(f"{base}/in")
-    folders = streaming.detect_stream(spark, f"{base}/in", base, detector(spark, sf_dir))
-    return sinks.read_alerts(spark, folders.alerts).select(*_ALERT)
+    return _streamed(spark, sf_dir, detector(spark, sf_dir))

@@ -462,3 +462,56 @@ ORACLES: dict[str, str] = {
           select row_number() over (order by count(*) desc, domain) as rank, domain from hosts group by domain) where rank <= 10""",
 }
 ORACLES["report_sink"] = ORACLES["class_report"]
+
+# Events where failing queries ask for random-looking names, with the features after each of them.
+THREATS = PER_EVENT.replace("dns_events as (", "plain_events as (", 1).replace(", frames as (", """,
+renamed as (
+  select * exclude (domain, length), case when nxdomain then concat(substr(md5(cast(seq as varchar)), 1, 12), '.net')
+    else domain end as domain from plain_events),
+dns_events as (select *, cast(length(domain) as double) as length from renamed), frames as (""", 1)
+
+
+def _expected_path(n: int) -> str:
+    """Mean path length of an unsuccessful search among n points."""
+    if n <= 2:
+        return "1.0" if n == 2 else "0.0"
+    return f"(2 * (ln({n - 1}) + 0.57721566490153286) - 2 * {n - 1}.0 / {n})"
+
+
+FIXED = THREATS + f""",
+exact as (
+  select seq, avg(length) as len, avg(case when qtype = 'TXT' then 1.0 else 0.0 end) as txt from frames group by seq),
+decided as (
+  select f.seq, e.src_ip, e.ts, e.ts_us, f.query_rate, 0.48 - pow(2, -((
+      case when f.query_rate <= 6 then 1 + {_expected_path(6)} else 2 end
+      + case when x.len <= 15.5 then 1 + {_expected_path(5)} else 1 + {_expected_path(3)} end) / 2) / {_expected_path(8)}) as decision
+  from full_features f join dns_events e using (seq) join exact x using (seq))"""
+ORACLES["fixed_forest_scores"] = f"with {FIXED} select seq, src_ip, round(decision, 9) as decision from decided"
+
+_NAMES = REGISTRABLE.split(HOSTS, 1)[1].lstrip(", \n")
+_DETECTED = f"""with recursive {FIXED}, {_NAMES},
+labels as (
+  select domain, registrable_label as label from registrable
+  union select domain, split_part(domain, '.', 1) from dns_events where nxdomain),
+scored as (
+  select domain, least(0.75 * length(regexp_replace(label, '[^0-9a-f]', '', 'g')) / length(label)
+    + length(regexp_replace(label, '[^0-9]', '', 'g')) / length(label), 1.0) as prob from labels),
+raw as (
+  select seq, ts, ts_us, domain as flow_id, 'DGA' as threat_class, prob as confidence
+  from dns_events join scored using (domain) where prob > 0.5
+  union all
+  select seq, ts, ts_us, src_ip, 'DNS_TUNNELLING', least(-decision, 1.0) from decided where query_rate >= 5 and decision < 0),
+placed as (select *, row_number() over (partition by threat_class, flow_id order by ts_us, seq) as r from raw),
+chain as (
+  select threat_class, flow_id, ts_us, r from placed where r = 1
+  union all
+  select threat_class, flow_id, ts_us, r from (
+    select n.*, row_number() over (partition by n.threat_class, n.flow_id order by n.r) as k
+    from chain c join placed n on n.flow_id = c.flow_id and n.threat_class = c.threat_class
+      and n.ts_us >= c.ts_us + {24 * HOUR} and n.r > c.r) where k = 1)
+select COLUMNS, flow_id, threat_class, round(confidence, 9) as confidence, ts as timestamp,
+  case when confidence >= 0.85 then 'CRITICAL' when confidence >= 0.6 then 'HIGH' when confidence >= 0.3 then 'MEDIUM'
+       else 'LOW' end as severity
+from chain join placed using (threat_class, flow_id, r)"""
+ORACLES["detect_fixed_batch"] = _DETECTED.replace("COLUMNS, ", "seq, ")
+ORACLES["detect_fixed_stream"] = _DETECTED.replace("COLUMNS, ", "")

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by partitioning the universe of shingles, with exact verification.
 
-Two sets of sizes r <= s with a Jaccard similarity of at least 85 % differ in at most 3 (r + s) / 37 elements and
-are in the same or in neighbouring size bands. For each band a hash deals all shingles into segments; by the pigeonhole principle, two
+Two sets of sizes r <= s with a Jaccard similarity of at least p differ in at most (1 - p) / (1 + p) (r + s) elements and
+are in the same or in neighbouring size bands. (``Rule``: five words and 80 %, unless a caller says otherwise.) For each band a hash deals all shingles into segments; by the pigeonhole principle, two
 similar sets agree on whole segments, up to as many credits as the scheme holds beyond the differences allowed. A segment
 that must agree exactly is one credit and costs one signature; a segment that may differ in one element is two credits and
 costs one signature per element more (its one-deletion neighbourhood, read off the sum that hashes the segment). ``scheme`` allocates by these costs:
@@ -19,7 +19,8 @@ a component without any id has null. Rows that share a doc_id and a text are one
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,7 @@ from pyspark.sql import functions as F
 from dnsflow.llm.components import components
 from dnsflow.operators.scale import materialize
 
-WORDS, PERCENT = 4, 85
 SMALL = 1               # subsets of up to so many shingles are left out where credits allow
-FIRST_SIZE = 6          # smaller sets are similar only if equal
 KNOWN_WORDS = 400_000   # word hashes that a worker remembers
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -79,7 +78,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), size))
 
 
@@ -89,32 +88,60 @@ def digest(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-@lru_cache(maxsize=None)
-def band_start(band: int) -> int:
-    return FIRST_SIZE if band == 0 else 100 * band_start(band - 1) // PERCENT + 1
-
-
-def band_of(size: int) -> int:
-    band = 0
-    while band_start(band + 1) <= size:
-        band += 1
-    return band
-
-
-@lru_cache(maxsize=None)
-def scheme(band: int) -> tuple[int, int, int]:
-    """(segments, segments with neighbourhoods, spare credits) for pairs whose smaller set is in ``band``."""
-    largest = band_start(band + 1) - 1
-    differences = (200 - 2 * PERCENT) * (largest + 100 * largest // PERCENT) // (2 * (100 + PERCENT))
-    if differences < 8:
-        segments = near = (differences + 2) // 2
-    else:
-        segments, near = differences + 2 + -(-differences // 16), 1
-    return segments, near, segments + near - differences
-
-
-def scheme_signatures(shingles: np.ndarray, band: int) -> np.ndarray:
-    segments, near, spare = scheme(band)
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of ``words`` words; sets are linked from ``percent`` on, in per cent."""
+
+    words: int = 5
+    percent: int = 80
+
+    def linked(self, common: int, size: int, other: int) -> bool:
+        return 100 * common >= self.percent * (size + other - common)
+
+    def allowed(self, size: int, other: int) -> int:
+        """In how many elements linked sets of these sizes differ at most."""
+        return (100 - self.percent) * (size + other) // (100 + self.percent)
+
+    def largest_partner(self, size: int) -> int:
+        return 100 * size // self.percent
+
+    @cached_property
+    def first_size(self) -> int:
+        """Sets that are smaller can only be linked with equal ones."""
+        size = 1
+        while self.allowed(size, self.largest_partner(size)) < 1:
+            size += 1
+        return size
+
+    @cached_property
+    def _starts(self) -> list[int]:
+        return [self.first_size]
+
+    def band_start(self, band: int) -> int:
+        """Smallest size in a band; the sizes that may be linked with a set are in its band or in a neighbouring one."""
+        while len(self._starts) <= band:
+            self._starts.append(self.largest_partner(self._starts[-1]) + 1)
+        return self._starts[band]
+
+    def band_of(self, size: int) -> int:
+        band = 0
+        while self.band_start(band + 1) <= size:
+            band += 1
+        return band
+
+    def scheme(self, band: int) -> tuple[int, int, int]:
+        """(segments, segments with neighbourhoods, spare credits) for pairs whose smaller set is in ``band``."""
+        largest = self.band_start(band + 1) - 1
+        differences = self.allowed(largest, self.largest_partner(largest))
+        if differences < 8:
+            segments = near = (differences + 2) // 2
+        else:
+            segments, near = differences + 2 + -(-differences // 16), 1
+        return segments, near, segments + near - differences
+
+
+def scheme_signatures(shingles: np.ndarray, band: int, rule: Rule) -> np.ndarray:
+    segments, near, spare = rule.scheme(band)
     salt = _times(band + 1)
     spread = mix(shingles ^ salt)
     own = ((spread >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
@@ -135,12 +162,12 @@ def scheme_signatures(shingles: np.ndarray, band: int) -> np.ndarray:
     return np.unique(np.concatenate([whole, fewer]))
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
+def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
     """Signatures of a set: as the smaller set of a pair in its own band, and as the larger one for the band below."""
-    if len(shingles) < FIRST_SIZE:
+    if len(shingles) < rule.first_size:
         return np.zeros(0, np.int64)
-    band = band_of(len(shingles))
-    parts = [scheme_signatures(shingles, b) for b in (band, band - 1) if b >= 0]
+    band = rule.band_of(len(shingles))
+    parts = [scheme_signatures(shingles, b, rule) for b in (band, band - 1) if b >= 0]
     return np.concatenate(parts).view(np.int64)
 
 
@@ -150,18 +177,18 @@ def _ids(docs: DataFrame) -> DataFrame:
         "key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
-def _index(docs: DataFrame) -> DataFrame:
+def _index(docs: DataFrame, rule: Rule) -> DataFrame:
     """key, doc_id, n_shingles, node and, for the first row of a set in a task, its signatures."""
     def run(batches):
         seen = set()
         for batch in batches:
             sizes, nodes, found = [], [], []
             for text in batch.column("text"):
-                shingles = shingle_set(text.as_py())
+                shingles = shingle_set(text.as_py(), rule.words)
                 node = digest(shingles)
                 sizes.append(len(shingles))
                 nodes.append(node)
-                found.append(signatures(shingles) if node not in seen else np.zeros(0, np.int64))
+                found.append(signatures(shingles, rule) if node not in seen else np.zeros(0, np.int64))
                 seen.add(node)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(flat, pa.int64()))
@@ -172,13 +199,13 @@ def _index(docs: DataFrame) -> DataFrame:
     return _ids(docs).mapInArrow(run, "key long, doc_id long, n_shingles long, node long, sigs array<long>")
 
 
-def _sets(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, index: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """The sorted shingles of each of ``nodes``: node, shingles (bytes)."""
     wanted = index.select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(t.as_py()) for t in batch.column("text")]
+            found = [shingle_set(t.as_py(), rule.words) for t in batch.column("text")]
             ids = pa.array([digest(s) for s in found], pa.int64())
             sets = pa.array([s.tobytes() for s in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), ids, sets], ["node", "own", "shingles"])
@@ -188,7 +215,7 @@ def _sets(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, own long, shingles binary").where("node = own").drop("own")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
     def run(batches):
         for batch in batches:
@@ -196,7 +223,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for a, b in zip(batch.column("a"), batch.column("b")):
                 a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
                 common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+                keep.append(rule.linked(common, len(a), len(b)))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
@@ -204,7 +231,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
 
-def _compared(tried: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(tried: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """For each (node, centre): whether they are linked, the node's size, in how many shingles they differ, and the first of these.
 
     ``firsts`` has as many of the differing shingles as ``_remaining`` may need, hashed with the centre: those that only the node has, then
@@ -217,8 +244,8 @@ def _compared(tried: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
                 added, removed = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
                 common = len(a) - len(added)
-                linked = 100 * common >= PERCENT * (len(a) + len(b) - common)
-                most = (100 - PERCENT) * (len(a) + 100 * len(a) // PERCENT) // (100 + PERCENT) + 1
+                linked = rule.linked(common, len(a), len(b))
+                most = rule.allowed(len(a), rule.largest_partner(len(a))) + 1
                 salt = mix(np.array([centre], np.int64).view(np.uint64))
                 firsts.append(mix(np.concatenate([added, removed])[:most] ^ salt).view(np.int64))
                 rows.append((linked, len(a), len(added) + len(removed)))
@@ -235,7 +262,7 @@ def _compared(tried: DataFrame, sets: DataFrame) -> DataFrame:
         run, "node long, centre long, linked boolean, size long, apart long, firsts array<long>")
 
 
-def _remaining(compared: DataFrame, labels: DataFrame) -> DataFrame:
+def _remaining(compared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (u, v) around one centre that may be linked though not yet in one component.
 
     Relative to their centre, u and v differ in |U| + |V| - 2 |U and V| shingles, where U and V are what tells each from the centre. So a link
@@ -256,9 +283,9 @@ def _remaining(compared: DataFrame, labels: DataFrame) -> DataFrame:
         rows.withColumn("least", F.min("label").over(same)).withColumn("most", F.max("label").over(same))
         .withColumn("any", F.max("outside").over(same)).where("least != most and any").drop("least", "most", "any"))
     side = lambda rows, n: rows.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "size", "apart", "place")])
-    allowed = F.expr(f"floor({100 - PERCENT} * (u_size + v_size) / {100 + PERCENT})")
+    allowed = F.expr(f"({100 - rule.percent} * (u_size + v_size)) div {100 + rule.percent}")
     possible = (
-        (F.col("u_label") != F.col("v_label")) & (100 * F.least("u_size", "v_size") >= PERCENT * F.greatest("u_size", "v_size"))
+        (F.col("u_label") != F.col("v_label")) & (100 * F.least("u_size", "v_size") >= rule.percent * F.greatest("u_size", "v_size"))
         & (2 * F.col("u_place") <= F.col("u_apart") - F.col("v_apart") + allowed)
         & (2 * F.col("v_place") <= F.col("v_apart") - F.col("u_apart") + allowed))
     found = side(shared.where("outside"), "u").join(side(shared, "v"), "key").where(possible)
@@ -269,39 +296,39 @@ def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct()
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
     """key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
-    index = materialize(_index(docs))
+    index = materialize(_index(docs, rule))
     whole = Window.partitionBy("sig")
     shared = materialize(
         index.select("node", F.explode("sigs").alias("sig"))
         .withColumn("least", F.min("node").over(whole)).withColumn("most", F.max("node").over(whole))
         .withColumn("k", F.count(F.lit(1)).over(whole)).where("least != most")
         .groupBy("sig", "node").agg(F.max("k").alias("k")))
-    sets = materialize(_sets(docs, index, shared.select("node").distinct()))
+    sets = materialize(_sets(docs, index, shared.select("node").distinct(), rule))
     # The set that shares most signatures, and those of the largest groups, is the likeliest to be near all others.
     weights = shared.groupBy("node").agg(F.sum("k").alias("weight"))
     centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(whole)["node"])
     tried = materialize(centres.select("node", "centre").where("node != centre").distinct())
-    compared = materialize(_compared(tried, sets))
+    compared = materialize(_compared(tried, sets, rule))
     links = compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    rest = materialize(_remaining(compared, materialize(components(links))))
-    labels = materialize(components(links.unionByName(materialize(_linked(rest, sets)))))
+    rest = materialize(_remaining(compared, materialize(components(links)), rule))
+    labels = materialize(components(links.unionByName(materialize(_linked(rest, sets, rule)))))
     return index.select("key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are not read)."""
-    own = _labelled(docs)
+    own = _labelled(docs, rule)
     first = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
     return own.join(first, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The document with the smallest id of each component (one without an id only if there is none), and all without shingles."""
-    own = materialize(_labelled(docs))
+    own = materialize(_labelled(docs, rule))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key"))["key"]
     kept = own.where("n_shingles > 0").groupBy("label").agg(best.alias("_key")).select("_key", F.lit(True).alias("_once"))
     free = own.where("n_shingles = 0").select(F.col("key").alias("_key"), F.lit(False).alias("_once")).distinct()

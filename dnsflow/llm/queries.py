@@ -111,7 +111,7 @@ def op2_toxicity_grammar(spark, sf_dir):
 @query
 def op5_jaccard_join(spark, sf_dir):
     """Components of documents whose four-word shingles agree to 85 %."""
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), jaccard_join.Rule(words=4, percent=85))
 
 
 @query

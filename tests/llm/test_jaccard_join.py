@@ -6,18 +6,20 @@ import pytest
 from dnsflow.llm import jaccard_join as j
 from dnsflow.llm.components import components
 
+RULES = [j.Rule(4, 85), j.Rule(5, 80)]
 
-def brute(texts):
+
+def brute(texts, rule):
     """Component of each document by comparing all pairs."""
     sets = {}
     for i, t in texts.items():
         words = (t or "").encode().lower().split()
-        n = min(4, len(words))
+        n = min(rule.words, len(words))
         sets[i] = {tuple(words[k:k + n]) for k in range(len(words) - n + 1)} if words else set()
     label = {i: i for i in texts}
     for a in sorted(texts):
         for b in sorted(texts):
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= rule.percent * len(sets[a] | sets[b]):
                 old, new = sorted((label[a], label[b]), reverse=True)
                 label = {i: new if v == old else v for i, v in label.items()}
     return {i: (len(sets[i]), label[i]) for i in texts}
@@ -39,53 +41,58 @@ def near_copies(seed, n=40):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_components_equal_brute_force(spark, seed):
+@pytest.mark.parametrize("rule", RULES)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_brute_force(spark, seed, rule):
     texts = near_copies(seed)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, node string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.join(docs).collect()}
-    assert got == brute(texts)
-    kept = sorted(r["doc_id"] for r in j.keep_one(docs).collect())
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.join(docs, rule).collect()}
+    assert got == brute(texts, rule)
+    kept = sorted(r["doc_id"] for r in j.keep_one(docs, rule).collect())
     assert kept == sorted({c for _, c in got.values()})
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("rule", RULES)
+def test_similar_sets_share_a_signature(rule):
     """The pigeonhole guarantee, for pairs at the threshold of all sizes."""
     draw = np.random.default_rng(5)
     for size in [6, 7, 8, 11, 13, 20, 33, 50, 80, 200, 700, 3000]:
         for _ in range(30):
-            # A common part and differences on either side, up to 15 % of the union.
+            # A common part and differences on either side, up to the share of the union that may differ.
             union = max(size, 6)
-            differ = int(draw.integers(0, 15 * union // 100 + 1))
+            differ = int(draw.integers(0, (100 - rule.percent) * union // 100 + 1))
             mine = int(draw.integers(0, differ + 1))
             values = j.mix(draw.integers(0, 2**63, union, dtype=np.uint64))
             a, b = np.unique(values[:union - mine]), np.unique(np.concatenate([values[:union - differ], values[union - mine:]]))
             common = len(np.intersect1d(a, b))
-            if 100 * common >= 85 * (len(a) + len(b) - common) and min(len(a), len(b)) >= j.FIRST_SIZE:
-                assert np.intersect1d(j.signatures(a), j.signatures(b)).size
+            if rule.linked(common, len(a), len(b)) and min(len(a), len(b)) >= rule.first_size:
+                assert np.intersect1d(j.signatures(a, rule), j.signatures(b, rule)).size
 
 
-def test_schemes_have_enough_credits():
+@pytest.mark.parametrize("rule", RULES)
+def test_schemes_have_enough_credits(rule):
+    assert rule.first_size == {85: 6, 80: 4}[rule.percent]
     for band in range(60):
-        segments, near, spare = j.scheme(band)
-        largest = j.band_start(band + 1) - 1
-        differences = max(3 * (r + s) // 37 for r in [largest] for s in [100 * largest // 85])
-        assert segments + near - differences == spare > 0 and near <= segments
+        segments, near, spare = rule.scheme(band)
+        largest = rule.band_start(band + 1) - 1
+        differences = max(r + s - 2 * c for r in [largest] for s in range(r, rule.largest_partner(r) + 1)
+                          for c in [-(-rule.percent * (r + s) // (100 + rule.percent))])
+        assert segments + near - differences >= spare > 0 and near <= segments
         # A set that is similar to one in the band is in this band or the next.
-        assert 100 * largest // 85 < j.band_start(band + 2)
+        assert rule.largest_partner(largest) < rule.band_start(band + 2)
 
 
 def test_words_and_shingles():
     assert len(j.word_hashes("a\x0bB\x0cc d\xa0e f\x1cg")) == 5
     assert j.word_hashes("ÄB").tolist() != j.word_hashes("äb").tolist() and j.word_hashes("aB") == j.word_hashes("Ab")
-    assert len(j.shingle_set("a b c a b c a b c")) == 3 and len(j.shingle_set("a b")) == 1 and len(j.shingle_set(" \n")) == 0
+    assert len(j.shingle_set("a b c a b c a b c", 4)) == 3 and len(j.shingle_set("a b", 4)) == 1 and len(j.shingle_set(" \n", 4)) == 0
 
 
 def test_nulls_repeats_and_empty_tables(spark):
     long = " ".join(f"x{i}" for i in range(60))
     rows = [(None, None), (1, None), (2, ""), (3, long), (None, long + " y"), (3, long), (9, long), (None, "alone in the world today")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, j.join(docs).collect()), key=str)
+    got = sorted(map(tuple, j.join(docs, RULES[0]).collect()), key=str)
     assert got == sorted([(None, 0, None), (1, 0, 1), (2, 0, 2), (3, 57, 3), (3, 57, 3), (9, 57, 3), (None, 58, 3), (None, 2, None)], key=str)
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in j.keep_one(docs).collect())
     assert kept == sorted([(0, ""), (1, ""), (2, ""), (3, long), (0, "alone in the world today")])
@@ -102,8 +109,8 @@ def test_group_of_near_copies_around_one_text(spark):
             words[at] = f"n{i}-{at}"
         texts[i] = " ".join(words)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.join(docs).collect()}
-    assert got == brute(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.join(docs, RULES[0]).collect()}
+    assert got == brute(texts, RULES[0])
 
 
 def test_components_of_chains_and_stars(spark):

@@ -105,3 +105,11 @@ def test_bootstrap_sessions(spark):
         assert r["unique_subdomains"] <= 5 and 8 <= r["query_rate"] <= 20
         assert 10 <= r["avg_query_len"] <= 39 and (r["label"], r["tool"]) == ("normal", "normal_realistic")
     assert sorted(out) == sorted(ds.bootstrap_sessions(pool, "id").collect())
+
+
+def test_lookup_salts_every_hot_key(spark):
+    left = spark.range(7500).selectExpr("id as seq", "id % 2500 as k")
+    right = spark.range(0, 2600, 2).selectExpr("id as k", "id * 10 as v")
+    salted = lookup_join(left, right, ["k"], "left", spread=["seq"], broadcast_bytes=0, hot_rows=2, salts=3)
+    assert sorted(map(tuple, salted.select("seq", "k", "v").collect()), key=str) == sorted(
+        map(tuple, left.join(right, ["k"], "left").select("seq", "k", "v").collect()), key=str)

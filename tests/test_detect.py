@@ -16,7 +16,7 @@ from dnsflow.plans.train import evaluate_forest, featurized, train_and_evaluate
 from dnsflow.schemas import EVENT, WINDOW_FEATURES
 from dnsflow.sources.lists import EXTRA_SUFFIXES, FALLBACK_WORDS, read_words, suffix_rules
 from dnsflow.sources.sinks import read_alerts, run_totals, write_alerts
-from dnsflow.streaming.detect import Folders, detect_stream, process_batch, read_counts
+from dnsflow.streaming.detect import COUNTS, Folders, detect_stream, process_batch, read_counts
 from tests.helpers import SUFFIX_LINES, event
 
 BURST_HOST = "203.0.113.7"
@@ -236,3 +236,10 @@ def test_poisson_and_severity(spark):
     got = [r["s"] for r in spark.createDataFrame([(x,) for x in (0.85, 0.849, 0.6, 0.3, 0.29)], "c double").select(
         severity(F.col("c")).alias("s")).collect()]
     assert got == ["CRITICAL", "HIGH", "HIGH", "MEDIUM", "LOW"]
+
+
+def test_totals_of_many_micro_batches(spark):
+    rows = [(b, 10, 1, 9, 2, b % 7, 1, 3, 0) for b in range(150)]
+    totals = run_totals(spark.createDataFrame(rows, COUNTS))
+    assert (totals["lines"], totals["rejected"], totals["alerts"], totals["expired_sources"]) == (1500, 150, 300, 150)
+    assert totals["active_sources"] == 149 % 7

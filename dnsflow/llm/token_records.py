@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from dnsflow.operators.scale import checkpoint_folder
 
 INDEX = "shard int, file string, ordinal long, doc_id long, first long, offset long, length long"
-CACHED_WORDS = 1_500_000    # a worker remembers the ids of so many chunks of at most CACHED_LENGTH characters
+CACHED_WORDS = 1_000_000    # a worker remembers the ids of so many chunks of at most CACHED_LENGTH characters
 CACHED_LENGTH = 40
-ROWS = 4096                 # texts that are split into chunks at a time
+ROWS = 2048                 # texts that are split into chunks at a time
 
 
 @dataclass(frozen=True)

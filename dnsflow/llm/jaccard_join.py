@@ -1,7 +1,7 @@
 """N-gram Jaccard join by partitioning the universe of shingles, with exact verification.
 
 Two sets of sizes r <= s with a Jaccard similarity of at least p differ in at most (1 - p) / (1 + p) (r + s) elements and
-are in the same or in neighbouring size bands. (``Rule``: five words and 80 %, unless a caller says otherwise.) For each band a hash deals all shingles into segments; by the pigeonhole principle, two
+are in the same or in neighbouring size bands. (``Rule``: four words and 85 %, unless a caller says otherwise.) For each band a hash deals all shingles into segments; by the pigeonhole principle, two
 similar sets agree on whole segments, up to as many credits as the scheme holds beyond the differences allowed. A segment
 that must agree exactly is one credit and costs one signature; a segment that may differ in one element is two credits and
 costs one signature per element more (its one-deletion neighbourhood, read off the sum that hashes the segment). ``scheme`` allocates by these costs:
@@ -92,8 +92,8 @@ def digest(shingles: np.ndarray) -> int:
 class Rule:
     """Shingles of ``words`` words; sets are linked from ``percent`` on, in per cent."""
 
-    words: int = 5
-    percent: int = 80
+    words: int = 4
+    percent: int = 85
 
     def linked(self, common: int, size: int, other: int) -> bool:
         return 100 * common >= self.percent * (size + other - common)

@@ -1,12 +1,13 @@
 """N-gram Jaccard join by partitioning the universe of shingles, with exact verification.
 
 Two sets of sizes r <= s with a Jaccard similarity of at least p differ in at most (1 - p) / (1 + p) (r + s) elements and
-are in the same or in neighbouring size bands. (``Rule``: four words and 85 %, unless a caller says otherwise.) For each band a hash deals all shingles into segments; by the pigeonhole principle, two
+are in the same or in neighbouring size bands. (``Rule``: five words and 80 %, unless a caller says otherwise.) For each band a hash deals all shingles into segments; by the pigeonhole principle, two
 similar sets agree on whole segments, up to as many credits as the scheme holds beyond the differences allowed. A segment
 that must agree exactly is one credit and costs one signature; a segment that may differ in one element is two credits and
 costs one signature per element more (its one-deletion neighbourhood, read off the sum that hashes the segment). ``scheme`` allocates by these costs:
 neighbourhoods alone where few segments are needed, so that segments stay large; else exact segments, and neighbourhoods for a few. Small subsets (up to
-``SMALL`` shingles) would collide in many texts: they are not indexed, as far as spare credits cover them in a set; a set with more of them indexes all.
+``SMALL`` shingles) would collide in many texts: they are not indexed, as far as spare credits cover them in a set; a set with more of them leaves out
+the empty ones, or indexes all.
 
 Equal sets share a 64-bit digest and are one node (digests of n different sets clash with a probability of n^2 / 2^65). Copies within a task send their
 signatures once. A signature's sets are verified against one of them, the one that shares most signatures, so a group of n near copies costs n
@@ -92,8 +93,8 @@ def digest(shingles: np.ndarray) -> int:
 class Rule:
     """Shingles of ``words`` words; sets are linked from ``percent`` on, in per cent."""
 
-    words: int = 4
-    percent: int = 85
+    words: int = 5
+    percent: int = 80
 
     def linked(self, common: int, size: int, other: int) -> bool:
         return 100 * common >= self.percent * (size + other - common)
@@ -154,8 +155,8 @@ def scheme_signatures(shingles: np.ndarray, band: int, rule: Rule) -> np.ndarray
     totals = sums[ends] - sums[ends - sizes]
     place = np.arange(segments, dtype=np.uint64) * _MIX[1] + salt
     is_near = np.arange(segments) < near
-    lost = (sizes[~is_near] <= SMALL).sum() + 2 * (sizes[is_near] <= SMALL + 1).sum()
-    least = SMALL + 1 if lost < spare else 0
+    lost = lambda small: (sizes[~is_near] <= small).sum() + 2 * (sizes[is_near] <= small + 1).sum()
+    least = next((small + 1 for small in range(SMALL, -1, -1) if lost(small) < spare), 0)
     whole = mix(totals + place)[sizes >= least]
     inside = is_near[own] & (sizes[own] - 1 >= least)
     fewer = mix(totals[own[inside]] - value[inside] + place[own[inside]])

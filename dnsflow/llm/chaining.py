@@ -2,7 +2,8 @@
 
 Seeds are the minimizers of five-word runs: any equal stretch of ``WINDOW + SEED - 1`` words holds one in both texts. Equal seeds
 of a text are numbered, so texts that repeat themselves still link in order. Each occurrence of a seed is linked to its first one, by doc_id, and to the one before it, so a passage that n documents share costs
-2 n links and not n^2. The links of two documents are merged into fragments along a diagonal; fragments are chained in order by
+2 n links and not n^2. Later occurrences in a text are also linked to the first one of the earliest document that has the seed, whatever their number, so
+each further copy of a passage is found. The links of two documents are merged into fragments along a diagonal; fragments are chained in order by
 a Fenwick tree of best scores, where words between fragments cost ``GAP`` on either side. Chains are then aligned word by word: fragments are
 extended, gaps are aligned, and fragments are joined into a passage as long as ``ALIKE`` of its words agree.
 
@@ -64,33 +65,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """key, seed, pos of every minimizer of every text."""
+    """key, seed, pos of every minimizer of every text; once more, without its number and with ``again``, where its text had it before."""
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                keys, places, found = [], [], []
+                keys, places, found, again = [], [], [], []
                 for key, text in zip(part.column("key").to_pylist(), part.column("text")):
                     words = word_hashes(text.as_py())
                     if len(words) < SEED:
                         continue
                     hashes = shingle_hashes(words, SEED)
                     at = minimizers(hashes)
-                    keys.append(np.full(len(at), key, np.int64))
-                    places.append(at.astype(np.int32))
-                    found.append(numbered(hashes[at]).view(np.int64))
+                    own = hashes[at]
+                    told = numbered(own)
+                    later = told != own
+                    places.append(np.concatenate([at, at[later]]).astype(np.int32))
+                    found.append(np.concatenate([told, own[later]]).view(np.int64))
+                    again.append(np.arange(len(places[-1])) >= len(at))
+                    keys.append(np.full(len(places[-1]), key, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in (keys, found, places)], ["key", "seed", "pos"])
+                        [pa.array(np.concatenate(c)) for c in (keys, found, places, again)], ["key", "seed", "pos", "again"])
 
-    return _keyed(docs).select("key", "text").mapInArrow(run, "key long, seed long, pos int")
+    return _keyed(docs).select("key", "text").mapInArrow(run, "key long, seed long, pos int, again boolean")
 
 
 def anchors(found: DataFrame) -> DataFrame:
-    """Links of each seed occurrence to the first one and the one before, in other documents: key, other, pos, other_pos."""
-    order = Window.partitionBy("seed").orderBy("key", "pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first, before = F.first(F.struct("key", "pos")).over(upto), F.lag(F.struct("key", "pos")).over(order)
+    """Links of each seed occurrence to the first one and, but for ``again``, the one before, in other documents: key, other, pos, other_pos."""
+    order = Window.partitionBy("seed").orderBy("key", "pos", "again")
+    upto = lambda row: order.rowsBetween(Window.unboundedPreceding, row)
+    own = F.struct("key", "pos")
+    first = F.first(own).over(upto(Window.currentRow))
+    before = F.when(~F.col("again"), F.last(F.when(~F.col("again"), own), ignorenulls=True).over(upto(-1)))
     linked = found.withColumn("first", first).withColumn("before", before).where("key != first.key")
     both = F.when(
         (F.col("before.key") != F.col("key")) & (F.col("before.key") != F.col("first.key")), F.array("first", "before")

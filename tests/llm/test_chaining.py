@@ -100,6 +100,21 @@ def test_texts_that_repeat_themselves(spark):
     assert spans(c.repeats(docs)) == {2: {(0, 360)}}
 
 
+def test_every_copy_of_a_passage_is_found(spark):
+    draw = random.Random(3)
+    passage, other = words(draw, 70), words(draw, 60)
+    texts = {
+        1: words(draw, 20) + passage + words(draw, 20) + other, 2: words(draw, 10) + passage + words(draw, 15) + passage + words(draw, 5) + passage,
+        # Its first copies of the words stand in other places and in pieces.
+        3: sum((other[i:i + 8] + words(draw, 9) for i in range(0, 60, 4)), []) + other}
+    docs = table(spark, {i: " ".join(t) for i, t in texts.items()})
+    got = spans(c.repeats(docs))
+    assert got[2] == {(10, 80), (95, 165), (170, 240)}
+    assert max(got[3])[0] <= len(texts[3]) - 60 and max(got[3])[1] == len(texts[3])
+    kept = {r["doc_id"]: r["text"].split() for r in c.remove_repeats(docs).collect()}
+    assert kept[1] == texts[1] and kept[2] == texts[2][:10] + texts[2][80:95] + texts[2][165:170]
+
+
 def test_alignment_counts_agreeing_words():
     a = word_hashes(" ".join(f"w{i}" for i in range(100)))
     b = np.concatenate([a[:50], word_hashes("x"), a[52:]])

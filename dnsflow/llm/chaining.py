@@ -3,7 +3,8 @@
 Seeds are the minimizers of five-word runs: any equal stretch of ``WINDOW + SEED - 1`` words holds one in both texts. Equal seeds
 of a text are numbered, so texts that repeat themselves still link in order. Each occurrence of a seed is linked to its first one, by doc_id, and to the one before it, so a passage that n documents share costs
 2 n links and not n^2. Later occurrences in a text are also linked to the first one of the earliest document that has the seed, whatever their number, so
-each further copy of a passage is found. The links of two documents are merged into fragments along a diagonal; fragments are chained in order by
+each further copy of a passage is found. Where single seeds are frequent, their first and previous documents are others than those of the passage; so runs of
+``RUN`` consecutive minimizers are seeds too, linked in the same way by both their ends: any equal stretch of 44 words holds one. The links of two documents are merged into fragments along a diagonal; fragments are chained in order by
 a Fenwick tree of best scores, where words between fragments cost ``GAP`` on either side. Chains are then aligned word by word: fragments are
 extended, gaps are aligned, and fragments are joined into a passage as long as ``ALIKE`` of its words agree.
 
@@ -32,6 +33,7 @@ from dnsflow.llm.jaccard_join import mix, shingle_hashes, word_hashes
 from dnsflow.operators.scale import materialize
 
 SEED, WINDOW = 5, 10
+RUN = 4                     # consecutive minimizers that make a rarer seed
 GAP = 0.2                   # cost of a word between two fragments, on either side; a chained word earns 1
 ALIKE = 0.8
 LEAST_PIECE, LEAST_WORDS = 25, 50
@@ -65,12 +67,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """key, seed, pos of every minimizer of every text; once more, without its number and with ``again``, where its text had it before."""
+    """key, seed, pos of every minimizer of every text; once more, without its number and with ``again``, where its text had it before.
+
+    Rows of runs of minimizers have ``reach``, the words from the first to the last of the run; it is 0 for single ones.
+    """
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                keys, places, found, again = [], [], [], []
+                keys, places, found, reaches, again = [], [], [], [], []
                 for key, text in zip(part.column("key").to_pylist(), part.column("text")):
                     words = word_hashes(text.as_py())
                     if len(words) < SEED:
@@ -78,32 +83,42 @@ def seeds(docs: DataFrame) -> DataFrame:
                     hashes = shingle_hashes(words, SEED)
                     at = minimizers(hashes)
                     own = hashes[at]
-                    told = numbered(own)
-                    later = told != own
-                    places.append(np.concatenate([at, at[later]]).astype(np.int32))
-                    found.append(np.concatenate([told, own[later]]).view(np.int64))
-                    again.append(np.arange(len(places[-1])) >= len(at))
-                    keys.append(np.full(len(places[-1]), key, np.int64))
+                    kinds = [(at, own, np.zeros(len(at), np.int64))]
+                    if len(at) >= RUN:
+                        kinds.append((at[:1 - RUN], shingle_hashes(own, RUN), at[RUN - 1:] - at[:1 - RUN]))
+                    for at, own, reach in kinds:
+                        told = numbered(own)
+                        later = told != own
+                        places.append(np.concatenate([at, at[later]]).astype(np.int32))
+                        found.append(np.concatenate([told, own[later]]).view(np.int64))
+                        reaches.append(np.concatenate([reach, reach[later]]).astype(np.int32))
+                        again.append(np.arange(len(places[-1])) >= len(at))
+                        keys.append(np.full(len(places[-1]), key, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in (keys, found, places, again)], ["key", "seed", "pos", "again"])
+                        [pa.array(np.concatenate(c)) for c in (keys, found, places, reaches, again)],
+                        ["key", "seed", "pos", "reach", "again"])
 
-    return _keyed(docs).select("key", "text").mapInArrow(run, "key long, seed long, pos int, again boolean")
+    return _keyed(docs).select("key", "text").mapInArrow(run, "key long, seed long, pos int, reach int, again boolean")
 
 
 def anchors(found: DataFrame) -> DataFrame:
     """Links of each seed occurrence to the first one and, but for ``again``, the one before, in other documents: key, other, pos, other_pos."""
     order = Window.partitionBy("seed").orderBy("key", "pos", "again")
     upto = lambda row: order.rowsBetween(Window.unboundedPreceding, row)
-    own = F.struct("key", "pos")
+    own = F.struct("key", "pos", "reach")
     first = F.first(own).over(upto(Window.currentRow))
     before = F.when(~F.col("again"), F.last(F.when(~F.col("again"), own), ignorenulls=True).over(upto(-1)))
     linked = found.withColumn("first", first).withColumn("before", before).where("key != first.key")
     both = F.when(
         (F.col("before.key") != F.col("key")) & (F.col("before.key") != F.col("first.key")), F.array("first", "before")
     ).otherwise(F.array("first"))
-    return linked.select("key", "pos", F.explode(both).alias("o")).select(
-        "key", F.col("o.key").alias("other"), "pos", F.col("o.pos").alias("other_pos"))
+    end = lambda a, b: F.struct(a.alias("pos"), b.alias("other_pos"))
+    start = end(F.col("pos"), F.col("o.pos"))
+    ends = F.when(F.col("reach") > 0, F.array(
+        start, end(F.col("pos") + F.col("reach"), F.col("o.pos") + F.col("o.reach")))).otherwise(F.array(start))
+    return linked.select("key", "pos", "reach", F.explode(both).alias("o")).select(
+        "key", F.col("o.key").alias("other"), F.explode(ends).alias("e")).select("key", "other", "e.*")
 
 
 class BestUpTo:

@@ -115,6 +115,17 @@ def test_every_copy_of_a_passage_is_found(spark):
     assert kept[1] == texts[1] and kept[2] == texts[2][:10] + texts[2][80:95] + texts[2][165:170]
 
 
+def test_a_passage_of_frequent_lines_is_found(spark):
+    draw = random.Random(12)
+    lines = [words(draw, 12) for _ in range(12)]
+    texts = {i: sum((line + words(draw, 6) * draw.randrange(2) for line in draw.sample(lines, 4)), []) for i in range(300)}
+    shared = sum(draw.sample(lines, 7), [])
+    for i in (200, 290):
+        texts[i] = words(draw, 20) + shared + words(draw, 20)
+    found = c.repeats(table(spark, {i: " ".join(t) for i, t in texts.items()})).where("key = 290 and other = 200")
+    assert [(r["start"], r["stop"]) for r in found.collect()] == [(20, 104)]
+
+
 def test_alignment_counts_agreeing_words():
     a = word_hashes(" ".join(f"w{i}" for i in range(100)))
     b = np.concatenate([a[:50], word_hashes("x"), a[52:]])

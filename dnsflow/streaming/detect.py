@@ -5,8 +5,10 @@ state, so busy sources and flows split as they do in a batch. All that a batch w
 repeated batch replaces itself and starts from the same state; intermediate tables go when the batch is done.
 
 State is kept per key, so a source with a wrong clock harms only itself: its history is cut by its own newest time. A key expires when the stream's
-clock has moved on by ``idle_us`` since the key was last seen. That clock is the median of the newest times of all known keys: one key
-can't move it.
+clock has moved on by ``idle_us`` since the key was last seen, or by the reach of its windows or cooldown if that is longer. That clock is the median of
+the newest times of all known keys: one key can't move it. A micro-batch may span any time, so a key counts as seen at its own newest time if that is
+later, up to a high quantile of the batch's times. Of a flow the newest alert is kept, and the newest ones not far ahead of the clock and of that
+quantile; the cooldown starts from the newest that is not far ahead of the flow's next alert.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dnsflow.sources.events import accepted, check_events, rejected, stream_line
 from dnsflow.sources.sinks import run_totals
 
 IDLE_US = 300_000_000
+HIGH = 0.9                  # share of a batch's events up to whose time a key's own time is trusted
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HISTORY = T.StructType([*EVENT.fields, T.StructField("seen_us", T.LongType())])
 LAST = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS],
@@ -87,12 +90,14 @@ def _clock(newest: DataFrame) -> int:
     return newest.agg(F.percentile_approx("at", 0.5)).first()[0] or 0
 
 
-def _kept(keys: list[str], seen: DataFrame, clock: int, idle_us: int) -> tuple[DataFrame, int, int]:
+def _kept(keys: list[str], seen: DataFrame, clock: int, high: int, idle_us: int) -> tuple[DataFrame, int, int]:
     """Keys that stay (with ``seen_us``, the clock when last seen), their number and that of the expired ones.
 
-    ``seen``: the keys with ``was``, the clock stored for them, and ``now``, whether this batch holds them.
+    ``seen``: the keys with ``at``, their newest time, ``was``, the clock stored for them, and ``now``, whether this batch holds them. ``high``: up to
+    where a time counts that is later than the clock.
     """
-    known = materialize(seen.groupBy(*keys).agg(F.max(F.when(F.col("now"), F.lit(clock)).otherwise(F.col("was"))).alias("seen_us")))
+    at = F.greatest(F.lit(clock), F.least("at", F.lit(high)))
+    known = materialize(seen.groupBy(*keys).agg(F.max(F.when(F.col("now"), at).otherwise(F.col("was"))).alias("seen_us")))
     stays = F.lit(clock) - F.col("seen_us") <= idle_us
     n, live = known.agg(F.count(F.lit(1)), F.count(F.when(stays, 1))).first()
     return known.where(stays), live, n - live
@@ -124,29 +129,34 @@ def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Dete
         raw = by_name.unionByName(by_window)
 
         previous = _state(spark, folders.last_alerts, batch, LAST)
-        emitted = materialize(apply_cooldown(raw, detector.cooldown_us, previous=previous.drop("seen_us")))
+        memory = max(detector.cooldown_us or 0, idle_us)
+        starts = raw.groupBy(*KEYS).agg(F.min("ts_us").alias("start"))
+        last = materialize(previous.join(starts, list(KEYS)).where(F.col("last_us") - F.col("start") <= memory).groupBy(*KEYS).agg(
+            F.max("last_us").alias("last_us")))
+        emitted = materialize(apply_cooldown(raw, detector.cooldown_us, previous=last))
         public_columns(emitted).write.mode("overwrite").json(_of(batch, folders.alerts))
 
         # Sources: events that later windows of the same source can reach.
         reach = detector.bucket_us * detector.n_buckets
         newest = materialize(both.groupBy("src_ip").agg(
             F.max("ts_us").alias("at"), F.max("now").alias("now"), F.max("seen_us").alias("was")))
-        sources, live, gone = _kept(["src_ip"], newest, _clock(newest), idle_us)
+        high = new.agg(F.percentile_approx("ts_us", HIGH)).first()[0] or 0
+        sources, live, gone = _kept(["src_ip"], newest, _clock(newest), high, max(idle_us, reach))
         held = both.drop("seen_us", "now").join(newest.select("src_ip", "at"), "src_ip").where(
             F.col("at") - F.col("ts_us") < reach).join(sources, "src_ip")
         write(held.select(*HISTORY.fieldNames()), folders.history)
 
-        # Flows: the last emission, which the cooldown starts from. One that lies ahead of the clock doesn't silence the flow.
-        memory = max(detector.cooldown_us or 0, idle_us)
+        # Flows: the last emission, which the cooldown starts from. One that lies far ahead doesn't silence the flow: those before it stay too.
         emissions = materialize(
             emitted.select(*KEYS, F.col("ts_us").alias("at"), F.lit(True).alias("now"), F.lit(None).cast("long").alias("was"))
             .unionByName(previous.select(*KEYS, F.col("last_us").alias("at"), F.lit(False).alias("now"), F.col("seen_us").alias("was"))))
         clock = _clock(emissions.groupBy(*KEYS).agg(F.max("at").alias("at")))
-        flows = emissions.where(F.col("at") - clock <= memory).groupBy(*KEYS).agg(
-            F.max("at").alias("last_us"), F.max("now").alias("now"), F.max("was").alias("was"))
-        flows = materialize(flows)
-        kept, live_flows, gone_flows = _kept(list(KEYS), flows, clock, memory)
-        write(flows.select(*KEYS, "last_us").join(kept, list(KEYS)).select(*LAST.fieldNames()), folders.last_alerts)
+        upto = lambda time: F.max(F.when(F.col("at") - time <= memory, F.col("at")))
+        flows = emissions.groupBy(*KEYS).agg(
+            F.array(upto(clock), upto(high), F.max("at")).alias("ats"), F.max("now").alias("now"), F.max("was").alias("was"))
+        flows = materialize(flows.withColumn("at", F.explode(F.array_distinct(F.array_compact("ats")))).drop("ats"))
+        kept, live_flows, gone_flows = _kept(list(KEYS), flows, clock, high, memory)
+        write(flows.select(*KEYS, F.col("at").alias("last_us")).join(kept, list(KEYS)).select(*LAST.fieldNames()), folders.last_alerts)
 
         n, bad = checked.agg(F.count(F.lit(1)), F.count("reason")).first()
         row = (batch, n, bad, n - bad, emitted.count(), live, gone, live_flows, gone_flows)

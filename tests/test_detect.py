@@ -210,6 +210,24 @@ def test_idle_keys_expire_and_scratch_tables_go(spark, detector, tmp_path):
     assert {p.name for p in (tmp_path.parent).rglob("scratch-*")} == before
 
 
+def test_micro_batches_of_any_span_equal_batch(spark, detector, tmp_path):
+    names = [f"xk3j9qzb7w{i}x0.net" for i in range(10, 30)]
+    rows = [event(0, 60.0 * i, f"10.3.0.{i}", name, "A", 17) for i, name in enumerate(names)]
+    # Flows near the end of a batch alert again just after it; one lies ahead of all.
+    rows += [event(0, t, "10.3.1.1", names[-1], "A", 17) for t in (1190.0, 1205.0, 1900.0, 2390.0, 2405.0)]
+    rows += [event(0, 1210.0 + 70 * i, f"10.3.0.{i}", name, "A", 17) for i, name in enumerate(names[:15])]
+    rows += [event(0, 2410.0 + 70 * i, f"10.3.0.{i}", name, "A", 17) for i, name in enumerate(names[:15])]
+    # A source that pauses, with a window that is long enough only together with what came before.
+    rows += [event(0, t + i, "10.3.2.2", f"q{t}{i}aaaaaaaaaaaaaaaaaaaaaaaaa.tunnel.org", "TXT", 50) for t in (100, 2500) for i in range(12)]
+    rows = numbered(sorted(rows, key=lambda r: r[1]))
+    wide = Detector(**{**detector.__dict__, "bucket_us": 3_600_000_000})
+    folders = Folders(str(tmp_path / "run"))
+    for batch, (low, high) in enumerate([(0, 1200), (1200, 2400), (2400, 9999)]):
+        feed(spark, folders, wide, batch, as_lines([r for r in rows if low <= r[1] < high]))
+    assert run_totals(read_counts(spark, folders))["expired_sources"] == 0
+    assert key_rows(read_alerts(spark, folders.alerts)) == key_rows(detect(spark.createDataFrame(rows, EVENT), wide))
+
+
 def test_alert_ids_are_unique_and_repeat(spark, detector):
     rows = numbered([event(i, 5.0, f"10.0.0.{i % 2}", "xk3j9qzb7w1x0.net", "A", 17) for i in range(6)])
     free = Detector(**{**detector.__dict__, "cooldown_us": None})

@@ -173,13 +173,13 @@ def signatures(shingles: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that is never null."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "key", F.coalesce("doc_id", F.xxhash64("text")))
+    """doc_id, text, a hash of it and a key that is never null."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).withColumn(
+        "key", F.coalesce("doc_id", "text_key"))
 
 
 def _index(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, doc_id, n_shingles, node and, for the first row of a set in a task, its signatures."""
+    """key, text_key, doc_id, n_shingles, node and, for the first row of a set in a task, its signatures."""
     def run(batches):
         seen = set()
         for batch in batches:
@@ -194,10 +194,10 @@ def _index(docs: DataFrame, rule: Rule) -> DataFrame:
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists],
-                ["key", "doc_id", "n_shingles", "node", "sigs"])
+                [*(batch.column(c) for c in ("key", "text_key", "doc_id")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists],
+                ["key", "text_key", "doc_id", "n_shingles", "node", "sigs"])
 
-    return _ids(docs).mapInArrow(run, "key long, doc_id long, n_shingles long, node long, sigs array<long>")
+    return _ids(docs).mapInArrow(run, "key long, text_key long, doc_id long, n_shingles long, node long, sigs array<long>")
 
 
 def _sets(docs: DataFrame, index: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -298,7 +298,7 @@ def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
+    """key, text_key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
     index = materialize(_index(docs, rule))
     whole = Window.partitionBy("sig")
     shared = materialize(
@@ -315,8 +315,8 @@ def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
     links = compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     rest = materialize(_remaining(compared, materialize(components(links)), rule))
     labels = materialize(components(links.unionByName(materialize(_linked(rest, sets, rule)))))
-    return index.select("key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
-        "key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    return index.select("key", "text_key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
+        "key", "text_key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -330,11 +330,14 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The document with the smallest id of each component (one without an id only if there is none), and all without shingles."""
     own = materialize(_labelled(docs, rule))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key"))["key"]
-    kept = own.where("n_shingles > 0").groupBy("label").agg(best.alias("_key")).select("_key", F.lit(True).alias("_once"))
-    free = own.where("n_shingles = 0").select(F.col("key").alias("_key"), F.lit(False).alias("_once")).distinct()
-    chosen = materialize(kept.unionByName(free).groupBy("_key").agg(F.max("_once").alias("_once")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    copy = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    return docs.withColumn("_key", key).join(chosen, "_key").withColumn("_copy", copy).where(
+    # Rows that share an id may hold different texts, of different components: a document is its key and its text.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key", "text_key"))
+    kept = own.where("n_shingles > 0").groupBy("label").agg(best.alias("best")).select(
+        F.col("best.key").alias("_key"), F.col("best.text_key").alias("_text"), F.lit(True).alias("_once"))
+    free = own.where("n_shingles = 0").select(F.col("key").alias("_key"), F.col("text_key").alias("_text"), F.lit(False).alias("_once")).distinct()
+    chosen = materialize(kept.unionByName(free))
+    text = F.xxhash64("text")
+    key = F.coalesce(F.col("doc_id").cast("long"), text)
+    copy = F.row_number().over(Window.partitionBy("_key", "_text").orderBy("text"))
+    return docs.withColumn("_key", key).withColumn("_text", text).join(chosen, ["_key", "_text"]).withColumn("_copy", copy).where(
         "not _once or _copy = 1").select(*docs.columns)

@@ -99,6 +99,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert j.join(docs.limit(0)).count() == 0 and j.keep_one(docs.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id_are_documents_of_their_own(spark):
+    one, two = (" ".join(f"{t}{i}" for i in range(60)) for t in "ab")
+    rows = [(5, one), (5, two), (5, ""), (5, two), (7, one + " z"), (9, two + " z"), (2, two + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, j.keep_one(docs).collect())) == [(2, two + " y"), (5, ""), (5, one)]
+    assert sorted(map(tuple, j.keep_one(docs.where("doc_id = 5")).collect())) == [(5, ""), (5, one), (5, two)]
+
+
 def test_group_of_near_copies_around_one_text(spark):
     draw = random.Random(9)
     base = [f"b{i}" for i in range(100)]

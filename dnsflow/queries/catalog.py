@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dnsflow.functions.text import basic_features
@@ -14,7 +14,7 @@ from dnsflow.operators import ablation as ab
 from dnsflow.operators import allowlist, cooldown, datasets, evaluation, lexical, matching, suffix, windows
 from dnsflow.operators.classifier import evaluate_classifier, held_out_families, score_names, train_classifier
 from dnsflow.operators.forest import NODE_SCHEMA, Forest, train_forest
-from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize
+from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize, running_totals
 from dnsflow.plans import detect as dt
 from dnsflow.plans import train as tr
 from dnsflow.queries import tables as t
@@ -75,13 +75,17 @@ def message_filter(spark, sf_dir):
     return matching.match_responses(damaged).drop("ts")
 
 
+def _ranks(hosts):
+    """rank, domain: hosts by falling number of rows, then by name."""
+    counts = hosts.groupBy("domain").agg((-F.count(F.lit(1))).alias("_less"), F.lit(1).alias("_one"))
+    return running_totals(counts, ["_less", "domain"], {"rank": "_one"}).select("rank", "domain")
+
+
 @query
 def ranked_list(spark, sf_dir):
     """The first ten ranks of a popularity list in a file."""
     path = f"{checkpoint_folder(spark)}/dnsflow/ranks-{uuid.uuid4().hex}"
-    counts = t.hosts(spark, sf_dir).groupBy("domain").count()
-    rank = F.row_number().over(Window.orderBy(F.col("count").desc(), "domain"))     # one row per host
-    counts.select(rank.alias("rank"), "domain").write.csv(path)
+    _ranks(t.hosts(spark, sf_dir)).write.csv(path)
     return lists.read_ranked_list(spark, path, 10)
 
 

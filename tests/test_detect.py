@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnsflow.operators import ablation as ab
+from dnsflow.operators import classifier as cl
 from dnsflow.operators.alerts import severity
 from dnsflow.operators.classifier import held_out_families, load_model, save_model, score_names, train_classifier
 from dnsflow.operators.forest import Forest, train_forest
@@ -13,6 +14,7 @@ from dnsflow.operators.scale import materialize
 from dnsflow.operators.suffix import registrable_names
 from dnsflow.plans.detect import Detector, detect, in_order, raw_alerts, scored_domains
 from dnsflow.plans.train import evaluate_forest, featurized, train_and_evaluate
+from dnsflow.queries import catalog
 from dnsflow.schemas import EVENT, WINDOW_FEATURES
 from dnsflow.sources.lists import EXTRA_SUFFIXES, FALLBACK_WORDS, read_words, suffix_rules
 from dnsflow.sources.sinks import read_alerts, run_totals, write_alerts
@@ -108,6 +110,18 @@ def test_training_run(labelled):
     assert set(folds) == {"f0", "f1"} and min(folds.values()) > 0.8
 
 
+def test_every_family_is_held_out_and_a_restart_goes_on(spark, labelled, tmp_path, monkeypatch):
+    fits, real = [], cl.train_classifier
+    monkeypatch.setattr(cl, "train_classifier", lambda df, **fit: fits.append(fit) or real(df, trees=2, depth=2))
+    base = str(tmp_path / "holdout")
+    held_out_families(labelled, names=["f0"], folder=base)
+    rows = {r["family"]: r for r in held_out_families(labelled, folder=base).collect()}
+    assert len(fits) == 2 and set(rows) == {"f0", "f1"}
+    assert all(0.8 < r["auc"] <= 1 and r["mean"] == pytest.approx((rows["f0"]["recall"] + rows["f1"]["recall"]) / 2) for r in rows.values())
+    monkeypatch.setattr(catalog, "_featurized", lambda *_: labelled)
+    assert {r["family"] for r in catalog.family_holdout(spark, "").collect()} == {"f0", "f1"} and fits == [{}] * 4
+
+
 def test_detection(spark, detector, tmp_path):
     events = spark.createDataFrame(numbered(traffic()), EVENT)
     raw = raw_alerts(events, detector)

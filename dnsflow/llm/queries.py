@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, token_records, toxicity, warc_store
+from dnsflow.llm import alignment, byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, token_records, toxicity, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
 REGISTRY = {}
 BYTE_RANKS, WORD_TOKENIZER, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 1
+BYTE_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def query(function):
@@ -123,3 +124,12 @@ def op9_chained_repeats(spark, sf_dir):
         F.col("key").alias("doc_id"), "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"),
         "other_start", (F.col("other_stop") - F.col("other_start")).alias("other_words"), F.col("agree").alias("agreeing_words"),
         "span_start", (F.col("span_stop") - F.col("span_start")).alias("span_words"))
+
+
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Tokens of every document under two tokenizers, and how often their linked id pairs occur in the corpus."""
+    a, b = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_MODEL)
+    aligned = alignment.align(table(spark, sf_dir, "documents"), a, b)
+    return alignment.document_sums(aligned, a, b).select(
+        F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

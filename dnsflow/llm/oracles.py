@@ -80,3 +80,29 @@ reach as (
 select s.doc_id, coalesce(n, 0) as n_shingles, (select min(b) from reach r where r.a = s.doc_id) as component_id
 from split s left join sizes z on z.doc_id = s.doc_id
 """
+
+ORACLES["op12_lexical_search"] = r"""
+with found as (
+  select row_number() over () as r, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents),
+counted as (select r, doc_id, term, count(*)::bigint as tf from found group by all),
+sizes as (select r, sum(tf)::bigint as n from counted group by r),
+corpus as (select count(*)::bigint as total_docs, sum(n)::bigint as total_terms from sizes),
+weights as (
+  select term, floor(1000 * ln((2.0::double * total_docs + 2) / (2.0::double * count(*) + 1)))::bigint as w
+  from counted, corpus group by term, total_docs),
+items as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * total_docs) // total_terms))))::bigint as score
+  from items join counted using (term) join sizes using (r) join weights using (term), corpus
+  group by item_id, r, doc_id)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+where rank <= 50
+"""

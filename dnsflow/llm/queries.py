@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import alignment, byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, token_records, toxicity, warc_store
+from dnsflow.llm import alignment, byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, term_scan, token_records, toxicity, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -133,3 +133,9 @@ def op11_token_alignment(spark, sf_dir):
     aligned = alignment.align(table(spark, sf_dir, "documents"), a, b)
     return alignment.document_sums(aligned, a, b).select(
         F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    """The fifty best documents of every benchmark item, by an automaton of all item terms over the texts."""
+    return term_scan.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))

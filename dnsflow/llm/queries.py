@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm import alignment, byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, term_scan, token_records, toxicity, warc_store
+from dnsflow.llm import alignment, byte_bpe, chaining, chat, hilbert, jaccard_join, mixing, order_minhash, sharding, term_scan, token_records, toxicity, warc_store
 from dnsflow.llm.common import table
 from dnsflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -139,3 +139,11 @@ def op11_token_alignment(spark, sf_dir):
 def op12_lexical_search(spark, sf_dir):
     """The fifty best documents of every benchmark item, by an automaton of all item terms over the texts."""
     return term_scan.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_shard_cuts(spark, sf_dir):
+    """Every document's shard and slot, by the smallest capacity that sixteen consecutive parts of the row of text groups allow."""
+    return sharding.place(table(spark, sf_dir, "documents"), 16).select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))

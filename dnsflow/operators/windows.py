@@ -14,6 +14,8 @@ running sums of changes:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +70,31 @@ def name_buckets(events: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class Carried:
+    """What earlier events leave to later windows: counters per source, bucket and record type, and the names per source and bucket.
+
+    ``types``: src_ip, bucket, qtype, n, len, nx. ``names``: src_ip, domain, bucket. Both are as large as the different values that occur, however
+    many events there were.
+    """
+
+    types: DataFrame
+    names: DataFrame
+
+    def plus(self, events: DataFrame, bucket_us: int = BUCKET_US) -> Carried:
+        """With further events added."""
+        e = with_bucket(events, bucket_us)
+        types = self.types.unionByName(bucket_counters(e)).groupBy("src_ip", "bucket", "qtype").agg(
+            *[F.sum(c).alias(c) for c in ("n", "len", "nx")])
+        return Carried(types, self.names.unionByName(e.select("src_ip", "domain", "bucket")).distinct())
+
+    def since(self, sources: DataFrame) -> Carried:
+        """Buckets from ``oldest`` on of the sources in ``sources`` (src_ip, oldest); other sources go."""
+        kept = lambda df: lookup_join(df, sources, ["src_ip"], "inner", spread=["bucket"]).where(
+            F.col("bucket") >= F.col("oldest")).select(*df.columns)
+        return Carried(kept(self.types), kept(self.names))
+
+
 def _entropy(n: Column, terms: Column) -> Column:
     return F.greatest(F.lit(0.0), F.log2(n.cast("double")) - terms.cast("double") / n)
 
@@ -89,8 +116,9 @@ def window_features(
     bucket_us: int = BUCKET_US,
     n_buckets: int = N_BUCKETS,
     block_rows: int = BLOCK_ROWS,
+    past: Carried | None = None,
 ) -> DataFrame:
-    """The seven features after each event, counting only arrivals up to it (``seq`` order).
+    """The seven features after each event, counting only arrivals up to it (``seq`` order) and those in ``past``, which came before all.
 
     ``seq`` is the unique, dense arrival number. A bucket is cut into blocks of ``block_rows``
     consecutive arrivals; every block starts from carried totals, so a source or a single
@@ -105,9 +133,16 @@ def window_features(
     in_window = Window.partitionBy("src_ip", "qtype").orderBy("bucket").rangeBetween(-span, -1)
     in_bucket = Window.partitionBy("src_ip", "qtype", "bucket").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    types = bucket_counters(e, ("block",)).withColumn(
+    counted, seen = bucket_counters(e, ("block",)), e.select("src_ip", "domain", "bucket", "seq")
+    if past is not None:    # the block before all others, of the sources that have new events
+        now = materialize(e.select("src_ip").distinct())
+        old = lambda df: lookup_join(df, now, ["src_ip"], "left_semi", spread=["bucket"])
+        counted = counted.unionByName(old(past.types).withColumn("block", F.lit(-1).cast("long")))
+        seen = seen.unionByName(old(past.names).withColumn("seq", F.lit(-1).cast("long")))
+    types = counted.withColumn(
         "held", F.coalesce(F.sum("n").over(in_window), F.lit(0)) + F.coalesce(F.sum("n").over(in_bucket), F.lit(0)))
-    names = name_buckets(e).drop("domain")
+    names = name_buckets(seen).drop("domain")
+    block = F.when(F.col("seq") < 0, F.lit(-1).cast("long")).otherwise(F.expr(f"seq div {block_rows}L"))
     types, names = at_once(lambda: materialize(types), lambda: materialize(names))
 
     cells = types.groupBy(*cell).agg(
@@ -117,7 +152,7 @@ def window_features(
 
     # Earliest occurrences in the window, as arrivals of the current bucket.
     fresh = names.where(F.col("previous").isNull() | (F.col("previous") < F.col("bucket") - span)).select(
-        "src_ip", "bucket", F.expr(f"seq div {block_rows}L").alias("block"), "seq")
+        "src_ip", "bucket", block.alias("block"), "seq")
     fresh_cells = fresh.groupBy(*cell).agg(F.count(F.lit(1)).alias("names"))
 
     # What enters the window of the following bucket and leaves it n_buckets later.
@@ -170,7 +205,7 @@ def window_features(
     )
     placed = union_all([
         rows, carry, type_carry, fresh.withColumn("names", F.lit(1).cast("long")),
-    ]).repartition(*cell)
+    ]).where(F.col("block") >= 0).repartition(*cell)
     by_type = Window.partitionBy(*cell, "qtype").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     upto = Window.partitionBy(*cell).orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
     held = F.col("held")

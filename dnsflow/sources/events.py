@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from dnsflow.operators.scale import running_totals
+from dnsflow.operators.scale import lookup_join, running_totals
 from dnsflow.schemas import REQUIRED_FIELDS
 
 MAX_NAME = 255
@@ -20,8 +21,31 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
 
 
+_PLACE = ("value", "_metadata.file_name as file_name", "_metadata.file_path as file", "_metadata.file_block_start as block")
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Raw log lines with their file and their line number in it, from 1."""
+    return number_lines(spark.read.text(path).selectExpr(*_PLACE))
+
+
 def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    return spark.readStream.options(**options).text(path)
+    """Lines of arriving files with the split that holds them; ``number_lines`` numbers those of a micro-batch."""
+    return spark.readStream.options(**options).text(path).selectExpr(*_PLACE)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Replace ``block``, where the split of a line begins in its file, by ``line``, its number in the file, blank lines counted.
+
+    A task reads its splits one after the other, so rows of a split are numbered in a row; the numbers of lines of the splits before it in
+    the file are added. Those are one row a split, counted by a reading of its own.
+    """
+    read = lines.withColumn("_row", F.monotonically_increasing_id())
+    splits = read.groupBy("file", "block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    return lookup_join(read, starts, ["file", "block"], "inner", spread=["_row"]).select(
+        *[c for c in lines.columns if c != "block"], (F.col("_row") + F.col("_start")).alias("line"))
 
 
 _FIELDS = (*REQUIRED_FIELDS, "nxdomain", "seq")
@@ -100,7 +124,7 @@ def accepted(checked: DataFrame) -> DataFrame:
     seq = F.col("seq") if "seq" in checked.columns else F.col("event_seq")
     return kept.select(
         seq.cast("long").alias("seq"), "ts", "src_ip", "domain", "qtype", "length", "nxdomain",
-        F.floor(F.col("ts") * 1_000_000).cast("long").alias("ts_us"))
+        F.floor(F.col("ts") * 1_000_000).cast("long").alias("ts_us"), *[c for c in ("file", "line") if c in checked.columns])
 
 
 def valid(events: DataFrame) -> Column:
@@ -113,11 +137,12 @@ def valid(events: DataFrame) -> Column:
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    extra = [c for c in ("seq", "file_name") if c in checked.columns]
+    extra = [c for c in ("seq", "file_name", "line") if c in checked.columns]
     return checked.where(F.col("reason").isNotNull()).select(*extra, F.col("value").alias("raw"), "reason")
 
 
 def with_arrival_number(events: DataFrame) -> DataFrame:
-    """Dense ``seq`` in time order for logs without arrival numbers; ties keep the read order."""
+    """Dense ``seq`` in time order for logs without arrival numbers; ties follow file and line, or else the read order."""
+    place = [c for c in ("file", "line") if c in events.columns]
     numbered = events.drop("seq").withColumn("_row", F.monotonically_increasing_id()).withColumn("_one", F.lit(1))
-    return running_totals(numbered, ["ts_us", "_row"], {"seq": "_one"}).select(*events.columns)
+    return running_totals(numbered, ["ts_us", *place, "_row"], {"seq": "_one"}).select(*[c for c in events.columns if c not in place])

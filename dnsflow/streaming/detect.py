@@ -4,7 +4,13 @@ One query reads and parses each line once. A micro-batch runs the batch operator
 state, so busy sources and flows split as they do in a batch. All that a batch writes stands in folders of its own number, so a
 repeated batch replaces itself and starts from the same state; intermediate tables go when the batch is done.
 
-State is kept per key, so a source with a wrong clock harms only itself: its history is cut by its own newest time. A key expires when the stream's
+Windows are carried as aggregates, not as events: counters per source, bucket and record type, and the names seen per source and bucket
+(``windows.Carried``). A micro-batch adds its own events to them, so what is stored grows with sources, buckets, types and names, and not with
+the events in a window. An event is late when its source has reached a time more than ``late_us`` after it in an earlier micro-batch: late events are
+written aside and counted, and take no part in windows (names need no order and are scored as always). Windows of the others are complete, as buckets
+stay for ``late_us`` and the reach of a window.
+
+State is kept per key, so a source with a wrong clock harms only itself: its buckets are cut by its own newest time. A key expires when the stream's
 clock has moved on by ``idle_us`` since the key was last seen, or by the reach of its windows or cooldown if that is longer. That clock is the median of
 the newest times of all known keys: one key can't move it. A micro-batch may span any time, so a key counts as seen at its own newest time if that is
 later, up to a high quantile of the batch's times. Of a flow the newest alert is kept, and the newest ones not far ahead of the clock and of that
@@ -22,21 +28,24 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from dnsflow.operators.alerts import public_columns
 from dnsflow.operators.cooldown import KEYS, apply_cooldown
-from dnsflow.operators.scale import at_once, has_folder, materialize, remove_folder, scratch
-from dnsflow.operators.windows import window_features
+from dnsflow.operators.scale import at_once, has_folder, lookup_join, materialize, remove_folder, scratch
+from dnsflow.operators.windows import Carried, window_features
 from dnsflow.plans.detect import Detector, name_alerts, window_alerts
 from dnsflow.schemas import EVENT
-from dnsflow.sources.events import accepted, check_events, rejected, stream_lines, with_arrival_number
+from dnsflow.sources.events import accepted, check_events, number_lines, rejected, stream_lines, with_arrival_number
 from dnsflow.sources.sinks import run_totals
 
 IDLE_US = 300_000_000
 HIGH = 0.9                  # share of a batch's events up to whose time a key's own time is trusted
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HISTORY = T.StructType([*EVENT.fields, T.StructField("seen_us", T.LongType())])
+SOURCES = "src_ip string, at long, seen_us long"
+TYPES = "src_ip string, bucket long, qtype string, n long, len double, nx long"
+NAMES = "src_ip string, domain string, bucket long"
 LAST = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS],
                      T.StructField("last_us", T.LongType()), T.StructField("seen_us", T.LongType())])
 COUNTS = "batch long, lines long, rejected long, events long, alerts long, active_sources long, expired_sources long, " \
          "active_flows long, expired_flows long"
+BATCH_COUNTS = f"{COUNTS}, late long, state_rows long"
 
 
 @dataclass
@@ -50,12 +59,17 @@ class Folders:
     def rejects(self) -> str:
         return f"{self.base}/rejects"
 
+    @property
+    def late(self) -> str:
+        return f"{self.base}/late"
+
     @property
     def last_alerts(self) -> str:
         return f"{self.base}/last_alerts"
 
     @property
     def history(self) -> str:
+        """Carried windows: folders ``sources``, ``types`` and ``names`` of each batch."""
         return f"{self.base}/history"
 
     @property
@@ -80,9 +94,9 @@ def _of(batch: int, path: str) -> str:
     return f"{path}/batch={batch}"
 
 
-def _state(spark: SparkSession, path: str, batch: int, schema: T.StructType) -> DataFrame:
+def _state(spark: SparkSession, path: str, batch: int, schema: T.StructType | str, part: str = "") -> DataFrame:
     """State after the batch before; empty for the first one."""
-    return spark.read.schema(schema).parquet(_of(batch - 1, path)) if batch else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_of(batch - 1, path) + part) if batch else spark.createDataFrame([], schema)
 
 
 def _clock(newest: DataFrame) -> int:
@@ -103,27 +117,36 @@ def _kept(keys: list[str], seen: DataFrame, clock: int, high: int, idle_us: int)
     return known.where(stays), live, n - live
 
 
-def _with_past(new: DataFrame, past: DataFrame) -> DataFrame:
-    """The new events, numbered after those still in reach, together with these; ``now`` tells them apart."""
-    shift = past.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    arrived = with_arrival_number(new).withColumn("seq", F.col("seq") + shift).withColumn("seen_us", F.lit(None).cast("long"))
-    return arrived.withColumn("now", F.lit(True)).unionByName(past.withColumn("now", F.lit(False)))
+def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Detector, idle_us: int = IDLE_US,
+                  late_us: int | None = None) -> None:
+    """One micro-batch: rejects, late events, alerts after the cooldown, state and counters, each in the batch's own folder.
 
-
-def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Detector, idle_us: int = IDLE_US) -> None:
-    """One micro-batch: rejects, alerts after the cooldown, state and counters, each in the batch's own folder."""
+    ``lines`` without file and line number events by their content where they carry no ``seq``. ``late_us``: by default the reach of a window.
+    """
     spark = lines.sparkSession
-    write = lambda df, path: df.write.mode("overwrite").parquet(_of(batch, path))
+    write = lambda df, path, part="": df.write.mode("overwrite").parquet(_of(batch, path) + part)
+    reach = detector.bucket_us * detector.n_buckets
+    late_us = reach if late_us is None else late_us
     with scratch(spark):
-        checked = materialize(check_events(lines).withColumn("event_seq", F.coalesce("event_seq", F.xxhash64("value"))))
+        if "block" in lines.columns:
+            lines = number_lines(lines)
+        place = [c for c in ("file", "line") if c in lines.columns]
+        checked = materialize(check_events(lines).withColumn("event_seq", F.coalesce("event_seq", F.xxhash64(*place, "value"))))
         write(rejected(checked), folders.rejects)
-        new = materialize(accepted(checked))
-        both = materialize(_with_past(new, _state(spark, folders.history, batch, HISTORY)))
+        before = _state(spark, folders.history, batch, SOURCES, "/sources")
+        past = Carried(_state(spark, folders.history, batch, TYPES, "/types"), _state(spark, folders.history, batch, NAMES, "/names"))
+        # ``seq`` numbers the batch in time order; ``id`` is the event's own number, which alerts carry.
+        arrived = with_arrival_number(accepted(checked).withColumn("id", F.col("seq")))
+        known = lookup_join(arrived, before.select("src_ip", "at"), ["src_ip"], "left", spread=["seq"])
+        arrived = materialize(known.withColumn("late", F.coalesce(F.col("at") - F.col("ts_us") > late_us, F.lit(False))).drop("at"))
+        new = arrived.withColumn("seq", F.col("id")).select(*EVENT.fieldNames())
+        write(arrived.where("late").withColumn("seq", F.col("id")).select(*EVENT.fieldNames()), folders.late)
+        on_time = arrived.where("not late")
 
         def from_windows() -> DataFrame:
-            features = window_features(both.select(*EVENT.fieldNames()), detector.bucket_us, detector.n_buckets)
-            fresh = both.where("now").select("seq")
-            return window_alerts(features.join(fresh, "seq", "left_semi"), detector)
+            features = window_features(on_time.select(*EVENT.fieldNames()), detector.bucket_us, detector.n_buckets, past=past)
+            enough = features.where(F.col("query_rate") >= detector.min_queries).join(on_time.select("seq", "id"), "seq")
+            return window_alerts(enough.withColumn("seq", F.col("id")).drop("id"), detector)
 
         by_name, by_window = at_once(lambda: materialize(name_alerts(new, detector)), lambda: materialize(from_windows()))
         raw = by_name.unionByName(by_window)
@@ -136,15 +159,21 @@ def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Dete
         emitted = materialize(apply_cooldown(raw, detector.cooldown_us, previous=last))
         public_columns(emitted).write.mode("overwrite").json(_of(batch, folders.alerts))
 
-        # Sources: events that later windows of the same source can reach.
-        reach = detector.bucket_us * detector.n_buckets
-        newest = materialize(both.groupBy("src_ip").agg(
-            F.max("ts_us").alias("at"), F.max("now").alias("now"), F.max("seen_us").alias("was")))
+        # Sources: the buckets that windows of events which are not late can reach.
+        newest = materialize(
+            arrived.select("src_ip", F.col("ts_us").alias("at"), F.lit(True).alias("now"), F.lit(None).cast("long").alias("was"))
+            .unionByName(before.select("src_ip", "at", F.lit(False).alias("now"), F.col("seen_us").alias("was")))
+            .groupBy("src_ip").agg(F.max("at").alias("at"), F.max("now").alias("now"), F.max("was").alias("was")))
         high = new.agg(F.percentile_approx("ts_us", HIGH)).first()[0] or 0
         sources, live, gone = _kept(["src_ip"], newest, _clock(newest), high, max(idle_us, reach))
-        held = both.drop("seen_us", "now").join(newest.select("src_ip", "at"), "src_ip").where(
-            F.col("at") - F.col("ts_us") < reach).join(sources, "src_ip")
-        write(held.select(*HISTORY.fieldNames()), folders.history)
+        stay = materialize(newest.select("src_ip", "at").join(sources, "src_ip"))
+        oldest = F.expr(f"(at - {late_us}L) div {detector.bucket_us}L") - detector.n_buckets
+        carried = past.plus(on_time, detector.bucket_us).since(stay.select("src_ip", oldest.alias("oldest")))
+        write(stay.select("src_ip", "at", "seen_us"), folders.history, "/sources")
+        write(carried.types.select("src_ip", "bucket", "qtype", "n", "len", "nx"), folders.history, "/types")
+        write(carried.names.select("src_ip", "domain", "bucket"), folders.history, "/names")
+        stored = sum(_state(spark, folders.history, batch + 1, schema, part).count()
+                     for schema, part in ((SOURCES, "/sources"), (TYPES, "/types"), (NAMES, "/names")))
 
         # Flows: the last emission, which the cooldown starts from. One that lies far ahead doesn't silence the flow: those before it stay too.
         emissions = materialize(
@@ -159,18 +188,19 @@ def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Dete
         write(flows.select(*KEYS, F.col("at").alias("last_us")).join(kept, list(KEYS)).select(*LAST.fieldNames()), folders.last_alerts)
 
         n, bad = checked.agg(F.count(F.lit(1)), F.count("reason")).first()
-        row = (batch, n, bad, n - bad, emitted.count(), live, gone, live_flows, gone_flows)
-        write(spark.createDataFrame([row], COUNTS), folders.counts)
+        row = (batch, n, bad, n - bad, emitted.count(), live, gone, live_flows, gone_flows, arrived.where("late").count(), stored)
+        write(spark.createDataFrame([row], BATCH_COUNTS), folders.counts)
     # A repeated batch needs the state before it, so only older state goes.
     for path in (folders.history, folders.last_alerts):
         if batch > 1:
             remove_folder(spark, _of(batch - 2, path))
 
 
-def start(spark: SparkSession, source: str, folders: Folders, detector: Detector, idle_us: int = IDLE_US, **options: str) -> StreamingQuery:
+def start(spark: SparkSession, source: str, folders: Folders, detector: Detector, idle_us: int = IDLE_US, late_us: int | None = None,
+          **options: str) -> StreamingQuery:
     """Start the query over all that is available; ``options`` are those of the file source."""
     def step(lines: DataFrame, batch: int) -> None:
-        process_batch(lines, batch, folders, detector, idle_us)
+        process_batch(lines, batch, folders, detector, idle_us, late_us)
 
     return stream_lines(spark, source, **options).writeStream.foreachBatch(step).option(
         "checkpointLocation", folders.checkpoint).trigger(availableNow=True).start()
@@ -178,10 +208,11 @@ def start(spark: SparkSession, source: str, folders: Folders, detector: Detector
 
 def read_counts(spark: SparkSession, folders: Folders) -> DataFrame:
     """Counters of every micro-batch so far: one small row each."""
-    return spark.read.schema(COUNTS).parquet(f"{folders.counts}/batch=*")
+    return spark.read.schema(BATCH_COUNTS).parquet(f"{folders.counts}/batch=*")
 
 
-def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, idle_us: int = IDLE_US, **options: str) -> Folders:
+def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, idle_us: int = IDLE_US, late_us: int | None = None,
+                  **options: str) -> Folders:
     """Process everything that is available in ``source`` and return the folders of the run.
 
     Call it again when more files have arrived: checkpoint and state folders carry everything over.
@@ -189,7 +220,7 @@ def detect_stream(spark: SparkSession, source: str, base: str, detector: Detecto
     folders = Folders(base)
     last = lambda: read_counts(spark, folders).agg(F.max("batch")).first()[0] if has_folder(spark, folders.counts) else -1
     before = last()
-    start(spark, source, folders, detector, idle_us, **options).awaitTermination()
+    start(spark, source, folders, detector, idle_us, late_us, **options).awaitTermination()
     if last() > before:
         folders.run_counts = run_totals(read_counts(spark, folders).where(F.col("batch") > before))
     return folders

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dnsflow.functions.text import basic_features
 from dnsflow.operators import alerts as al
@@ -14,7 +15,7 @@ from dnsflow.operators import ablation as ab
 from dnsflow.operators import allowlist, cooldown, datasets, evaluation, lexical, matching, suffix, windows
 from dnsflow.operators.classifier import evaluate_classifier, held_out_families, score_names, train_classifier
 from dnsflow.operators.forest import NODE_SCHEMA, Forest, train_forest
-from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize, running_totals
+from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize, running_totals, union_all
 from dnsflow.plans import detect as dt
 from dnsflow.plans import train as tr
 from dnsflow.queries import tables as t
@@ -57,6 +58,19 @@ def event_log_scan(spark, sf_dir):
     return clean.select("ts", "src_ip", "domain", "qtype", "length", "nxdomain")
 
 
+@query
+def rejected_lines(spark, sf_dir):
+    """Rejects of a log in several files with the line they stand on, counted over all files, which hold the log one after the other."""
+    path = f"{checkpoint_folder(spark)}/dnsflow/numbered-{uuid.uuid4().hex}"
+    t.event_lines(spark, sf_dir).repartitionByRange(7, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+    lines = materialize(ev.read_numbered_lines(spark, path))
+    files = lines.groupBy("file_name").agg(F.max("line").alias("lines"))
+    earlier = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)     # one row a file
+    before = files.select("file_name", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    bad = ev.rejected(ev.check_events(lines)).join(F.broadcast(before), "file_name")
+    return bad.select((F.col("before") + F.col("line")).alias("line"), "raw", "reason")
+
+
 @query
 def run_counters(spark, sf_dir):
     """Lines, rejects and events of an ingest run, observed while it is written."""
@@ -617,6 +631,24 @@ def _streamed(spark, sf_dir, by: dt.Detector) -> DataFrame:
     return sinks.read_alerts(spark, folders.alerts).select(*_ALERT)
 
 
+@query
+def late_events(spark, sf_dir):
+    """On-time and late events of micro-batches, per source at most a day behind; a seventh of the events arrives a batch or more too late."""
+    own = materialize(t.dns_events(spark, sf_dir).select("seq", "src_ip", "ts_us"))
+    low, high = own.agg(F.min("ts_us"), F.max("ts_us")).first()
+    batch = F.expr(f"((ts_us - {low or 0}L) * 8) div {max((high or 0) - (low or 0), 0) + 1}L")
+    arrived = materialize(own.withColumn("batch", F.when(F.col("seq") % 7 == 3, F.least(batch + F.col("seq") % 5, F.lit(7))).otherwise(batch)))
+    newest, marked = spark.createDataFrame([], streaming.SOURCES), []
+    for number in range(8):
+        now = arrived.where(F.col("batch") == number)
+        marked.append(materialize(streaming.mark_late(now, newest, 24 * t.HOUR_US)))
+        newest = materialize(newest.select("src_ip", "at").unionByName(now.select("src_ip", F.col("ts_us").alias("at")))
+                             .groupBy("src_ip").agg(F.max("at").alias("at")))
+    return union_all(marked).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("events"), F.count(F.when(F.col("late"), 1)).alias("late"),
+        F.sum(F.when(F.col("late"), F.col("seq")).otherwise(0)).cast("long").alias("late_seqs"))
+
+
 # --- detection ---
 
 _ALERT = ("timestamp", "flow_id", "threat_class", "severity", "confidence")

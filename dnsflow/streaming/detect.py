@@ -117,6 +117,12 @@ def _kept(keys: list[str], seen: DataFrame, clock: int, high: int, idle_us: int)
     return known.where(stays), live, n - live
 
 
+def mark_late(events: DataFrame, newest: DataFrame, late_us: int) -> DataFrame:
+    """Add ``late``: whether the event's source had reached (``newest``: src_ip, at) a time more than ``late_us`` after it."""
+    known = lookup_join(events, newest.select("src_ip", "at"), ["src_ip"], "left", spread=["seq"])
+    return known.withColumn("late", F.coalesce(F.col("at") - F.col("ts_us") > late_us, F.lit(False))).select(*events.columns, "late")
+
+
 def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Detector, idle_us: int = IDLE_US,
                   late_us: int | None = None) -> None:
     """One micro-batch: rejects, late events, alerts after the cooldown, state and counters, each in the batch's own folder.
@@ -137,8 +143,7 @@ def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Dete
         past = Carried(_state(spark, folders.history, batch, TYPES, "/types"), _state(spark, folders.history, batch, NAMES, "/names"))
         # ``seq`` numbers the batch in time order; ``id`` is the event's own number, which alerts carry.
         arrived = with_arrival_number(accepted(checked).withColumn("id", F.col("seq")))
-        known = lookup_join(arrived, before.select("src_ip", "at"), ["src_ip"], "left", spread=["seq"])
-        arrived = materialize(known.withColumn("late", F.coalesce(F.col("at") - F.col("ts_us") > late_us, F.lit(False))).drop("at"))
+        arrived = materialize(mark_late(arrived, before, late_us))
         new = arrived.withColumn("seq", F.col("id")).select(*EVENT.fieldNames())
         write(arrived.where("late").withColumn("seq", F.col("id")).select(*EVENT.fieldNames()), folders.late)
         on_time = arrived.where("not late")

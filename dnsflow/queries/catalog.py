@@ -62,7 +62,8 @@ def event_log_scan(spark, sf_dir):
 def rejected_lines(spark, sf_dir):
     """Rejects of a log in several files with the line they stand on, counted over all files, which hold the log one after the other."""
     path = f"{checkpoint_folder(spark)}/dnsflow/numbered-{uuid.uuid4().hex}"
-    t.event_lines(spark, sf_dir).repartitionByRange(7, "seq").sortWithinPartitions("seq").select("value").write.text(path)
+    log = t.event_lines(spark, sf_dir).withColumn("value", F.translate("value", "\n\r", "  "))
+    log.repartitionByRange(7, "seq").sortWithinPartitions("seq").select("value").write.text(path)
     lines = materialize(ev.read_numbered_lines(spark, path))
     files = lines.groupBy("file_name").agg(F.max("line").alias("lines"))
     earlier = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)     # one row a file

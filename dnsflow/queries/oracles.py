@@ -517,16 +517,16 @@ ORACLES["detect_fixed_batch"] = _DETECTED.replace("COLUMNS, ", "seq, ")
 ORACLES["detect_fixed_stream"] = _DETECTED.replace("COLUMNS, ", "")
 
 ORACLES["rejected_lines"] = f"""with {LINES}
-select (select count(*) from lines l where l.seq <= c.seq)::bigint as line, value as raw, reason from checked c where reason is not null"""
+select (select count(*) from lines l where l.seq <= c.seq)::bigint as line, translate(value, chr(10) || chr(13), '  ') as raw, reason from checked c where reason is not null"""
 ORACLES["late_events"] = f"""with {EVENTS},
 span as (select min(ts_us) as low, max(ts_us) - min(ts_us) + 1 as width from dns_events),
 placed as (
   select seq, src_ip, ts_us, ((ts_us - low) * 8 // width)::bigint as own from dns_events, span),
 arrived as (
   select seq, src_ip, ts_us, case when seq % 7 = 3 then least(own + seq % 5, 7) else own end as batch from placed),
-newest as (select src_ip, batch, max(ts_us) as at from arrived group by src_ip, batch),
+newest as (select src_ip, batch, max(ts_us) as newest_us from arrived group by src_ip, batch),
 reached as (
-  select a.seq, a.batch, a.ts_us, max(n.at) as at from arrived a left join newest n on n.src_ip = a.src_ip and n.batch < a.batch group by all),
-marked as (select seq, batch, coalesce(at - ts_us > 24 * {HOUR}, false) as late from reached)
+  select a.seq, a.batch, a.ts_us, max(n.newest_us) as reached_us from arrived a left join newest n on n.src_ip = a.src_ip and n.batch < a.batch group by all),
+marked as (select seq, batch, coalesce(reached_us - ts_us > 24 * {HOUR}, false) as late from reached)
 select batch, count(*) as events, count(*) filter (late) as late, coalesce(sum(seq) filter (late), 0)::bigint as late_seqs
 from marked group by batch"""

@@ -82,7 +82,12 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 def at_once(*steps: Callable[[], T]) -> list[T]:
     """Run independent driver steps side by side, so that their jobs share the cluster."""
-    with ThreadPoolExecutor(len(steps)) as pool:
+    return side_by_side(steps, len(steps))
+
+
+def side_by_side(steps: Sequence[Callable[[], T]], most: int) -> list[T]:
+    """The same for many steps, ``most`` of them at a time; an error of one ends the run when those under way are done."""
+    with ThreadPoolExecutor(max(1, most)) as pool:
         return [future.result() for future in [pool.submit(copy_context().run, step) for step in steps]]
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from dnsflow.operators.scale import lookup_join, materialize
 
-ROWS, BYTES = 2048, 2 << 20     # texts that are cut into chunks at a time; a longer text comes alone
+ROWS, BYTES = 2048, 1 << 20     # texts that are cut into chunks at a time; a longer text comes alone
 JOINED = 200                    # chunks that are encoded in one call
 LARGE_GROUP = 1 << 16           # links of a group from which its ids are counted before they are paired
 #: Visible characters; a cut needs one before the space, and something after the space. Others only make chunks longer.
@@ -303,6 +303,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: st
             for batch in _parts(whole):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), batch.column("key"), *_documents(aligner, batch.column("text"))], schema.names)
+                pa.default_memory_pool().release_unused()
 
     return materialize(own.mapInArrow(run, schema))
 

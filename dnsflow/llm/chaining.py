@@ -14,8 +14,12 @@ found in pieces, with different documents, is found whole. Spans are always the
 Rows of one seed are sorted in one task: at most one row per occurrence, while a text sends a row for every sixth word or so to all tasks, so even a passage in a
 third of all documents weighs about as much as an even share.
 
+Gaps with a side above ``LARGEST_GAP`` words are taken as all different, so a passage with a longer insertion is found as two; pieces under
+``LEAST_PIECE`` words count towards no span.
+
 Nulls: a null text is empty; texts under five words have no seeds. A null doc_id takes part (its key is a hash of the text), and is null in results.
-Rows that share a doc_id are one document: a passage that repeats only among them, or within one text, does not count.
+A document is a doc_id and a text: rows that share both are one, and a passage that repeats only among them, or within one text, does not count.
+Rows that share the doc_id and not the text are documents of their own; their keys are hashes of both. Extra columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm.common import WORD
+from dnsflow.llm.common import WORD, unused
 from dnsflow.llm.jaccard_join import mix, shingle_hashes, word_hashes
-from dnsflow.operators.scale import materialize
+from dnsflow.operators.scale import lookup_join, materialize
 
 SEED, WINDOW = 5, 10
 RUN = 4                     # consecutive minimizers that make a rarer seed
@@ -61,12 +65,27 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-        "key", F.coalesce("doc_id", F.xxhash64("text")))
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """The ids that several texts share: doc_id, several. Written once; mostly empty."""
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"))
+    return materialize(texts.groupBy("doc_id").agg((F.min("t") != F.max("t")).alias("several")).where("several"))
+
+
+def keyed(docs: DataFrame, several: DataFrame, key: str = "key") -> DataFrame:
+    """Add ``key`` to the documents: the doc_id, or a hash where it is null or names several texts (``several`` of ``repeated_ids``)."""
+    told, = unused([*docs.columns, key], "_several")
+    ids = several.withColumnRenamed("several", told)
+    marked = lookup_join(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids, ["doc_id"], "left", spread=["text"])
+    own = F.when(F.col(told), F.xxhash64("doc_id", F.xxhash64("text"))).otherwise(F.coalesce("doc_id", F.xxhash64("text")))
+    return marked.withColumn(key, own).drop(told)
+
+
+def _keyed(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """Each document once: key, text."""
+    return keyed(docs.select("doc_id", "text"), several).select("key", "text")
 
 
-def seeds(docs: DataFrame) -> DataFrame:
+def seeds(texts: DataFrame) -> DataFrame:
     """key, seed, pos of every minimizer of every text; once more, without its number and with ``again``, where its text had it before.
 
     Rows of runs of minimizers have ``reach``, the words from the first to the last of the run; it is 0 for single ones.
@@ -99,7 +118,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                         [pa.array(np.concatenate(c)) for c in (keys, found, places, reaches, again)],
                         ["key", "seed", "pos", "reach", "again"])
 
-    return _keyed(docs).select("key", "text").mapInArrow(run, "key long, seed long, pos int, reach int, again boolean")
+    return texts.mapInArrow(run, "key long, seed long, pos int, reach int, again boolean")
 
 
 def anchors(found: DataFrame) -> DataFrame:
@@ -290,7 +309,7 @@ def align(a: np.ndarray, b: np.ndarray, xs, ys, words) -> list[tuple[int, int, i
     return [tuple(p) for p in passages]
 
 
-def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
+def passages(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Aligned passages of chains: key, other, start, stop, other_start, other_stop, agree."""
     named = materialize(found.withColumn("id", F.xxhash64("key", "other", F.get("xs", F.lit(0)), F.get("ys", F.lit(0)))))
     span = lambda at: F.struct(
@@ -311,7 +330,7 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("id", "side", "low")), pa.array(parts, pa.binary())], ["id", "side", "low", "part"])
 
-    parts = asked.join(_keyed(docs).select("key", "text"), "key").select("id", "key", "side", "low", "high", "text").mapInArrow(
+    parts = asked.join(texts, "key").select("id", "key", "side", "low", "high", "text").mapInArrow(
         cut, "id long, side int, low int, part binary")
     rows = parts.join(named, "id").withColumn("xs", F.when(F.col("side") == 0, F.col("xs"))).repartition("id") \
         .sortWithinPartitions("id", "side")
@@ -327,9 +346,7 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
                 elif held is not None and held[0] == row[0]:
                     a, b = np.frombuffer(held[3], np.uint32), np.frombuffer(row[3], np.uint32)
                     xs, ys = [x - held[2] for x in held[6]], [y - row[2] for y in row[7]]
-                    # A row that shares the id but not the text may be shorter than its chain.
-                    fits = xs[-1] + row[8][-1] <= len(a) and ys[-1] + row[8][-1] <= len(b)
-                    for p in (align(a, b, xs, ys, row[8]) if fits else []):
+                    for p in align(a, b, xs, ys, row[8]):
                         out.append((row[4], row[5], p[0] + held[2], p[1] + held[2], p[2] + row[2], p[3] + row[2], p[4]))
                     held = None
             columns = list(zip(*out)) if out else [[]] * 7
@@ -340,12 +357,13 @@ def passages(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.col("agree") >= ALIKE * F.greatest(F.col("stop") - F.col("start"), F.col("other_stop") - F.col("other_start"))))
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, several: DataFrame | None = None) -> DataFrame:
     """Passages that occur in an earlier document, within spans of at least ``least_words`` words.
 
     Returns key, other, start, stop, other_start, other_stop, agree, span_start, span_stop; places count words from 0, ends are exclusive.
     """
-    found = materialize(passages(docs, chains(anchors(seeds(docs)))).distinct())
+    texts = _keyed(docs, repeated_ids(docs) if several is None else several)
+    found = materialize(passages(texts, chains(anchors(seeds(texts)))).distinct())
     order = Window.partitionBy("key").orderBy("start", "stop", "other", "other_start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = found.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
@@ -357,10 +375,11 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def with_ids(rows: DataFrame, docs: DataFrame, *keys: str) -> DataFrame:
     """``rows`` with the doc_id in place of each of the key columns: null for documents without one."""
-    unnamed = docs.where("doc_id is null").select(F.xxhash64("text").alias("_key"), F.lit(True).alias("_unnamed")).distinct()
+    own = keyed(docs.select("doc_id", "text"), repeated_ids(docs), "_key")
+    hashed = materialize(own.where("not (doc_id <=> _key)").select("_key", F.col("doc_id").alias("_id"), F.lit(True).alias("_hashed")).distinct())
     for key in keys:
-        rows = rows.join(unnamed, rows[key] == unnamed["_key"], "left").withColumn(
-            key, F.when(F.col("_unnamed").isNull(), F.col(key))).drop("_key", "_unnamed")
+        rows = rows.join(hashed, rows[key] == hashed["_key"], "left").withColumn(
+            key, F.when(F.col("_hashed"), F.col("_id")).otherwise(F.col(key))).drop("_key", "_id", "_hashed")
     return rows
 
 
@@ -369,16 +388,18 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
     Columns are those of ``docs``; ``n_chars``, where there is one, follows the text. The first document of a passage keeps it.
     """
-    spans = materialize(repeats(docs, least_words).groupBy("key").agg(
-        F.array_sort(F.collect_set(F.struct("span_start", "span_stop"))).alias("_spans")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    marked = docs.withColumn("_key", key).join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_empty", T.BooleanType())])
+    several = repeated_ids(docs)
+    key_, spans_, empty_ = unused(docs.columns, "_key", "_spans", "_empty")
+    spans = materialize(repeats(docs, least_words, several).groupBy(F.col("key").alias(key_)).agg(
+        F.array_sort(F.collect_set(F.struct("span_start", "span_stop"))).alias(spans_)))
+    marked = keyed(docs, several, key_).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).join(
+        spans, key_, "left").select(*docs.columns, spans_)
+    schema = T.StructType([*docs.schema.fields, T.StructField(empty_, T.BooleanType())])
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            columns, cut = {n: batch.column(n) for n in names}, batch.column("_spans").to_pylist()
+            columns, cut = {n: batch.column(n) for n in names}, batch.column(spans_).to_pylist()
             texts = [without(t, c) if c else t for t, c in zip(columns["text"].to_pylist(), cut)]
             empty = [bool(c) and not t.strip(" \t\n\v\f\r") for t, c in zip(texts, cut)]
             columns["text"] = pa.array(texts, pa.string())
@@ -386,9 +407,9 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
                 own = columns["n_chars"]
                 sizes = [len(t) if c else n for t, c, n in zip(texts, cut, own.to_pylist())]
                 columns["n_chars"] = pa.array(sizes, own.type)
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(empty, pa.bool_())], [*names, "_empty"])
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(empty, pa.bool_())], [*names, empty_])
 
-    return marked.mapInArrow(run, schema).where("not _empty").drop("_empty")
+    return marked.mapInArrow(run, schema).where(~F.col(empty_)).drop(empty_)
 
 
 def without(text: str, spans: list[dict]) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,17 @@ def with_column_type(schema: T.StructType, name: str, kind: T.DataType) -> T.Str
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, lengthened until none is among ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

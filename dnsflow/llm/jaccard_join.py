@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dnsflow.llm.common import unused
 from dnsflow.llm.components import components
 from dnsflow.operators.scale import materialize
 
@@ -328,16 +329,20 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The document with the smallest id of each component (one without an id only if there is none), and all without shingles."""
+    """The document with the smallest id of each component (one without an id only if there is none), and all without shingles.
+
+    Columns are those of ``docs``, whatever their names.
+    """
     own = materialize(_labelled(docs, rule))
+    key_, text_, once, copy_ = unused(docs.columns, "_key", "_text", "_once", "_copy")
     # Rows that share an id may hold different texts, of different components: a document is its key and its text.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "key", "text_key"))
     kept = own.where("n_shingles > 0").groupBy("label").agg(best.alias("best")).select(
-        F.col("best.key").alias("_key"), F.col("best.text_key").alias("_text"), F.lit(True).alias("_once"))
-    free = own.where("n_shingles = 0").select(F.col("key").alias("_key"), F.col("text_key").alias("_text"), F.lit(False).alias("_once")).distinct()
+        F.col("best.key").alias(key_), F.col("best.text_key").alias(text_), F.lit(True).alias(once))
+    free = own.where("n_shingles = 0").select(F.col("key").alias(key_), F.col("text_key").alias(text_), F.lit(False).alias(once)).distinct()
     chosen = materialize(kept.unionByName(free))
     text = F.xxhash64("text")
     key = F.coalesce(F.col("doc_id").cast("long"), text)
-    copy = F.row_number().over(Window.partitionBy("_key", "_text").orderBy("text"))
-    return docs.withColumn("_key", key).withColumn("_text", text).join(chosen, ["_key", "_text"]).withColumn("_copy", copy).where(
-        "not _once or _copy = 1").select(*docs.columns)
+    copy = F.row_number().over(Window.partitionBy(key_, text_).orderBy("text"))
+    return docs.withColumn(key_, key).withColumn(text_, text).join(chosen, [key_, text_]).withColumn(copy_, copy).where(
+        ~F.col(once) | (F.col(copy_) == 1)).select(*docs.columns)

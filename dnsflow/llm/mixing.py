@@ -3,14 +3,14 @@
 ``source_targets`` shares a budget of words among sources by weight; a source stops at ``most`` times its
 size and what it can't take is shared again by weight, until no source is above. ``cuts`` turns targets
 into seeded samples: ``floor(target / size)`` whole repetitions plus a fraction, which takes the documents
-that come first in the order of a seeded hash. The document at the cut is taken in part, so each source meets its target to
-the word. ``mix`` applies the cuts to documents.
+that come first in the order of a seeded hash. The document at the cut is taken whole or left, whichever is nearer, so each source meets its
+target to half a document. ``mix`` applies the cuts to documents.
 
 Only one row per source takes part in the water-filling, and the driver sees sums. The cut is found through sums of
 65,536 hash blocks per source, so a source that holds a third of all rows is spread over many tasks; then documents meet one row per source.
 
-Nulls: a null text has no words; null is a source of its own, the last; rows with a null doc_id tie. Documents that
-tie in the hash order (same doc_id and size) share what is left at the cut evenly, rounded down. A source without words has the target 0.
+Nulls: a null text has no words; null is a source of its own, the last; rows with a null doc_id are told apart by their texts. Rows that
+share doc_id and text are taken or left together at the cut. A source without words has the target 0. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsflow.llm.common import WORD, word_count
+from dnsflow.llm.common import word_count
 from dnsflow.operators.scale import materialize, running_totals
 
 SEED = "mix-1"
 
 
-def order_hash(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")))
+def order_hash(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -61,10 +61,10 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return sources.withColumn("target", target)
 
 
-def cuts(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+def cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """``targets`` with whole repetitions and, for the fraction, the place where the hash order is cut.
 
-    ``sized``: doc_id, source, size. Adds whole, cut_hash, cut_size (null: nothing is cut off) and cut_words, what each document at the cut gives.
+    ``sized``: source, size, hash. Adds whole, cut_hash, cut_size (null: nothing is cut off) and cut_taken, whether what lies at the cut is taken.
     """
     size = F.col("source_size")
     whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
@@ -73,7 +73,7 @@ def cuts(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     goal = goals.select(F.col("source").alias("_source"), "rest")
     same = F.col("source").eqNullSafe(F.col("_source"))
     units = materialize(
-        sized.groupBy("source", order_hash(F.col("doc_id"), seed).alias("hash"), "size").agg(F.count(F.lit(1)).alias("copies"))
+        sized.groupBy("source", "hash", "size").agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("words", F.col("size") * F.col("copies")).withColumn("block", F.substring("hash", 1, 4)))
     upto = lambda *by: F.sum("words").over(
         Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
@@ -88,52 +88,40 @@ def cuts(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
         units.join(of_block, same & (F.col("block") == F.col("_block"))).drop("_source", "_block")
         .withColumn("upto", upto("hash", "size")).where(crossing)
         .select(F.col("source").alias("_source"), F.col("hash").alias("cut_hash"), F.col("size").alias("cut_size"),
-                F.floor((F.col("rest") - F.col("upto") + F.col("words")) / F.col("copies")).alias("cut_words")))
+                (2 * (F.col("rest") - F.col("upto") + F.col("words")) >= F.col("words")).alias("cut_taken")))
     return materialize(goals.join(at, same, "left").drop("_source", "rest"))
 
 
 def taken(cut: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
           seed: str = SEED) -> DataFrame:
-    """``docs`` with _size, _whole, _part (words of one more, partial or full, repetition), _source_size and _target."""
+    """``docs`` with _size, _whole (repetitions), _first (whether there is one more), _part (the words of that one), _source_size and _target."""
     own = cut.select(*[F.col(c).alias(f"_{c}") for c in cut.columns])
     joined = docs.join(own, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_size", word_count(text))
-    h = order_hash(F.col(doc_id), seed)
+    h = order_hash(F.col(doc_id), F.col(text), seed)
     before = F.col("_cut_hash").isNull() | (h < F.col("_cut_hash")) | (
         (h == F.col("_cut_hash")) & (F.col("_size") < F.col("_cut_size")))
-    tie = (h == F.col("_cut_hash")) & (F.col("_size") == F.col("_cut_size"))
-    part = F.when(before, F.col("_size")).when(tie, F.col("_cut_words")).otherwise(0).cast("long")
-    return joined.withColumn("_first", before).withColumn("_part", part).drop(
-        "_cut_hash", "_cut_size", "_cut_words", "_source", "_weight")
+    tie = (h == F.col("_cut_hash")) & (F.col("_size") == F.col("_cut_size")) & F.col("_cut_taken")
+    part = F.when(F.col("_first"), F.col("_size")).otherwise(0).cast("long")
+    return joined.withColumn("_first", before | tie).withColumn("_part", part).drop(
+        "_cut_hash", "_cut_size", "_cut_taken", "_source", "_weight")
 
 
-def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source and number of words of each document, written once."""
-    return materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
+    """source, number of words and place in the seeded order of each document, written once."""
+    return materialize(docs.select(
+        F.col(source).alias("source"), word_count(text).alias("size"), order_hash(F.col(doc_id), F.col(text), seed).alias("hash")))
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: str = SEED) -> DataFrame:
     """The cuts of a mix of ``docs``."""
-    sized = sizes(docs)
-    return cuts(sized, source_targets(sized, weights, share, most), seed)
-
-
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n), "")
+    sized = sizes(docs, seed=seed)
+    return cuts(sized, source_targets(sized, weights, share, most))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: str = SEED) -> DataFrame:
-    """The mixed documents: one row per whole repetition, and the document at a cut shortened to its first words.
-
-    Columns are those of ``docs``; ``n_chars``, where there is one, follows the text.
-    """
-    marked = taken(plan(docs, weights, share, most, seed), docs, seed=seed)
-    shortened = ~F.col("_first") & (F.col("_part") > 0)
+    """The mixed documents, always whole: one row per repetition. Columns are those of ``docs``."""
+    named = docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns])
+    marked = taken(plan(docs, weights, share, most, seed), named, "c_text", "c_doc_id", "c_source", seed)
     times = F.col("_whole") + F.col("_first").cast("long")
-    parts = F.concat(F.array_repeat(F.lit(False), times.cast("int")), F.when(shortened, F.array(F.lit(True))).otherwise(F.array()))
-    rows = marked.withColumn("_short", F.explode(parts))
-    text = F.when(F.col("_short"), first_words(F.col("text"), F.col("_part").cast("int"))).otherwise(F.col("text"))
-    if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("_short"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        rows = rows.withColumn("n_chars", n_chars)
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows = marked.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), times.cast("int"))))
+    return rows.select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])

@@ -32,7 +32,8 @@ from groups
 
 ORACLES["op4_source_mix"] = r"""
 with recursive sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5(concat(coalesce(doc_id::varchar, 'null'), ':mix-1:', md5(coalesce(text, '')))) as hash from documents),
 totals as (select source, sum(size)::bigint as source_size from sized group by source),
 sources as (
   select source, source_size, 3.0::double * source_size as cap,
@@ -49,11 +50,11 @@ goals as (
   select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from targets),
 placed as (
   select s.*, g.source_size, g.target, g.whole, round(g.target)::bigint - g.whole * g.source_size as rest,
-    sum(s.size) over (partition by s.source order by md5(concat(s.doc_id, ':mix-1')), s.size
+    sum(s.size) over (partition by s.source order by s.hash, s.size
                       rows between unbounded preceding and current row)::bigint as upto
   from sized s join goals g on s.source is not distinct from g.source)
 select doc_id, size, source_size, target,
-  (whole * size + greatest(0, least(size, rest - (upto - size))))::bigint as taken
+  (whole * size + case when upto <= rest or (upto - size <= rest and 2 * (rest - (upto - size)) >= size) then size else 0 end)::bigint as taken
 from placed
 """
 

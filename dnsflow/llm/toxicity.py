@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dnsflow.llm.common import with_column_type
+from dnsflow.llm.common import unused, with_column_type
 from dnsflow.operators.scale import materialize
 
 FIT_ROWS = 20_000               # labelled rows per label that the model is fitted on, in expectation
@@ -291,8 +291,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Add _held_out, _score (0 to 1) and _predicted (1 from 0.5 on) to the documents; one pass, nothing shuffled."""
-    marked = clause_features(docs, model.lexicon, text, "_features")
-    total = sum((F.lit(w) * F.get("_features", F.lit(i)) for i, w in enumerate(model.weights[1:])), F.lit(model.weights[0]))
+    """Add _held_out, _score (0 to 1) and _predicted (1 from 0.5 on) to the documents; one pass, nothing shuffled.
+
+    Columns of these three names are replaced; all others stay.
+    """
+    features, = unused(docs.columns, "_features")
+    marked = clause_features(docs, model.lexicon, text, features)
+    total = sum((F.lit(w) * F.get(features, F.lit(i)) for i, w in enumerate(model.weights[1:])), F.lit(model.weights[0]))
     return marked.withColumn("_score", 1 / (1 + F.exp(-total))).withColumn(
-        "_predicted", (F.col("_score") >= 0.5).cast("int")).withColumn("_held_out", held_out(doc_id)).drop("_features")
+        "_predicted", (F.col("_score") >= 0.5).cast("int")).withColumn("_held_out", held_out(doc_id)).drop(features)

@@ -126,3 +126,9 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_keep_one_passes_columns_with_clashing_names(spark):
+    rows = [(1, "a b c d e f g", 1, 2, "x", 4), (2, "a b c d e f g", 5, 6, "y", 8), (3, "other words are here now", 0, 0, "z", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _once int, _copy int, _key string, _text int")
+    assert sorted(map(tuple, j.keep_one(docs).collect())) == [rows[0], rows[2]]

@@ -48,16 +48,19 @@ def test_targets_and_taken_words(spark, share, most):
         assert 0 <= words <= math.ceil(most) * r["_size"]
         assert r["_target"] == pytest.approx(want[r["source"]])
         got[r["source"]] = got.get(r["source"], 0) + words
-    assert {s: round(t) for s, t in want.items()} == got
+    for source, target in want.items():     # whole documents: to half of the one at the cut
+        assert abs(round(target) - got[source]) <= max(COUNTS[source]) / 2
 
 
-def test_mix_repeats_and_cuts_documents(spark):
+def test_mix_repeats_whole_documents(spark):
     docs = docs_of(spark, COUNTS)
     rows = mixing.mix(docs).collect()
     assert len(rows) > docs.count() / 3 and rows[0].asDict().keys() == {"doc_id", "source", "text", "size"}
     want = water({s: sum(n) for s, n in COUNTS.items()}, (5, 2, 1), 1.0, 3.0)
     for source, target in want.items():
-        assert sum(len(r["text"].split()) for r in rows if r["source"] == source) == round(target)
+        assert abs(sum(len(r["text"].split()) for r in rows if r["source"] == source) - round(target)) <= max(COUNTS[source]) / 2
+    whole = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert {(r["doc_id"], r["text"]) for r in rows} <= whole
     assert rows_of(mixing.mix(docs)) == rows_of(mixing.mix(docs))
 
 
@@ -74,8 +77,12 @@ def test_nulls_ties_and_empty_tables(spark):
     assert mixing.mix(spark.createDataFrame([(1, "a", "", "")], DOCS)).count() <= 1
 
 
-def test_first_words_keep_their_spacing(spark):
-    from pyspark.sql import functions as F
+def test_rows_without_id_are_told_apart_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, "a", f"w{i} " * 10, "") for i in range(40)] + [(9, "b", "x " * 400, "")], DOCS)
+    marked = mixing.taken(mixing.plan(docs, share=0.3), docs).where("source = 'a'").collect()
+    assert abs(sum(r["_whole"] * r["_size"] + r["_part"] for r in marked) - marked[0]["_target"]) <= 5 and {r["_part"] for r in marked} == {0, 10}
 
-    df = spark.createDataFrame([("  a \n b\tc  ", 2), ("a", 5), ("", 1)], "text string, n int")
-    assert [r[0] for r in df.select(mixing.first_words(F.col("text"), F.col("n"))).collect()] == ["  a \n b", "a", ""]
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x y", "s", 7, 8)], "doc_id long, source string, text string, _size string, _whole int, _copy int")
+    assert [tuple(r) for r in mixing.mix(docs).collect()] == [(1, "a", "x y", "s", 7, 8)]

@@ -91,3 +91,9 @@ def test_degenerate_labels(spark):
         assert len(rows) == 41 and all(r["_score"] is not None and r["_held_out"] is not None for r in rows)
     empty, _ = frames(spark, [], [])
     assert t.score(empty, t.learn(empty, ls)).count() == 0
+
+
+def test_score_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", "mine", 3)], "doc_id long, text string, _features string, extra int")
+    row = t.score(docs, t.Model(t.Lexicon(), tuple(t.DEFAULTS.tolist()))).first()
+    assert (row["_features"], row["extra"]) == ("mine", 3) and 0 <= row["_score"] <= 1

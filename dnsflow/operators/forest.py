@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown per group of sampled rows, scored in Arrow batches.
+"""Isolation forest: trees grown level by level with DataFrame functions, scored in Arrow batches.
 
 Each tree sees the rows with the smallest hashes for that tree, so the model does not depend
 on partitioning. The model itself is a node table of at most 511 rows per tree.
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,30 +32,49 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(features: Sequence[str], seed: int, sample: int):
-    height = math.ceil(math.log2(max(sample, 2)))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("row")[list(features)].to_numpy(float)
-        rng = np.random.default_rng([seed, tree])
-        nodes, todo = [None], [(0, np.arange(len(x)), 0)]
-        while todo:
-            node, rows, depth = todo.pop()
-            low, high = x[rows].min(axis=0), x[rows].max(axis=0)
-            splittable = np.flatnonzero(high > low)
-            if depth >= height or len(splittable) == 0:
-                nodes[node] = (tree, node, 0, math.inf, node, node, depth, len(rows))
-                continue
-            f = int(rng.choice(splittable))
-            cut = rng.uniform(low[f], high[f])
-            goes_left = x[rows, f] <= cut
-            left, right = len(nodes), len(nodes) + 1
-            nodes += [None, None]
-            nodes[node] = (tree, node, f, cut, left, right, depth, len(rows))
-            todo += [(left, rows[goes_left], depth + 1), (right, rows[~goes_left], depth + 1)]
-        return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
-    return grow
+def _draw(*parts: Column | int | str) -> Column:
+    """Uniform number in [0, 1) from an MD5 of the parts; any engine with MD5 can repeat it."""
+    text = F.concat_ws(":", *[(F.lit(p) if not isinstance(p, Column) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def grow_trees(sampled: DataFrame, features: Sequence[str], sample: int, seed: int = 42) -> DataFrame:
+    """Node table of one tree per ``tree`` in ``sampled`` (tree, features); nodes are numbered as in a heap, the children of n are 2n+1 and 2n+2.
+
+    All trees grow by one level at a time. Smallest and largest values per tree and node are windows over rows that a single shuffle has put together by
+    tree, at most ``sample`` of them; a row notes the nodes it passes. Which feature splits a node, and where between its extremes,
+    are draws by (seed, tree, node), so the trees depend on the rows alone.
+    """
+    height, width = math.ceil(math.log2(max(sample, 2))), len(features)
+    rows = sampled.select(
+        F.col("tree").cast("int").alias("tree"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")).repartition("tree")
+    rows = rows.withColumns({"node": F.lit(0), "open": F.lit(True), "path": F.expr(
+        "cast(array() as array<struct<node: int, feature: int, threshold: double, left: int, right: int, depth: int>>)")})
+    together = Window.partitionBy("tree", "node")
+    for depth in range(height + 1):
+        value = lambda f: F.get("x", F.lit(f))
+        rows = rows.withColumns({
+            "low": F.array(*[F.min(value(f)).over(together) for f in range(width)]),
+            "high": F.array(*[F.max(value(f)).over(together) for f in range(width)])})
+        can = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda f: F.get("high", f) > F.get("low", f))
+        rows = rows.withColumns({"can": can, "u": _draw(seed, F.col("tree"), F.col("node"), 1), "v": _draw(seed, F.col("tree"), F.col("node"), 2)})
+        split = F.col("open") & (F.size("can") > 0) if depth < height else F.lit(False)
+        rows = rows.withColumn("f", F.get("can", F.floor(F.col("u") * F.size("can")).cast("int"))).withColumn("split", split)
+        low, high = F.get("low", F.col("f")), F.get("high", F.col("f"))
+        cut = low + F.col("v") * (high - low)
+        rows = rows.withColumn("cut", F.when(cut < high, cut).otherwise(low))
+        child = lambda right: (F.col("node") * 2 + 1 + right).cast("int")
+        step = F.struct(
+            "node", F.when(F.col("split"), F.col("f")).otherwise(0).alias("feature"),
+            F.when(F.col("split"), F.col("cut")).otherwise(float("inf")).alias("threshold"),
+            F.when(F.col("split"), child(0)).otherwise(F.col("node")).alias("left"),
+            F.when(F.col("split"), child(1)).otherwise(F.col("node")).alias("right"), F.lit(depth).alias("depth"))
+        goes_right = (F.get("x", F.col("f")) > F.col("cut")).cast("int")
+        rows = rows.select(
+            "tree", "x", F.when(F.col("split"), child(goes_right)).otherwise(F.col("node")).alias("node"), F.col("split").alias("open"),
+            F.when(F.col("open"), F.array_append("path", step)).otherwise(F.col("path")).alias("path"))
+    nodes = rows.select("tree", F.explode("path").alias("n")).groupBy("tree", "n").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return nodes.select("tree", "n.*", "size")
 
 
 @dataclass
@@ -137,8 +156,7 @@ def train_forest(
     by_tree = Window.partitionBy("tree").orderBy("_hash", key)
     sampled = drawn.withColumn("_hash", hash_of(F.col("tree"))).withColumn(
         "row", F.row_number().over(by_tree)).where(F.col("row") <= sample)
-    nodes = materialize(sampled.select("tree", "row", *features).groupBy("tree").applyInPandas(
-        _grow(features, seed, sample), NODE_SCHEMA))
+    nodes = materialize(grow_trees(sampled, features, sample, seed))
     forest = Forest(nodes, sample, 0.0, tuple(features))
     offset = quantile(forest.score(normal).select("decision"), "decision", contamination).first()["quantile"]
     return Forest(nodes, sample, float(offset), tuple(features))

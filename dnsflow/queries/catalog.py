@@ -14,7 +14,7 @@ from dnsflow.operators import alerts as al
 from dnsflow.operators import ablation as ab
 from dnsflow.operators import allowlist, cooldown, datasets, evaluation, lexical, matching, suffix, windows
 from dnsflow.operators.classifier import evaluate_classifier, held_out_families, score_names, train_classifier
-from dnsflow.operators.forest import NODE_SCHEMA, Forest, train_forest
+from dnsflow.operators.forest import NODE_SCHEMA, Forest, grow_trees, train_forest
 from dnsflow.operators.scale import checkpoint_folder, hash_rank, lookup_join, materialize, running_totals, union_all
 from dnsflow.plans import detect as dt
 from dnsflow.plans import train as tr
@@ -582,6 +582,18 @@ def counterfactual(spark, sf_dir):
         "*", evaluation.verdict(F.col("baseline_fp_rate"), F.col("revisit_fp_rate")).alias("verdict"))
 
 
+@query
+def forest_nodes(spark, sf_dir):
+    """Nodes of ten trees over 64 windows each, drawn by MD5 from the windows after every event."""
+    features = t.rounded(windows.window_features(materialize(t.dns_events(spark, sf_dir)), t.HOUR_US), *_RATES)
+    per_tree = materialize(features.select(
+        F.explode(F.sequence(F.lit(0), F.lit(9))).alias("tree"), "seq", *WINDOW_FEATURES).withColumn(
+        "draw", F.concat(F.col("tree").cast("string"), F.lit("-"), F.col("seq").cast("string"))))
+    sampled = hash_rank(per_tree, "draw", "forest", ["tree"], at_most=64)
+    return grow_trees(sampled, WINDOW_FEATURES, 64).withColumn(
+        "threshold", F.when(F.col("left") == F.col("node"), F.lit(-1.0)).otherwise(F.col("threshold")))
+
+
 # --- detection by fixed rules, which SQL can repeat ---
 
 #: Two small trees over (query_rate, txt_ratio) and avg_query_len: tree, node, feature, threshold, left, right, depth, size.

@@ -530,3 +530,42 @@ reached as (
 marked as (select seq, batch, coalesce(reached_us - ts_us > 24 * {HOUR}, false) as late from reached)
 select batch, count(*) as events, count(*) filter (late) as late, coalesce(sum(seq) filter (late), 0)::bigint as late_seqs
 from marked group by batch"""
+
+_FOREST_FEATURES = ("query_rate", "unique_subdomains", "avg_query_len", "txt_ratio", "nxdomain_rate", "non_a_ratio", "record_type_entropy")
+_LOWS, _HIGHS = (", ".join(f"{f}(x[{i + 1}]) over together" for i in range(7)) for f in ("min", "max"))
+ORACLES["forest_nodes"] = f"""with recursive {PER_EVENT},
+sampled as (
+  select tree, seq, [{", ".join(f"{f}::double" for f in _FOREST_FEATURES)}] as x
+  from (select *, row_number() over (
+          partition by tree order by md5(concat(tree, '-', seq, ':forest')), concat(tree, '-', seq)) as r
+        from full_features, range(10) as trees(tree))
+  where r <= 64),
+grown as (
+  select tree, seq, x, 0 as depth, 0::bigint as node, true as is_open from sampled
+  union all
+  select tree, seq, x, depth + 1, case when x[f + 1] > cut then 2 * node + 2 else 2 * node + 1 end, true
+  from (select *, case when low[f + 1] + v * (high[f + 1] - low[f + 1]) < high[f + 1] then low[f + 1] + v * (high[f + 1] - low[f + 1])
+                       else low[f + 1] end as cut
+        from (select *, can[floor(u * len(can))::int + 1] as f
+              from (select *, list_filter(range(7), lambda i: high[i + 1] > low[i + 1]) as can,
+                      ('0x' || substr(md5(concat('42:', tree, ':', node, ':1')), 1, 13))::bigint / 4503599627370496.0::double as u,
+                      ('0x' || substr(md5(concat('42:', tree, ':', node, ':2')), 1, 13))::bigint / 4503599627370496.0::double as v
+                    from (select *, [{_LOWS}] as low, [{_HIGHS}] as high from grown where depth < 6
+                          window together as (partition by tree, node)))
+              where len(can) > 0))),
+nodes as (
+  select tree, node, depth, count(*) as size, [{", ".join(f"min(x[{i + 1}])" for i in range(7))}] as low,
+    [{", ".join(f"max(x[{i + 1}])" for i in range(7))}] as high
+  from grown group by tree, node, depth),
+drawn as (
+  select *, list_filter(range(7), lambda i: high[i + 1] > low[i + 1]) as can,
+    ('0x' || substr(md5(concat('42:', tree, ':', node, ':1')), 1, 13))::bigint / 4503599627370496.0::double as u,
+    ('0x' || substr(md5(concat('42:', tree, ':', node, ':2')), 1, 13))::bigint / 4503599627370496.0::double as v from nodes),
+split as (
+  select *, depth < 6 and len(can) > 0 as splits, can[floor(u * len(can))::int + 1] as f from drawn),
+placed as (select *, low[f + 1] + v * (high[f + 1] - low[f + 1]) as at_v from split)
+select tree::int as tree, node::int as node, case when splits then f else 0 end::int as feature,
+  case when not splits then -1.0 when at_v < high[f + 1] then at_v else low[f + 1] end as threshold,
+  case when splits then 2 * node + 1 else node end::int as left, case when splits then 2 * node + 2 else node end::int as right,
+  depth::int as depth, size::int as size
+from placed"""

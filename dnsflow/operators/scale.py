@@ -1,6 +1,6 @@
 """Building blocks that keep a plan exact and balanced when one key holds much of the data.
 
-* ``materialize``     cuts lineage with a table in the shared checkpoint folder
+* ``materialize``     cuts lineage with a table in the shared checkpoint folder; ``release`` deletes it before the job's end
 * ``lookup_join``     broadcast behind a size check, salted shuffle join beyond it
 * ``hash_rank``       exact row numbers in hash order, without one task per group
 * ``running_totals``  exact running sums in value order, without one task per group
@@ -68,6 +68,19 @@ def has_folder(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, and have the driver drop the shuffle files of finished jobs.
+
+    Spark removes shuffle files when its driver's garbage collector finds their jobs unused; a driver with much memory seldom collects.
+    """
+    for table in tables:
+        for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+            if "/dnsflow/" not in folder:
+                raise ValueError(f"not a table of materialize: {folder}")
+            remove_folder(spark, folder)
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables materialized inside are deleted at the end: write what is to stay elsewhere."""

@@ -1,10 +1,11 @@
 """Substring deduplication by collinear chaining.
 
 Seeds are the minimizers of five-word runs: any equal stretch of ``WINDOW + SEED - 1`` words holds one in both texts. Equal seeds
-of a text are numbered, so texts that repeat themselves still link in order. Each occurrence of a seed is linked to its first one, by doc_id, and to the one before it, so a passage that n documents share costs
-2 n links and not n^2. Later occurrences in a text are also linked to the first one of the earliest document that has the seed, whatever their number, so
-each further copy of a passage is found. Where single seeds are frequent, their first and previous documents are others than those of the passage; so runs of
-``RUN`` consecutive minimizers are seeds too, linked in the same way by both their ends: any equal stretch of 44 words holds one. The links of two documents are merged into fragments along a diagonal; fragments are chained in order by
+of a text are numbered, so texts that repeat themselves still link in order. Each occurrence of a seed is linked to its first one, by doc_id, and to the one
+before it, so a passage that n documents share costs 2 n links and not n^2. Later occurrences in a text are also linked to the first one of the earliest
+document that has the seed, whatever their number, so each further copy of a passage is found. Where seeds are frequent, their first and previous documents
+are others than those of the passage; so runs of ``RUN`` consecutive minimizers, all of which occur in three documents or more, are seeds too, linked in the
+same way by both their ends: any equal stretch of 44 words holds a run or a rarer seed. The links of two documents are merged into fragments along a diagonal; fragments are chained in order by
 a Fenwick tree of best scores, where words between fragments cost ``GAP`` on either side. Chains are then aligned word by word: fragments are
 extended, gaps are aligned, and fragments are joined into a passage as long as ``ALIKE`` of its words agree.
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from dnsflow.llm.common import WORD, unused
 from dnsflow.llm.jaccard_join import mix, shingle_hashes, word_hashes
-from dnsflow.operators.scale import lookup_join, materialize
+from dnsflow.operators.scale import lookup_join, materialize, release
 
 SEED, WINDOW = 5, 10
 RUN = 4                     # consecutive minimizers that make a rarer seed
@@ -85,59 +86,113 @@ def _keyed(docs: DataFrame, several: DataFrame) -> DataFrame:
     return keyed(docs.select("doc_id", "text"), several).select("key", "text")
 
 
-def seeds(texts: DataFrame) -> DataFrame:
-    """key, seed, pos of every minimizer of every text; once more, without its number and with ``again``, where its text had it before.
+#: How a row stands for its seed: the text's first occurrence, a later one under a seed that also tells its number, and that one under the plain seed.
+FIRST, LATER, AGAIN = 0, 1, 2
 
-    Rows of runs of minimizers have ``reach``, the words from the first to the last of the run; it is 0 for single ones.
-    """
+
+def _told(places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and places (with the kind in the two lowest bits) of the occurrences of hashes in one text."""
+    told = numbered(hashes)
+    later = told != hashes
+    return np.concatenate([told, hashes[later]]).view(np.int64), np.concatenate([places << 2 | later * LATER, places[later] << 2 | AGAIN])
+
+
+def seeds(texts: DataFrame) -> DataFrame:
+    """key, seed, place of every minimizer of every text. A place holds the word, the number of the minimizer in its text and the kind."""
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                keys, places, found, reaches, again = [], [], [], [], []
+                keys, found, places = [], [], []
                 for key, text in zip(part.column("key").to_pylist(), part.column("text")):
                     words = word_hashes(text.as_py())
                     if len(words) < SEED:
                         continue
                     hashes = shingle_hashes(words, SEED)
                     at = minimizers(hashes)
-                    own = hashes[at]
-                    kinds = [(at, own, np.zeros(len(at), np.int64))]
-                    if len(at) >= RUN:
-                        kinds.append((at[:1 - RUN], shingle_hashes(own, RUN), at[RUN - 1:] - at[:1 - RUN]))
-                    for at, own, reach in kinds:
-                        told = numbered(own)
-                        later = told != own
-                        places.append(np.concatenate([at, at[later]]).astype(np.int32))
-                        found.append(np.concatenate([told, own[later]]).view(np.int64))
-                        reaches.append(np.concatenate([reach, reach[later]]).astype(np.int32))
-                        again.append(np.arange(len(places[-1])) >= len(at))
-                        keys.append(np.full(len(places[-1]), key, np.int64))
+                    own = _told(at << 30 | np.arange(len(at)), hashes[at])
+                    found.append(own[0])
+                    places.append(own[1])
+                    keys.append(np.full(len(own[0]), key, np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c)) for c in (keys, found, places, reaches, again)],
-                        ["key", "seed", "pos", "reach", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, found, places)], ["key", "seed", "place"])
 
-    return texts.mapInArrow(run, "key long, seed long, pos int, reach int, again boolean")
+    return texts.mapInArrow(run, "key long, seed long, place long")
 
 
-def anchors(found: DataFrame) -> DataFrame:
-    """Links of each seed occurrence to the first one and, but for ``again``, the one before, in other documents: key, other, pos, other_pos."""
-    order = Window.partitionBy("seed").orderBy("key", "pos", "again")
+def shared(found: DataFrame) -> DataFrame:
+    """Occurrences of seeds that occur more than once, with ``docs``, in how many documents, and their partners: the first occurrence and, but for
+    ``AGAIN``, the one before."""
+    whole = Window.partitionBy("seed")
+    order = whole.orderBy("key", "place")
     upto = lambda row: order.rowsBetween(Window.unboundedPreceding, row)
-    own = F.struct("key", "pos", "reach")
-    first = F.first(own).over(upto(Window.currentRow))
-    before = F.when(~F.col("again"), F.last(F.when(~F.col("again"), own), ignorenulls=True).over(upto(-1)))
-    linked = found.withColumn("first", first).withColumn("before", before).where("key != first.key")
+    own, again = F.struct("key", "place"), F.col("place").bitwiseAND(3) == AGAIN
+    before = F.when(~again, F.last(F.when(~again, own), ignorenulls=True).over(upto(-1)))
+    return found.select(
+        "key", "seed", "place", F.count(F.lit(1)).over(whole).alias("rows"), F.count(F.when(~again, 1)).over(whole).alias("docs"),
+        F.first(own).over(upto(Window.currentRow)).alias("first"), before.alias("before")).where("rows > 1").drop("rows")
+
+
+def anchors(rows: DataFrame, runs: bool = False) -> DataFrame:
+    """Links of occurrences of ``shared`` to their partners in other documents: key, other, pos, other_pos; of ``runs`` both ends."""
+    linked = rows.where("key != first.key")
     both = F.when(
         (F.col("before.key") != F.col("key")) & (F.col("before.key") != F.col("first.key")), F.array("first", "before")
     ).otherwise(F.array("first"))
-    end = lambda a, b: F.struct(a.alias("pos"), b.alias("other_pos"))
-    start = end(F.col("pos"), F.col("o.pos"))
-    ends = F.when(F.col("reach") > 0, F.array(
-        start, end(F.col("pos") + F.col("reach"), F.col("o.pos") + F.col("o.reach")))).otherwise(F.array(start))
-    return linked.select("key", "pos", "reach", F.explode(both).alias("o")).select(
-        "key", F.col("o.key").alias("other"), F.explode(ends).alias("e")).select("key", "other", "e.*")
+    word = lambda place: F.shiftright(place, 32).cast("int")
+    reach = lambda place: F.shiftright(place, 2).bitwiseAND((1 << 30) - 1).cast("int")
+    ends = lambda a, b: F.array(*[F.struct((word(a) + x).alias("pos"), (word(b) + y).alias("other_pos"))
+                                  for x, y in [(F.lit(0), F.lit(0)), (reach(a), reach(b))][:2 if runs else 1]])
+    return linked.select("key", "place", F.explode(both).alias("o")).select(
+        "key", F.col("o.key").alias("other"), F.explode(ends(F.col("place"), F.col("o.place"))).alias("e")).select("key", "other", "e.*")
+
+
+def run_seeds(rows: DataFrame) -> DataFrame:
+    """Seeds of runs of ``RUN`` consecutive minimizers that all occur in more than two documents; a place holds the run's first word and its reach.
+
+    A seed of two documents links them as it is; where all are more frequent, their partners may be other documents than those of the passage.
+    """
+    often = rows.where((F.col("docs") > 2) & (F.col("place").bitwiseAND(3) != LATER)).select("key", "seed", "place")
+
+    def of_text(seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place, fresh = np.unique(place >> 2, return_index=True)
+        seed, number, word = seed[fresh], place & ((1 << 30) - 1), place >> 30
+        if len(seed) < RUN:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        together = number[RUN - 1:] - number[:1 - RUN] == RUN - 1
+        hashes, first, last = shingle_hashes(seed.view(np.uint64), RUN)[together], word[:1 - RUN][together], word[RUN - 1:][together]
+        return _told(first << 30 | last - first, hashes)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("key", "seed", "place")]
+            if held is not None:
+                now = [np.concatenate(p) for p in zip(held, now)]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(now[0])) + 1])
+            held = [c[edges[-1]:].copy() for c in now]      # the last text may go on in the next batch
+            yield from out(now, edges)
+        if held is not None and len(held[0]):
+            yield from out(held, np.array([0, len(held[0])]))
+
+    def out(columns, edges):
+        found = [(columns[0][a], *of_text(columns[1][a:b], columns[2][a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        if found:
+            keys = np.concatenate([np.full(len(s), k, np.int64) for k, s, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2)]],
+                                             ["key", "seed", "place"])
+
+    return often.repartition("key").sortWithinPartitions("key", "place").mapInArrow(run, "key long, seed long, place long")
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """All links between documents, written once; what led to them is deleted."""
+    single = materialize(shared(seeds(texts)))
+    release(single.sparkSession)
+    runs = materialize(shared(run_seeds(single)))
+    found = materialize(anchors(single).unionByName(anchors(runs, runs=True)))
+    release(found.sparkSession, single, runs)
+    return found
 
 
 class BestUpTo:
@@ -311,7 +366,7 @@ def align(a: np.ndarray, b: np.ndarray, xs, ys, words) -> list[tuple[int, int, i
 
 def passages(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Aligned passages of chains: key, other, start, stop, other_start, other_stop, agree."""
-    named = materialize(found.withColumn("id", F.xxhash64("key", "other", F.get("xs", F.lit(0)), F.get("ys", F.lit(0)))))
+    named = found.withColumn("id", F.xxhash64("key", "other", F.get("xs", F.lit(0)), F.get("ys", F.lit(0))))
     span = lambda at: F.struct(
         F.greatest(F.get(at, F.lit(0)) - MARGIN, F.lit(0)).alias("low"),
         (F.element_at(at, -1) + F.element_at("words", -1) + MARGIN).alias("high"))
@@ -363,7 +418,11 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, several: DataFrame
     Returns key, other, start, stop, other_start, other_stop, agree, span_start, span_stop; places count words from 0, ends are exclusive.
     """
     texts = _keyed(docs, repeated_ids(docs) if several is None else several)
-    found = materialize(passages(texts, chains(anchors(seeds(texts)))).distinct())
+    linked = links(texts)
+    chained = materialize(chains(linked))
+    release(docs.sparkSession, linked)
+    found = materialize(passages(texts, chained).distinct())
+    release(docs.sparkSession, chained)
     order = Window.partitionBy("key").orderBy("start", "stop", "other", "other_start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     parts = found.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))

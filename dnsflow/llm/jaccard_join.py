@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dnsflow.llm.common import unused
 from dnsflow.llm.components import components
-from dnsflow.operators.scale import materialize
+from dnsflow.operators.scale import materialize, release
 
 SMALL = 1               # subsets of up to so many shingles are left out where credits allow
 KNOWN_WORDS = 400_000   # word hashes that a worker remembers
@@ -300,22 +300,28 @@ def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
     """key, text_key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
-    index = materialize(_index(docs, rule))
+    spark = docs.sparkSession
+    signed = materialize(_index(docs, rule))
     whole = Window.partitionBy("sig")
     shared = materialize(
-        index.select("node", F.explode("sigs").alias("sig"))
+        signed.select("node", F.explode("sigs").alias("sig"))
         .withColumn("least", F.min("node").over(whole)).withColumn("most", F.max("node").over(whole))
         .withColumn("k", F.count(F.lit(1)).over(whole)).where("least != most")
         .groupBy("sig", "node").agg(F.max("k").alias("k")))
+    index = materialize(signed.drop("sigs"))
+    release(spark, signed)
     sets = materialize(_sets(docs, index, shared.select("node").distinct(), rule))
     # The set that shares most signatures, and those of the largest groups, is the likeliest to be near all others.
     weights = shared.groupBy("node").agg(F.sum("k").alias("weight"))
     centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(whole)["node"])
     tried = materialize(centres.select("node", "centre").where("node != centre").distinct())
+    release(spark, shared)
     compared = materialize(_compared(tried, sets, rule))
+    release(spark, tried)
     links = compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     rest = materialize(_remaining(compared, materialize(components(links)), rule))
     labels = materialize(components(links.unionByName(materialize(_linked(rest, sets, rule)))))
+    release(spark, sets, compared, rest)
     return index.select("key", "text_key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "key", "text_key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnsflow.operators.scale import order_statistics, running_totals
+from dnsflow.operators.scale import order_statistics, order_statistics_of_counts, running_totals
 
 SEVERITY_THRESHOLDS = (0.30, 0.60, 0.85)
 FALSE_DISCOVERY_TARGETS = (0.10, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
@@ -170,11 +170,29 @@ def nearest_rank(
     df: DataFrame, value: str, shares: Sequence[float] = (0.50, 0.95, 0.99), group: Sequence[str] = ()
 ) -> DataFrame:
     """Value at 0-based position ``min(floor(share * n), n - 1)`` of the sorted values, 0 when there are none."""
-    at = {f"p{round(s * 100)}": F.least(F.floor(F.lit(float(s)) * F.col("n")), F.col("n") - 1) for s in shares}
+    at = _nearest(shares)
     out = order_statistics(df, value, at, group)
     return out.select(*group, "n", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in at])
 
 
+def _nearest(shares: Sequence[float]) -> dict[str, Column]:
+    return {f"p{round(s * 100)}": F.least(F.floor(F.lit(float(s)) * F.col("n")), F.col("n") - 1) for s in shares}
+
+
+def value_counts(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """How often each value occurs (``times``): what a micro-batch leaves for ``nearest_rank_of_counts``."""
+    return df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("times"))
+
+
+def nearest_rank_of_counts(
+    counts: DataFrame, value: str, times: str = "times", shares: Sequence[float] = (0.50, 0.95, 0.99), group: Sequence[str] = ()
+) -> DataFrame:
+    """``nearest_rank`` of values given by their counts, which may come from many micro-batches: exactly that of all values together."""
+    at = _nearest(shares)
+    out = order_statistics_of_counts(counts, value, times, at, group)
+    return out.select(*group, "n", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in at])
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median per column: ``(column, median)``."""
     long = df.select(F.explode(F.array(*[

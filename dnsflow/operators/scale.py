@@ -221,9 +221,16 @@ def order_statistics(
 
     Equal values are counted before the shuffle, then located by their running count.
     """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_times"))
+    return order_statistics_of_counts(counted, value, "_times", positions, group)
+
+
+def order_statistics_of_counts(
+    counts: DataFrame, value: str, times: str, positions: dict[str, Column], group: Sequence[str] = ()
+) -> DataFrame:
+    """``order_statistics`` of values that are already counted; counts of the same value, from several batches say, add up."""
     group = list(group)
-    counted = materialize(
-        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_times")))
+    counted = materialize(counts.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.sum(times).cast("long").alias("_times")))
     placed = running_totals(counted, [value], {"_upto": "_times"}, group)
     sizes = counted.groupBy(*group).agg(F.sum("_times").alias("n"))
     if group:

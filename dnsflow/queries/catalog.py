@@ -358,6 +358,14 @@ def nearest_rank_latency(spark, sf_dir):
     return evaluation.nearest_rank(t.table(spark, sf_dir, "events"), "value")
 
 
+@query
+def nearest_rank_of_batches(spark, sf_dir):
+    """The same from value counts that sixteen batches of the events leave one after the other."""
+    events = materialize(t.table(spark, sf_dir, "events").select("event_id", "value"))
+    left = [evaluation.value_counts(events.where(F.col("event_id") % 16 == batch), "value") for batch in range(16)]
+    return evaluation.nearest_rank_of_counts(materialize(union_all(left)), "value")
+
+
 @query
 def nearest_rank_by_group(spark, sf_dir):
     return evaluation.nearest_rank(t.table(spark, sf_dir, "events"), "value", group=["event_type"])
@@ -582,6 +590,27 @@ def counterfactual(spark, sf_dir):
         "*", evaluation.verdict(F.col("baseline_fp_rate"), F.col("revisit_fp_rate")).alias("verdict"))
 
 
+@query
+def plain_list_files(spark, sf_dir):
+    """Domains of list files with and without ranks, and words of a word file, counted."""
+    base = f"{checkpoint_folder(spark)}/dnsflow/lists-{uuid.uuid4().hex}"
+    pages = t.hosts(spark, sf_dir)
+    ranked = F.concat(F.col("page_id").cast("string"), F.lit(", "), F.col("domain"), F.lit("\r"))
+    pages.select(F.when(F.col("page_id") % 2 == 0, ranked).otherwise(F.concat(F.lit("  "), "domain")).alias("value")).write.text(f"{base}/domains")
+    t.tokens(spark, sf_dir).select(F.concat(F.lit(" "), "word", F.lit("\t")).alias("value")).write.text(f"{base}/words")
+    domains = lists.read_plain_domains(spark, f"{base}/domains").select(F.lit("domain").alias("kind"), F.col("domain").alias("entry"))
+    words = lists.read_words(spark, f"{base}/words").select(F.lit("word").alias("kind"), F.col("word").alias("entry"))
+    return domains.unionByName(words).groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def fixed_ablation(spark, sf_dir):
+    """False-positive rate of a given forest over all windows, as measured and with each feature set to its median."""
+    features = materialize(windows.window_features(materialize(t.threat_events(spark, sf_dir)), t.HOUR_US))
+    forest = _fixed_forest(spark)
+    return t.rounded(ab.false_positive_rates(features, forest, ab.median_replacements(features, forest)), "fp_rate", "delta_points")
+
+
 @query
 def forest_nodes(spark, sf_dir):
     """Nodes of ten trees over 64 windows each, drawn by MD5 from the windows after every event."""

@@ -569,3 +569,30 @@ select tree::int as tree, node::int as node, case when splits then f else 0 end:
   case when splits then 2 * node + 1 else node end::int as left, case when splits then 2 * node + 2 else node end::int as right,
   depth::int as depth, size::int as size
 from placed"""
+
+ORACLES["nearest_rank_of_batches"] = ORACLES["nearest_rank_latency"]
+ORACLES["plain_list_files"] = f"""with {HOSTS},
+entries as (
+  select 'domain' as kind, domain as entry from hosts where domain <> ''
+  union all
+  select 'word', word from (
+    select distinct unnest(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{Nd}}]+)', 1)) as word from documents))
+select kind, entry, count(*) as n from entries group by kind, entry"""
+_PATH = f"""0.48 - pow(2, -((case when RATE <= 6 then 1 + {_expected_path(6)} else 2 end
+  + case when LEN <= 15.5 then 1 + {_expected_path(5)} else 1 + {_expected_path(3)} end) / 2) / {_expected_path(8)})"""
+ORACLES["fixed_ablation"] = f"""with {FIXED},
+own as (select query_rate, len from full_features join exact using (seq)),
+middle as (select median(query_rate)::double as rate, median(len) as len from own),
+flags as (
+  select {_PATH.replace('RATE', 'o.query_rate').replace('LEN', 'o.len')} < 0 as base,
+    {_PATH.replace('RATE', 'm.rate').replace('LEN', 'o.len')} < 0 as by_rate,
+    {_PATH.replace('RATE', 'o.query_rate').replace('LEN', 'm.len')} < 0 as by_len
+  from own o, middle m),
+rates as (
+  select count(*) as n, avg(base::int) as base, avg(by_rate::int) as by_rate, avg(by_len::int) as by_len from flags),
+variants as (select unnest(['baseline', 'query_rate', 'unique_subdomains', 'avg_query_len', 'txt_ratio', 'nxdomain_rate', 'non_a_ratio',
+  'record_type_entropy']) as variant),
+chosen as (
+  select variant, n, base, case variant when 'query_rate' then by_rate when 'avg_query_len' then by_len else base end as fp_rate
+  from variants, rates)
+select variant, n, round(fp_rate, 6) as fp_rate, round((fp_rate - base) * 100, 6) as delta_points from chosen"""

@@ -19,6 +19,7 @@ quantile; the cooldown starts from the newest that is not far ahead of the flow'
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from dnsflow.operators.alerts import public_columns
 from dnsflow.operators.cooldown import KEYS, apply_cooldown
+from dnsflow.operators.evaluation import nearest_rank_of_counts
 from dnsflow.operators.scale import at_once, has_folder, lookup_join, materialize, remove_folder, scratch
 from dnsflow.operators.windows import Carried, window_features
 from dnsflow.plans.detect import Detector, name_alerts, window_alerts
@@ -45,7 +47,7 @@ LAST = T.StructType([*[T.StructField(k, T.StringType()) for k in KEYS],
                      T.StructField("last_us", T.LongType()), T.StructField("seen_us", T.LongType())])
 COUNTS = "batch long, lines long, rejected long, events long, alerts long, active_sources long, expired_sources long, " \
          "active_flows long, expired_flows long"
-BATCH_COUNTS = f"{COUNTS}, late long, state_rows long"
+BATCH_COUNTS = f"{COUNTS}, late long, state_rows long, ms long"
 
 
 @dataclass
@@ -129,7 +131,7 @@ def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Dete
 
     ``lines`` without file and line number events by their content where they carry no ``seq``. ``late_us``: by default the reach of a window.
     """
-    spark = lines.sparkSession
+    spark, began = lines.sparkSession, time.perf_counter()
     write = lambda df, path, part="": df.write.mode("overwrite").parquet(_of(batch, path) + part)
     reach = detector.bucket_us * detector.n_buckets
     late_us = reach if late_us is None else late_us
@@ -193,7 +195,7 @@ def process_batch(lines: DataFrame, batch: int, folders: Folders, detector: Dete
         write(flows.select(*KEYS, F.col("at").alias("last_us")).join(kept, list(KEYS)).select(*LAST.fieldNames()), folders.last_alerts)
 
         n, bad = checked.agg(F.count(F.lit(1)), F.count("reason")).first()
-        row = (batch, n, bad, n - bad, emitted.count(), live, gone, live_flows, gone_flows, arrived.where("late").count(), stored)
+        row = (batch, n, bad, n - bad, emitted.count(), live, gone, live_flows, gone_flows, arrived.where("late").count(), stored, round(1000 * (time.perf_counter() - began)))
         write(spark.createDataFrame([row], BATCH_COUNTS), folders.counts)
     # A repeated batch needs the state before it, so only older state goes.
     for path in (folders.history, folders.last_alerts):
@@ -216,6 +218,11 @@ def read_counts(spark: SparkSession, folders: Folders) -> DataFrame:
     return spark.read.schema(BATCH_COUNTS).parquet(f"{folders.counts}/batch=*")
 
 
+def run_latency(spark: SparkSession, folders: Folders) -> DataFrame:
+    """n events and p50, p95, p99 of how long the micro-batch of an event took, in milliseconds, by nearest rank."""
+    return nearest_rank_of_counts(read_counts(spark, folders).select(F.col("ms").cast("double").alias("ms"), "events"), "ms", "events")
+
+
 def detect_stream(spark: SparkSession, source: str, base: str, detector: Detector, idle_us: int = IDLE_US, late_us: int | None = None,
                   **options: str) -> Folders:
     """Process everything that is available in ``source`` and return the folders of the run.

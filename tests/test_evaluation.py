@@ -91,3 +91,18 @@ def test_ranked_values(spark):
 def test_verdict(spark):
     row = spark.range(1).select(ev.verdict(1.0, 0.4).alias("a"), ev.verdict(1.0, 0.5).alias("b")).first()
     assert (row["a"], row["b"]) == ("supported", "not supported")
+
+
+def test_nearest_rank_of_batches_equals_that_of_all_values(spark):
+    import random
+
+    from dnsflow.operators.evaluation import nearest_rank, nearest_rank_of_counts, value_counts
+    from dnsflow.operators.scale import union_all
+
+    rng = random.Random(9)
+    rows = [(i % 5, round(rng.expovariate(1.0), 1)) for i in range(700)] + [(2, None)]
+    df = spark.createDataFrame(rows, "batch int, ms double")
+    left = union_all([value_counts(df.where(f"batch = {b}"), "ms") for b in range(5)])
+    assert nearest_rank_of_counts(left, "ms").collect() == nearest_rank(df, "ms").collect()
+    assert [tuple(r) for r in nearest_rank_of_counts(left.limit(0), "ms").collect()] == [
+        tuple(r) for r in nearest_rank(df.limit(0), "ms").collect()]

@@ -107,3 +107,20 @@ def test_stream_match_equals_batch(spark, tmp_path):
     got = {r["seq"]: r["nxdomain"] for r in out.where("seq < 50").collect()}
     want = {r["seq"]: r["nxdomain"] for r in match_responses_within(spark.createDataFrame(first, MESSAGE)).collect()}
     assert got == want
+
+
+def test_idle_sources_expire_by_event_time(spark, tmp_path):
+    from dnsflow.streaming.expiry import idle_stream
+
+    use_rocksdb(spark)
+    parts = [[("a", 1.0), ("b", 1.0), ("a", 5.0), ("c", 1.0)], [("b", 400.0)], [("b", 650.0)], [("a", 900.0), ("b", 900.0)], [("b", 1300.0)], [("b", 1310.0)]]
+    rows = [event(i, ts, ip, "x.com", "A", 5) for i, (ip, ts) in enumerate(r for part in parts for r in part)]
+    path = str(tmp_path / "in")
+    for i, part in enumerate(parts):
+        at = sum(map(len, parts[:i]))
+        write_parts(spark, rows[at:at + len(part)], EVENT, path, 1)
+    _, out = run(idle_stream(source(spark, EVENT, path)), tmp_path, "idle")
+    got = sorted((r["src_ip"], r["last_seen_us"], r["events"]) for r in out.collect())
+    # b pauses for less than the watermark needs to tell; a goes twice and starts anew in between.
+    assert got == [("a", 5_000_000, 2), ("a", 900_000_000, 1), ("c", 1_000_000, 1)]
+    assert all(r["watermark_us"] >= r["last_seen_us"] + 300_000_000 for r in out.collect())

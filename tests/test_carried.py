@@ -104,3 +104,13 @@ def test_ties_follow_file_and_line(spark):
     events = spark.createDataFrame([(file, line, 5, name) for file, line, name in rows], "file string, line long, ts_us long, name int").withColumn(
         "seq", F.lit(0))
     assert [r["name"] for r in with_arrival_number(events).orderBy("seq").collect()] == [2, 1, 0, 3]
+
+
+def test_latency_of_a_run_weighs_batches_by_their_events(spark, tmp_path):
+    from dnsflow.streaming.detect import BATCH_COUNTS, Folders, run_latency
+
+    folders = Folders(str(tmp_path))
+    for batch, (events, ms) in enumerate([(90, 10), (8, 200), (2, 3000)]):
+        row = (batch, events, 0, events, 0, 0, 0, 0, 0, 0, 0, ms)
+        spark.createDataFrame([row], BATCH_COUNTS).write.parquet(f"{folders.counts}/batch={batch}")
+    assert tuple(run_latency(spark, folders).first()) == (100, 10.0, 200.0, 3000.0)

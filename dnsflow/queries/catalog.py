@@ -195,6 +195,29 @@ def dictionary_coverage(spark, sf_dir):
     return t.rounded(_word_features(spark, sf_dir).select("label", "dict_word_ratio"), "dict_word_ratio")
 
 
+def _totals(features):
+    """Labels and exact sums of each feature, in millionths, per label length: all labels, few rows."""
+    names = [c for c in features.columns if c != "label"]
+    millionths = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    return features.groupBy(F.char_length("label").alias("n_chars")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(millionths(c)).alias(c) for c in names])
+
+
+@query
+def lexical_totals(spark, sf_dir):
+    return _totals(lexical_basic(spark, sf_dir))
+
+
+@query
+def bigram_totals(spark, sf_dir):
+    return _totals(bigram_score(spark, sf_dir))
+
+
+@query
+def dictionary_totals(spark, sf_dir):
+    return _totals(dictionary_coverage(spark, sf_dir))
+
+
 @query
 def lexical_features(spark, sf_dir):
     """All eight features per host, through the registrable label."""
@@ -600,7 +623,8 @@ def plain_list_files(spark, sf_dir):
     t.tokens(spark, sf_dir).select(F.concat(F.lit(" "), "word", F.lit("\t")).alias("value")).write.text(f"{base}/words")
     domains = lists.read_plain_domains(spark, f"{base}/domains").select(F.lit("domain").alias("kind"), F.col("domain").alias("entry"))
     words = lists.read_words(spark, f"{base}/words").select(F.lit("word").alias("kind"), F.col("word").alias("entry"))
-    return domains.unionByName(words).groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("n"))
+    return domains.unionByName(words).groupBy("kind", F.char_length("entry").alias("n_chars")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("entry").alias("n_different"), F.min("entry").alias("first"), F.max("entry").alias("last"))
 
 
 @query

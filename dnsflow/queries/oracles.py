@@ -577,7 +577,8 @@ entries as (
   union all
   select 'word', word from (
     select distinct unnest(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{Nd}}]+)', 1)) as word from documents))
-select kind, entry, count(*) as n from entries group by kind, entry"""
+select kind, length(entry) as n_chars, count(*) as n, count(distinct entry) as n_different, min(entry) as first, max(entry) as last
+from entries group by kind, length(entry)"""
 _PATH = f"""0.48 - pow(2, -((case when RATE <= 6 then 1 + {_expected_path(6)} else 2 end
   + case when LEN <= 15.5 then 1 + {_expected_path(5)} else 1 + {_expected_path(3)} end) / 2) / {_expected_path(8)})"""
 ORACLES["fixed_ablation"] = f"""with {FIXED},
@@ -596,3 +597,14 @@ chosen as (
   select variant, n, base, case variant when 'query_rate' then by_rate when 'avg_query_len' then by_len else base end as fp_rate
   from variants, rates)
 select variant, n, round(fp_rate, 6) as fp_rate, round((fp_rate - base) * 100, 6) as delta_points from chosen"""
+
+
+def _totals(name: str, *features: str) -> str:
+    sums = ", ".join(f"sum(round({f} * 1000000)::bigint)::bigint as {f}" for f in features)
+    return f"select length(label) as n_chars, count(*) as n, {sums} from ({ORACLES[name]}) group by length(label)"
+
+
+ORACLES["lexical_totals"] = _totals(
+    "lexical_basic", "length", "entropy", "digit_ratio", "vowel_consonant_ratio", "max_consonant_run", "hex_char_ratio")
+ORACLES["bigram_totals"] = _totals("bigram_score", "ngram_score")
+ORACLES["dictionary_totals"] = _totals("dictionary_coverage", "dict_word_ratio")

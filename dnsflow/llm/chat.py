@@ -1,8 +1,9 @@
 """Chat formatting of reply trees, in DataFrame operations alone.
 
-A tree is a set of messages with a parent each. ``branches`` enumerates the root-to-leaf paths by
+A tree is a set of messages with a parent each. ``branches`` walks the root-to-leaf paths by
 iterative self-joins that double the distance in each round, so a chain of n messages takes
-log2(n) rounds, ranks the paths of a tree by their score and keeps the best. ``format_paths`` writes each
+log2(n) rounds. A round holds one row a message, with the sum of scores on the way; paths are ranked by these
+sums, and only the members of the paths that are kept are listed. ``format_paths`` writes each
 path as one conversation with a loss mask; ``read_turns`` reads conversations back.
 
 The template is ``<turn ROLE>`` newline ``TEXT</turn>`` newline. In texts ``\\`` is written ``\\b`` and
@@ -62,28 +63,29 @@ def branches(nodes: DataFrame, keep: int = 1) -> DataFrame:
     links = materialize(
         kept.select("_tree", "node", F.col("parent").alias("up")).where("up is not null").join(ids, ["_tree", "up"])
     )
-    # Members of each leaf's path, with their distance from the leaf.
-    paths = materialize(
-        kept.select("_tree", "node")
-        .join(links.select("_tree", F.col("up").alias("node")).distinct(), ["_tree", "node"], "left_anti")
-        .select("_tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    )
     largest = kept.groupBy("_tree").count().agg(F.max("count")).first()[0] or 0
-    hop, distance = links, 1
-    while distance <= largest and not hop.isEmpty():
+    # Of each message the ancestor at the distance, and the scores of those before it on the way up.
+    climbed = kept.select("_tree", "node", F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length")).join(
+        links, ["_tree", "node"], "left")
+    hops, distance = [links], 1
+    while distance <= largest and not hops[-1].isEmpty():
+        above = climbed.select("_tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("length").alias("further"))
+        climbed = materialize(climbed.join(above, ["_tree", "up"], "left").select(
+            "_tree", "node", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            (F.col("length") + F.coalesce("further", F.lit(0))).alias("length"), F.col("next").alias("up")))
+        hops, distance = [*hops, climbed.where("up is not null").select("_tree", "node", "up")], distance * 2
+    # Messages that still climb after as many steps as there are messages never reach a root.
+    leaves = climbed.where("up is null").join(
+        links.select("_tree", F.col("up").alias("node")).distinct(), ["_tree", "node"], "left_anti")
+    best = Window.partitionBy("_tree").orderBy((F.col("total") / F.col("length")).desc(), F.col("length").desc(), "node")
+    chosen = materialize(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select(
+        "_tree", F.col("node").alias("leaf"), "rank", "length"))
+    paths = chosen.select("_tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"), "rank", "length")
+    for round_, hop in enumerate(hops):
         further = paths.join(hop, ["_tree", "node"]).select(
-            "_tree", "leaf", F.col("up").alias("node"), (F.col("back") + distance).alias("back"))
+            "_tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << round_)).alias("back"), "rank", "length")
         paths = materialize(paths.unionByName(further))
-        twice = hop.select("_tree", F.col("node").alias("start"), F.col("up").alias("node")).join(hop, ["_tree", "node"])
-        hop, distance = materialize(twice.select("_tree", F.col("start").alias("node"), "up")), distance * 2
-    endless = hop.select("_tree", F.col("node").alias("leaf"))    # still climbing after as many steps as there are nodes
-    paths = paths.join(endless, ["_tree", "leaf"], "left_anti")
-    members = paths.join(kept.select("_tree", "node", "tree", "role", "text", "score"), ["_tree", "node"])
-    scores = paths.join(kept.select("_tree", "node", "score"), ["_tree", "node"]).groupBy("_tree", "leaf").agg(
-        F.avg(F.coalesce("score", F.lit(0.0))).alias("path_score"), F.count(F.lit(1)).alias("length"))
-    best = Window.partitionBy("_tree").orderBy(F.col("path_score").desc(), F.col("length").desc(), "leaf")
-    chosen = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-    return members.join(chosen, ["_tree", "leaf"]).select(
+    return paths.join(kept.select("_tree", "node", "tree", "role", "text"), ["_tree", "node"]).select(
         "tree", "leaf", "rank", (F.col("length") - 1 - F.col("back")).alias("place"), "role", "text")
 
 

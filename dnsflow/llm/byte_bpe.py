@@ -2,7 +2,8 @@
 
 ``encode`` and ``decode`` map Arrow batches, so nothing is shuffled and a lost task is simply run
 again. Texts above ``LONG`` characters are split first, and only where no match of the pattern can
-reach across, so the ids are those of the whole text; a piece that is one long run of white space
+reach across, so the ids are those of the whole text; that holds for the patterns in ``SPLIT_SAFE``, with any other
+texts are encoded whole. A piece that is one long run of white space
 is a single match and skips the regular expression, whose stack it would overflow.
 
 Nulls: a null text encodes like an empty one (no ids); null ids decode to no bytes. Extra columns
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 from dnsflow.llm.common import with_column_type
 
 LONG = 20_000           # characters; texts up to this length are encoded in one call
+SPLIT_SAFE = frozenset([public_tokenizers.PATTERN])     # patterns no match of which reaches across ``_BOUNDARY``
 ROWS = 512              # rows that a step holds at a time
 IDS = T.ArrayType(T.IntegerType(), False)
 
@@ -76,10 +79,10 @@ def _apart(part: str, size: int) -> Iterator[str]:
 def encode_text(encoder, text: str | None) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int32)
-    parts = [text] if len(text) <= LONG else pieces(text)
+    parts = [text] if len(text) <= LONG or encoder._pat_str not in SPLIT_SAFE else pieces(text)
     ids = [
         # What is one match is encoded without the pattern.
-        np.array(encoder._core_bpe.encode_single_piece(p.encode()), np.int32) if len(p) > LONG and _BLANK.fullmatch(p)
+        np.array(encoder._core_bpe.encode_single_piece(p.encode()), np.int32) if len(p) > LONG and encoder._pat_str in SPLIT_SAFE and _BLANK.fullmatch(p)
         else encoder.encode_to_numpy(p, disallowed_special=()).view(np.int32)
         for p in parts
     ]

@@ -51,3 +51,17 @@ def test_digest_step_and_empty_table(spark):
     digest = lambda s: hashlib.sha256(s).hexdigest()
     assert got == {1: (digest(b"3,20,5"),), 2: (digest(b""),), 3: (digest(b""),)}
     assert b.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).count() == 0
+
+
+def test_other_patterns_encode_whole_long_texts():
+    import numpy as np
+    import public_tokenizers
+
+    from dnsflow.llm import byte_bpe
+
+    pattern = r" ?\p{L}+| ?[^\s\p{L}]+[\r\n]*|\s+"      # punctuation takes the line ends after it
+    encoder = byte_bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern)
+    text = "ab.\n" * 12_000
+    assert np.array_equal(byte_bpe.encode_text(encoder, text), encoder.encode_ordinary(text))
+    safe = byte_bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert np.array_equal(byte_bpe.encode_text(safe, text), safe.encode_ordinary(text))

@@ -58,25 +58,3 @@ def test_chain_orders_by_turn_then_content(spark):
         [(1, 2, "b", "x", "extra"), (1, 1, "a", "y", None), (1, 2, "a", None, None)], "conv_id long, turn long, role string, text string, node string")
     got = sorted((r["node"], r["parent"], r["role"]) for r in chat.chain(rows, "conv_id", "turn").collect())
     assert got == [(1, None, "a"), (2, 1, "a"), (3, 2, "b")]
-
-
-def test_comb_lists_only_the_kept_path(spark, monkeypatch):
-    """A comb of 2n messages has n leaves and about n * n / 2 members of paths; no table may hold more than a few rows a message."""
-    from dnsflow.llm import chat
-
-    n, sizes, real = 150, [], chat.materialize
-
-    def counted(df):
-        out = real(df)
-        sizes.append(out.count())
-        return out
-
-    monkeypatch.setattr(chat, "materialize", counted)
-    rows = [(1, i, i - 1 if i else None, "user", f"t{i}", 0.0) for i in range(n)]
-    rows += [(1, n + i, i, "assistant", f"leaf{i}", 1.0 if i == 90 else 0.5) for i in range(n)]
-    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
-    for keep, leaves in ((1, [n]), (2, [n, n + 1])):
-        got = chat.branches(nodes, keep).orderBy("rank", "place").collect()
-        assert [r["text"] for r in got if r["rank"] == 1] == ["t0", "leaf0"]
-        assert [r["leaf"] for r in got if r["place"] == 0] == leaves
-    assert max(sizes) <= 2 * n

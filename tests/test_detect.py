@@ -101,6 +101,27 @@ def test_classifier_roundtrip_and_batch_equals_single(labelled, detector, tmp_pa
         assert one == pytest.approx(batch[domain], abs=1e-9)
 
 
+def test_fit_of_merged_rows_is_the_fit_of_all_rows(spark):
+    rng, rows = random.Random(3), []
+    for i in range(3000):
+        label = int(rng.random() < 0.2)
+        rows.append((label, float(rng.randrange(12) + 3 * label), float(rng.randrange(9)), 1.0))
+    df = spark.createDataFrame(rows, "label int, a double, b double, same double")
+    fit = {"features": ["a", "b", "same"], "trees": 6, "depth": 3}
+    merged, whole = (train_classifier(df, whole_rows=n, **fit) for n in (0, 10_000))
+    assert merged.stages[0].getInputCols() == fit["features"] and len(whole.stages) == 2
+    probs = [{(r["a"], r["b"]): r["prob"] for r in score_names(m, df).collect()} for m in (merged, whole)]
+    assert len(probs[0]) > 50 and probs[0] == pytest.approx(probs[1], abs=1e-9)
+
+
+def test_bins_of_a_feature_with_many_values_are_quantiles_of_each_class(spark):
+    df = spark.createDataFrame([(int(i % 10 == 0), float(i)) for i in range(5000)], "label int, x double")
+    edges = cl.bin_edges(df, ["x"], "label", 21)[0]
+    assert len(edges) <= 20 and edges == sorted(set(edges)) and max(b - a for a, b in zip([0, *edges], [*edges, 5000])) < 600
+    model = train_classifier(df.withColumn("label", (F.col("x") > 2500).cast("int")), ["x"], trees=3, depth=2, whole_rows=0)
+    assert score_names(model, df).where((F.col("prob") > 0.5) != (F.col("x") > 2500)).count() < 60
+
+
 def test_training_run(labelled):
     run = train_and_evaluate(labelled, trees=5, depth=3)
     metrics = {r["metric"]: r["value"] for r in run.metrics.collect()}

@@ -4,6 +4,7 @@
 * ``lookup_join``     broadcast behind a size check, salted shuffle join beyond it
 * ``hash_rank``       exact row numbers in hash order, without one task per group
 * ``running_totals``  exact running sums in value order, without one task per group
+* ``dealt``           tasks in proportion to the rows
 * ``order_statistics`` exact ranked values (percentiles, medians) on top of it
 """
 
@@ -27,6 +28,8 @@ BROADCAST_BYTES = 32 << 20  # of a lookup side's values as text; beyond it both
 HOT_ROWS = 1_000_000        # rows of one key from which its rows are salted
 SALTS = 128
 
+TASK_ROWS = 250_000         # rows a task where a table is dealt out by size
+
 T = TypeVar("T")
 
 _local_folder: str | None = None
@@ -244,6 +247,15 @@ def order_statistics_of_counts(
     )
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df``, of about ``rows`` rows, put together by ``keys`` in as many tasks as its size asks for, where the session's shuffles have fewer.
+
+    Windows and sums over ``keys`` and more columns that follow stay in these tasks.
+    """
+    tasks = 1 + rows // task_rows
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by name; columns a frame lacks become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dnsflow.operators.scale import at_once, lookup_join, materialize, union_all
+from dnsflow.operators.scale import TASK_ROWS, at_once, dealt, lookup_join, materialize, union_all
 
 BUCKET_US = 5_000_000
 N_BUCKETS = 12
@@ -61,13 +61,11 @@ def bucket_counters(events: DataFrame, extra_keys: tuple[str, ...] = ()) -> Data
     )
 
 
-def name_buckets(events: DataFrame) -> DataFrame:
-    """Per source, name and bucket: first arrival, and the bucket of the previous occurrence."""
+def name_buckets(events: DataFrame, rows: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Per source, name and bucket: first arrival, and the bucket of the previous occurrence. ``rows``: how many events there are, if known."""
     by_name = Window.partitionBy("src_ip", "domain").orderBy("bucket")
-    return (
-        events.groupBy("src_ip", "domain", "bucket").agg(F.min("seq").alias("seq"))
-        .withColumn("previous", F.lag("bucket").over(by_name))
-    )
+    first = events.groupBy("src_ip", "domain", "bucket").agg(F.min("seq").alias("seq"))
+    return dealt(first, rows, "src_ip", "domain", task_rows=task_rows).withColumn("previous", F.lag("bucket").over(by_name))
 
 
 @dataclass
@@ -117,15 +115,17 @@ def window_features(
     n_buckets: int = N_BUCKETS,
     block_rows: int = BLOCK_ROWS,
     past: Carried | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """The seven features after each event, counting only arrivals up to it (``seq`` order) and those in ``past``, which came before all.
 
     ``seq`` is the unique, dense arrival number. A bucket is cut into blocks of ``block_rows``
     consecutive arrivals; every block starts from carried totals, so a source or a single
     bucket that holds most of the table is still spread over many tasks. The event rows are
-    shuffled once; the two bucket tables, each used several times, are written once.
+    shuffled once; the two bucket tables, each used several times, are written once. Beyond ``task_rows``
+    events per shuffle partition the tasks grow in number, not in size.
     """
-    span = n_buckets - 1
+    span, n_events = n_buckets - 1, events.count()
     cell = ["src_ip", "bucket", "block"]
     e = with_bucket(events, bucket_us).withColumn("block", F.expr(f"seq div {block_rows}L"))
 
@@ -139,9 +139,9 @@ def window_features(
         old = lambda df: lookup_join(df, now, ["src_ip"], "left_semi", spread=["bucket"])
         counted = counted.unionByName(old(past.types).withColumn("block", F.lit(-1).cast("long")))
         seen = seen.unionByName(old(past.names).withColumn("seq", F.lit(-1).cast("long")))
-    types = counted.withColumn(
+    types = dealt(counted, n_events, "src_ip", "qtype", task_rows=task_rows).withColumn(
         "held", F.coalesce(F.sum("n").over(in_window), F.lit(0)) + F.coalesce(F.sum("n").over(in_bucket), F.lit(0)))
-    names = name_buckets(seen).drop("domain")
+    names = name_buckets(seen, n_events, task_rows).drop("domain")
     block = F.when(F.col("seq") < 0, F.lit(-1).cast("long")).otherwise(F.expr(f"seq div {block_rows}L"))
     types, names = at_once(lambda: materialize(types), lambda: materialize(names))
 
@@ -179,11 +179,12 @@ def window_features(
         .select("src_ip", F.when(sign > 0, enters).otherwise(leaves).alias("at"), sign.cast("long").alias("names"))
     )
     moving = ("n", "len", "len_rest", "nx", "txt", "a", "terms", "terms_rest", "names")
-    changes = union_all([type_moves, name_moves]).groupBy("src_ip", F.col("at").alias("bucket")).agg(
-        *[F.sum(c).alias(f"d_{c}") for c in moving])
+    # Every event may enter and leave as a name and as a record type: four moves.
+    moves = dealt(union_all([type_moves, name_moves]), 4 * n_events, "src_ip", "at", task_rows=task_rows)
+    changes = moves.groupBy("src_ip", F.col("at").alias("bucket")).agg(*[F.sum(c).alias(f"d_{c}") for c in moving])
 
     # Totals carried into each block: the window before the bucket, then earlier blocks of the bucket.
-    state = union_all([cells.withColumn("is_cell", F.lit(True)), fresh_cells, changes])
+    state = dealt(union_all([cells.withColumn("is_cell", F.lit(True)), fresh_cells, changes]), 4 * n_events, "src_ip", task_rows=task_rows)
     up_to_bucket = Window.partitionBy("src_ip").orderBy("bucket").rangeBetween(Window.unboundedPreceding, 0)
     earlier_blocks = Window.partitionBy("src_ip", "bucket").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
     in_cell = (*_COUNTERS, "terms", "names")
@@ -205,7 +206,9 @@ def window_features(
     )
     placed = union_all([
         rows, carry, type_carry, fresh.withColumn("names", F.lit(1).cast("long")),
-    ]).where(F.col("block") >= 0).repartition(*cell)
+    ]).where(F.col("block") >= 0)
+    by_size = dealt(placed, 4 * n_events, *cell, task_rows=task_rows)
+    placed = placed.repartition(*cell) if by_size is placed else by_size
     by_type = Window.partitionBy(*cell, "qtype").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     upto = Window.partitionBy(*cell).orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
     held = F.col("held")
@@ -222,27 +225,35 @@ def window_features(
     )
 
 
-def hopping_features(events: DataFrame, bucket_us: int = BUCKET_US, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """The seven features of every non-empty window, read when its last bucket (``slide``) closes."""
-    span = n_buckets - 1
+def hopping_features(
+    events: DataFrame, bucket_us: int = BUCKET_US, n_buckets: int = N_BUCKETS, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """The seven features of every non-empty window, read when its last bucket (``slide``) closes.
+
+    Counters per bucket and record type, and numbers of names that count from one slide to another, are put together by source before they are
+    repeated per slide, in tasks whose number grows with the events.
+    """
+    span, n_events = n_buckets - 1, events.count()
     e = with_bucket(events, bucket_us)
-    slides = F.explode(F.sequence(F.col("bucket"), F.col("bucket") + span)).alias("slide")
-    by_type = (
-        bucket_counters(e).select("src_ip", slides, "qtype", "n", "len", "nx")
-        .groupBy("src_ip", "slide", "qtype")
-        .agg(F.sum("n").alias("n"), F.sum("len").alias("len"), F.sum("nx").alias("nx"))
-        .select("src_ip", "slide", "n", "len", "nx", _is("TXT", F.col("n")).alias("txt"),
-                _is("A", F.col("n")).alias("a"), _c_log2_c(F.col("n")).alias("terms"))
-    )
+    by_type = bucket_counters(e).withColumn("first", F.col("bucket"))
     first = F.greatest(F.col("bucket"), F.coalesce(F.col("previous") + n_buckets, F.col("bucket")))
+    living = name_buckets(e, n_events, task_rows).where(first <= F.col("bucket") + span)
     names = (
-        name_buckets(e).where(first <= F.col("bucket") + span)
-        .select("src_ip", F.explode(F.sequence(first, F.col("bucket") + span)).alias("slide"))
-        .groupBy("src_ip", "slide").agg(F.count(F.lit(1)).alias("names"))
+        dealt(living, n_events, "src_ip", "bucket", task_rows=task_rows)
+        .groupBy("src_ip", "bucket", first.alias("first")).agg(F.count(F.lit(1)).alias("names"))
     )
+    both = union_all([by_type, names])
+    by_size = dealt(both, 4 * n_buckets * n_events, "src_ip", task_rows=4 * task_rows)
+    slides = F.explode(F.sequence(F.col("first"), F.col("bucket") + span)).alias("slide")
     s = {k: F.sum(k) for k in (*_COUNTERS, "names", "terms")}
-    return union_all([by_type, names]).groupBy("src_ip", "slide").agg(
-        *_features(s["n"], s["len"], s["nx"], s["txt"], s["a"], s["names"], s["terms"]))
+    return (
+        (both.repartition("src_ip") if by_size is both else by_size)
+        .select("src_ip", slides, "qtype", "n", "len", "nx", "names")
+        .groupBy("src_ip", "slide", "qtype")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "len", "nx", "names")])
+        .withColumns({"txt": _is("TXT", F.col("n")), "a": _is("A", F.col("n")), "terms": _c_log2_c(F.col("n"))})
+        .groupBy("src_ip", "slide").agg(*_features(s["n"], s["len"], s["nx"], s["txt"], s["a"], s["names"], s["terms"]))
+    )
 
 
 def features_at(

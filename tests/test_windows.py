@@ -45,6 +45,16 @@ def test_slide_features_equal_the_last_event_of_a_bucket(spark):
             assert got[key][name] == pytest.approx(value, abs=1e-7), (key, name)
 
 
+def test_tasks_grow_with_the_events(spark):
+    rows = random_rows(600, 9)
+    one, many = (window_features(frame(spark, rows), task_rows=n) for n in (1 << 20, 50))
+    assert many.rdd.getNumPartitions() == 1 + 4 * 600 // 50
+    assert sorted(many.collect()) == sorted(one.collect())
+    one, many = (hopping_features(frame(spark, rows), task_rows=n) for n in (1 << 20, 50))
+    assert many.rdd.getNumPartitions() == 1 + 4 * 12 * 600 // 200
+    assert sorted(many.collect()) == sorted(one.collect())
+
+
 def burst(n=60):
     return [event(i, i, "10.0.0.7", f"{i}-part.leak.test.org", "TXT", 55, True) for i in range(n)]
 

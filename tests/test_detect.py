@@ -8,7 +8,7 @@ from dnsflow.operators import ablation as ab
 from dnsflow.operators import classifier as cl
 from dnsflow.operators.alerts import severity
 from dnsflow.operators.classifier import held_out_families, load_model, save_model, score_names, train_classifier
-from dnsflow.operators.forest import Forest, train_forest
+from dnsflow.operators.forest import Forest, average_path, train_forest
 from dnsflow.operators.lexical import lexicon
 from dnsflow.operators.scale import materialize
 from dnsflow.operators.suffix import registrable_names
@@ -101,6 +101,21 @@ def test_classifier_roundtrip_and_batch_equals_single(labelled, detector, tmp_pa
         assert one == pytest.approx(batch[domain], abs=1e-9)
 
 
+def test_forest_scores_equal_a_walk_of_each_tree(normal_windows, forest):
+    nodes = {(r["tree"], r["node"]): r for r in forest.nodes.collect()}
+    odd = normal_windows.limit(700).withColumn("avg_query_len", F.when(F.col("id") % 50 == 0, float("nan")).otherwise(F.col("avg_query_len")))
+    rows = forest.score(odd).collect()
+    expected = float(average_path(forest.sample))
+    for row in rows[:5] + rows[-5:] + [r for r in rows if r["avg_query_len"] != r["avg_query_len"]][:3]:
+        paths = []
+        for tree in range(40):
+            at = nodes[tree, 0]
+            while at["left"] != at["node"]:
+                at = nodes[tree, at["left" if float(row[forest.features[at["feature"]]]) <= at["threshold"] else "right"]]
+            paths.append(at["depth"] + float(average_path(at["size"])))
+        assert row["decision"] == pytest.approx(-2 ** (-sum(paths) / 40 / expected) - forest.offset, abs=1e-9)
+
+
 def test_fit_of_merged_rows_is_the_fit_of_all_rows(spark):
     rng, rows = random.Random(3), []
     for i in range(3000):

@@ -20,6 +20,7 @@ a component without any id has null. Rows that share a doc_id and a text are one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -32,8 +33,7 @@ from dnsflow.llm.common import unused
 from dnsflow.llm.components import components
 from dnsflow.operators.scale import materialize, release
 
-SMALL = 1               # subsets of up to so many shingles are left out where credits allow
-KNOWN_WORDS = 400_000   # word hashes that a worker remembers
+SMALL = 1   # subsets of up to so many shingles are left out where credits allow
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -49,24 +49,13 @@ def _times(n: int) -> np.uint64:
     return np.uint64(n * int(_MIX[0]) % (1 << 64))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
-
-        digest = xxhash.xxh3_64_digest(word)
-        if len(self) < KNOWN_WORDS and len(word) <= 32:
-            self[word] = digest
-        return digest
-
-
-_hashes = _WordHashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words, A-Z lowered; a word ends at white space in ASCII."""
+    import xxhash
+
     if not text:
         return np.zeros(0, np.uint64)
-    return np.frombuffer(b"".join([_hashes[w] for w in text.encode().lower().split()]), "<u8")
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, text.encode().lower().split())), "<u8")
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -201,49 +190,55 @@ def _index(docs: DataFrame, rule: Rule) -> DataFrame:
     return _ids(docs).mapInArrow(run, "key long, text_key long, doc_id long, n_shingles long, node long, sigs array<long>")
 
 
-def _sets(docs: DataFrame, index: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """The sorted shingles of each of ``nodes``: node, shingles (bytes)."""
-    wanted = index.select("node", "key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+def _texts(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A text of each of ``nodes``: node, text. Its shingles are computed again where sets are compared: they would take three times its space."""
+    wanted = index.select("node", "key", "text_key").join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("key", "text_key")).alias("row")).select("node", "row.*")
+    return _ids(docs).join(wanted, ["key", "text_key"]).select("node", "text")
 
-    def run(batches):
-        for batch in batches:
-            found = [shingle_set(t.as_py(), rule.words) for t in batch.column("text")]
-            ids = pa.array([digest(s) for s in found], pa.int64())
-            sets = pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), ids, sets], ["node", "own", "shingles"])
 
-    texts = _ids(docs).join(wanted, "key").select("node", "text")
-    # Rows with the id but another text belong to other nodes.
-    return texts.mapInArrow(run, "node long, own long, shingles binary").where("node = own").drop("own")
+def _beside(pairs: DataFrame, texts: DataFrame, u: str, v: str) -> DataFrame:
+    """``pairs`` of nodes with their texts: u, v, a, b. The rows of a ``v`` mostly follow one another."""
+    left = texts.select(F.col("node").alias(u), F.col("text").alias("a"))
+    right = texts.select(F.col("node").alias(v), F.col("text").alias("b"))
+    return pairs.join(left, u).join(right, v).select(u, v, "a", "b")
+
+
+def _both_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Batches of ``_beside`` with the shingles of both texts of each row."""
+    last, other = None, None
+
+    def sets(batch):
+        nonlocal last, other
+        for node, a, b in zip(batch.column(1).to_pylist(), batch.column("a"), batch.column("b")):
+            if node != last or other is None:
+                last, other = node, shingle_set(b.as_py(), words)
+            yield shingle_set(a.as_py(), words), other
 
+    for batch in batches:
+        yield batch, sets(batch)
 
-def _linked(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+
+def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
     def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(rule.linked(common, len(a), len(b)))
+        for batch, sets in _both_sets(batches, rule.words):
+            keep = [rule.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)) for a, b in sets]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return _beside(pairs, texts, "u", "v").mapInArrow(run, "u long, v long").distinct()
 
 
-def _compared(tried: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _compared(tried: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """For each (node, centre): whether they are linked, the node's size, in how many shingles they differ, and the first of these.
 
     ``firsts`` has as many of the differing shingles as ``_remaining`` may need, hashed with the centre: those that only the node has, then
     those that only the centre has, each in ascending order.
     """
     def run(batches):
-        for batch in batches:
+        for batch, sets in _both_sets(batches, rule.words):
             rows, firsts = [], []
-            for centre, a, b in zip(batch.column("centre").to_pylist(), batch.column("a"), batch.column("b")):
-                a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
+            for centre, (a, b) in zip(batch.column("centre").to_pylist(), sets):
                 added, removed = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
                 common = len(a) - len(added)
                 linked = rule.linked(common, len(a), len(b))
@@ -258,9 +253,7 @@ def _compared(tried: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 [batch.column("node"), batch.column("centre"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()),
                  pa.array(apart, pa.int64()), lists], ["node", "centre", "linked", "size", "apart", "firsts"])
 
-    left = sets.select("node", F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("b"))
-    return tried.join(left, "node").join(right, "centre").select("node", "centre", "a", "b").mapInArrow(
+    return _beside(tried, texts, "node", "centre").mapInArrow(
         run, "node long, centre long, linked boolean, size long, apart long, firsts array<long>")
 
 
@@ -310,18 +303,21 @@ def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
         .groupBy("sig", "node").agg(F.max("k").alias("k")))
     index = materialize(signed.drop("sigs"))
     release(spark, signed)
-    sets = materialize(_sets(docs, index, shared.select("node").distinct(), rule))
+    texts = materialize(_texts(docs, index, shared.select("node").distinct()))
     # The set that shares most signatures, and those of the largest groups, is the likeliest to be near all others.
     weights = shared.groupBy("node").agg(F.sum("k").alias("weight"))
     centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(whole)["node"])
     tried = materialize(centres.select("node", "centre").where("node != centre").distinct())
     release(spark, shared)
-    compared = materialize(_compared(tried, sets, rule))
-    release(spark, tried)
+    compared = materialize(_compared(tried, texts, rule))
     links = compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    rest = materialize(_remaining(compared, materialize(components(links)), rule))
-    labels = materialize(components(links.unionByName(materialize(_linked(rest, sets, rule)))))
-    release(spark, sets, compared, rest)
+    near = materialize(components(links))
+    release(spark, tried)       # not before the components: only then does nothing hold the comparison's shuffles any more
+    rest = materialize(_remaining(compared, near, rule))
+    release(spark, compared)
+    joined = near.select(F.col("node").alias("u"), F.col("label").alias("v"))
+    labels = materialize(components(joined.unionByName(materialize(_linked(rest, texts, rule)))))
+    release(spark, texts, rest, near)
     return index.select("key", "text_key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "key", "text_key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
 

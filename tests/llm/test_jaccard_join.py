@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -132,3 +133,27 @@ def test_keep_one_passes_columns_with_clashing_names(spark):
     rows = [(1, "a b c d e f g", 1, 2, "x", 4), (2, "a b c d e f g", 5, 6, "y", 8), (3, "other words are here now", 0, 0, "z", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _once int, _copy int, _key string, _text int")
     assert sorted(map(tuple, j.keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_compared_sets_are_not_written(spark, monkeypatch):
+    """Near copies: what is written after the signatures stays below eight bytes a shingle, which the sets of their texts would take."""
+    draw = random.Random(83)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(0, 40, 2):
+        words = [draw.choice(vocabulary) for _ in range(3000)]
+        texts[i], texts[i + 1] = " ".join(words), " ".join([*words[:-2], "other"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    written, materialize = [], j.materialize
+
+    def kept(df):
+        out = materialize(df)
+        paths = ["/" + f.removeprefix("file:").lstrip("/") for f in out.inputFiles()]
+        written.append(("sigs" in df.columns, sum(os.path.getsize(p) for p in paths)))
+        return out
+
+    monkeypatch.setattr(j, "materialize", kept)
+    monkeypatch.setattr(j, "release", lambda *_: None)
+    rows = j.join(docs, j.Rule(5, 80)).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in rows)
+    assert sum(size for signed, size in written if not signed) < 8 * sum(r["n_shingles"] for r in rows)

@@ -25,7 +25,7 @@ Rows that share the doc_id and not the text are documents of their own; their ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +50,21 @@ def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the smallest hash of each run of ``window`` hashes, ascending."""
     if len(hashes) <= window:
         return np.array([int(hashes.argmin())]) if len(hashes) else np.zeros(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(runs.argmin(axis=1) + np.arange(len(runs)))
+    # The smallest of ever wider runs and its place, the first of equal ones.
+    least, at, width = hashes, np.arange(len(hashes)), 1
+    while width < window:
+        step = min(width, window - width)
+        at = np.where(least[step:] < least[:-step], at[step:], at[:-step])
+        least, width = np.minimum(least[step:], least[:-step]), width + step
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
     """Hashes that also tell the first occurrence of a value from the second, and so on."""
+    ordered = np.sort(hashes)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return hashes
     order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
     starts = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
     at = np.arange(len(ordered))
     count = at - np.maximum.accumulate(np.where(starts, at, 0))
@@ -97,6 +104,28 @@ def _told(places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([told, hashes[later]]).view(np.int64), np.concatenate([places << 2 | later * LATER, places[later] << 2 | AGAIN])
 
 
+def _runs_of_words(keys: list[int], texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """The hashes of the ``SEED``-word runs of each text that has one. Short texts are hashed together: per text, numpy's calls cost more than the work."""
+    held, size = [], 0
+
+    def out():
+        if held:
+            hashes, start = shingle_hashes(np.concatenate([w for _, w in held]), SEED), 0
+            for key, words in held:
+                yield key, hashes[start:start + len(words) - SEED + 1]
+                start += len(words)
+
+    for key, text in zip(keys, texts):
+        words = word_hashes(text.as_py())
+        if len(words) >= SEED:
+            held.append((key, words))
+            size += len(words)
+        if size >= 16_384:
+            yield from out()
+            held, size = [], 0
+    yield from out()
+
+
 def seeds(texts: DataFrame) -> DataFrame:
     """key, seed, place of every minimizer of every text. A place holds the word, the number of the minimizer in its text and the kind."""
     def run(batches):
@@ -104,11 +133,7 @@ def seeds(texts: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 keys, found, places = [], [], []
-                for key, text in zip(part.column("key").to_pylist(), part.column("text")):
-                    words = word_hashes(text.as_py())
-                    if len(words) < SEED:
-                        continue
-                    hashes = shingle_hashes(words, SEED)
+                for key, hashes in _runs_of_words(part.column("key").to_pylist(), part.column("text")):
                     at = minimizers(hashes)
                     own = _told(at << 30 | np.arange(len(at)), hashes[at])
                     found.append(own[0])
@@ -223,6 +248,13 @@ def chain(fragments: list[tuple[int, int, int]]) -> list[list[tuple[int, int, in
     """
     order = sorted(fragments)
     n = len(order)
+    if n == 2:      # as below, without the tree
+        (x, y, words), (x1, y1, words1) = order
+        end, end_y = x + words - SEED + 1, y + words - SEED + 1
+        gain = words + GAP * (end + end_y) - GAP * (x1 + y1) if end <= x1 and end_y <= y1 else 0.0
+        if gain > 0 and words1 + gain > words:
+            return [order]
+        return [[order[0]], [order[1]]] if words >= words1 + max(gain, 0.0) else [[order[1]], [order[0]]]
     # Two fragments on different diagonals may overlap by less than a seed.
     ends = [(x + w - SEED + 1, y + w - SEED + 1) for x, y, w in order]
     ranks = {y: r for r, y in enumerate(sorted({e[1] for e in ends} | {f[1] for f in order}))}
@@ -309,32 +341,38 @@ def chains(links: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, _CHAIN)
 
 
-def _gap_matches(a: np.ndarray, b: np.ndarray) -> int:
+def _gap_matches(a: Sequence[int], b: Sequence[int]) -> int:
     """Length of the longest common subsequence."""
     if not len(a) or not len(b) or max(len(a), len(b)) > LARGEST_GAP:
         return 0
-    best = np.zeros(len(b) + 1, np.int64)
+    places: dict[int, int] = {}
+    for i, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << i
+    # A bit is cleared where the length grows from one prefix of b to the next (Hyyrö, 2004).
+    every = open_ = (1 << len(b)) - 1
     for word in a:
-        step = np.concatenate([[0], np.maximum(best[1:], best[:-1] + (b == word))])
-        best = np.maximum.accumulate(step)
-    return int(best[-1])
-
-
-def _grown(same: np.ndarray) -> int:
-    """How far an end may grow over ``same`` (does each word agree), ending where agreement is best."""
-    if not len(same):
-        return 0
-    gain = np.cumsum(np.where(same, 1, -2))
-    best = int(gain.argmax())
-    return best + 1 if gain[best] > 0 else 0
+        same = open_ & places.get(word, 0)
+        open_ = (open_ + same | open_ - same) & every
+    return len(b) - open_.bit_count()
+
+
+def _grown(a: list[int], b: list[int]) -> tuple[int, int]:
+    """Over how many words of ``a`` and ``b``, which are equally long, an end grows, ending where agreement is best; and how many of them agree."""
+    left, gain, best, more = len(a), 0, 0, 0
+    for i, (word, other) in enumerate(zip(a, b), 1):
+        gain += 1 if word == other else -2
+        if gain > best:
+            best, more = gain, i
+        elif gain + left - i <= best:
+            break
+    return more, (best + 2 * more) // 3
 
 
-def _grow_end(p: list[int], a: np.ndarray, b: np.ndarray, room: int) -> None:
+def _grow_end(p: list[int], a: list[int], b: list[int], room: int) -> None:
     """Let passage ``p`` grow forward by up to ``room`` words."""
     room = max(0, min(room, len(a) - p[1], len(b) - p[3]))
-    same = a[p[1]:p[1] + room] == b[p[3]:p[3] + room]
-    more = _grown(same)
-    p[1], p[3], p[4] = p[1] + more, p[3] + more, p[4] + int(same[:more].sum())
+    more, agree = _grown(a[p[1]:p[1] + room], b[p[3]:p[3] + room])
+    p[1], p[3], p[4] = p[1] + more, p[3] + more, p[4] + agree
 
 
 def align(a: np.ndarray, b: np.ndarray, xs, ys, words) -> list[tuple[int, int, int, int, int]]:
@@ -342,6 +380,7 @@ def align(a: np.ndarray, b: np.ndarray, xs, ys, words) -> list[tuple[int, int, i
 
     Passages may overlap: where fragments do not fit together, each grows into the other's place as far as words agree.
     """
+    a, b = a.tolist(), b.tolist()       # most parts are too short for numpy
     passages: list[list[int]] = []
     for x, y, n in zip(xs, ys, words):
         x1, y1 = x + n, y + n
@@ -357,55 +396,82 @@ def align(a: np.ndarray, b: np.ndarray, xs, ys, words) -> list[tuple[int, int, i
                     continue
             _grow_end(p, a, b, n + MARGIN)
         back = min(x, y, MARGIN + (x - passages[-1][0] if passages else 0))
-        less = _grown((a[x - back:x] == b[y - back:y])[::-1])
-        passages.append([x - less, x1, y - less, y1, int((a[x - less:x] == b[y - less:y]).sum()) + n])
+        less, agree = _grown(a[x - back:x][::-1], b[y - back:y][::-1])
+        passages.append([x - less, x1, y - less, y1, agree + n])
     if passages:
         _grow_end(passages[-1], a, b, MARGIN)
     return [tuple(p) for p in passages]
 
 
+def _flat(column: pa.Array, kind: type, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of binary cells of ``width`` bytes a value, where each cell begins, and how many it has; a null cell is empty."""
+    column = pa.concat_arrays([column.fill_null(b""), pa.array([], column.type)])
+    edges = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) // width
+    data = column.buffers()[2]
+    values = np.frombuffer(data, kind, int(edges[-1])) if data is not None and edges[-1] else np.zeros(0, kind)
+    return values, edges[:-1].astype(np.int64), np.diff(edges).astype(np.int64)
+
+
+def _aligned(rows: pa.Table) -> list[np.ndarray]:
+    """key, other and the passages of chains, whose two rows (side 0, then 1) share an id; a row without its other one gives nothing."""
+    ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+    at = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), -1))
+    seconds = np.flatnonzero((side == 1) & (at >= 0))
+    firsts = at[seconds]
+    good = ids[firsts] == ids[seconds]
+    firsts, seconds = firsts[good], seconds[good]
+    if not len(firsts):
+        return [np.zeros(0, np.int64)] * 7
+    own, other = rows.take(pa.array(firsts)).combine_chunks(), rows.take(pa.array(seconds)).combine_chunks()
+    cell = lambda table, name: table.column(name).chunk(0)
+    (a, a_start, a_words), (b, b_start, b_words) = _flat(cell(own, "part"), np.uint32, 4), _flat(cell(other, "part"), np.uint32, 4)
+    low, other_low = cell(own, "low").to_numpy().astype(np.int64), cell(other, "low").to_numpy().astype(np.int64)
+    lists = [cell(own, "xs"), cell(own, "ys"), cell(own, "words")]
+    edges, (xs, ys, words) = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]), [
+        v.flatten().to_pylist() for v in lists]
+    out = []
+    for i, (first, last, la, lb) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), low.tolist(), other_low.tolist())):
+        parts = a[a_start[i]:a_start[i] + a_words[i]], b[b_start[i]:b_start[i] + b_words[i]]
+        fragments = [x - la for x in xs[first:last]], [y - lb for y in ys[first:last]], words[first:last]
+        out += [(i, *p) for p in align(*parts, *fragments)]
+    of, start, stop, other_start, other_stop, agree = np.array(out, np.int64).reshape(-1, 6).T
+    keys = [cell(own, c).to_numpy()[of] for c in ("key", "other")]
+    return [*keys, start + low[of], stop + low[of], other_start + other_low[of], other_stop + other_low[of], agree]
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """key and the words of its text, as 4-byte hashes in a row."""
+    def run(batches):
+        for batch in batches:
+            words = [word_hashes(t.as_py()).astype(np.uint32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(words, pa.binary())], ["key", "text_words"])
+
+    return texts.mapInArrow(run, "key long, text_words binary")
+
+
 def passages(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Aligned passages of chains: key, other, start, stop, other_start, other_stop, agree."""
-    named = found.withColumn("id", F.xxhash64("key", "other", F.get("xs", F.lit(0)), F.get("ys", F.lit(0))))
-    span = lambda at: F.struct(
+    span = lambda at: [
         F.greatest(F.get(at, F.lit(0)) - MARGIN, F.lit(0)).alias("low"),
-        (F.element_at(at, -1) + F.element_at("words", -1) + MARGIN).alias("high"))
-    asked = named.select("id", "key", F.lit(0).alias("side"), span("xs").alias("s")).unionByName(
-        named.select("id", F.col("other").alias("key"), F.lit(1).alias("side"), span("ys").alias("s"))).select(
-        "id", "key", "side", "s.low", "s.high")
-
-    def cut(batches):
-        for batch in batches:
-            last, words, parts = None, None, []
-            for key, text, low, high in zip(batch.column("key").to_pylist(), batch.column("text"),
-                                            batch.column("low").to_pylist(), batch.column("high").to_pylist()):
-                if key != last:
-                    last, words = key, word_hashes(text.as_py()).astype(np.uint32)
-                parts.append(words[low:high].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "side", "low")), pa.array(parts, pa.binary())], ["id", "side", "low", "part"])
-
-    parts = asked.join(texts, "key").select("id", "key", "side", "low", "high", "text").mapInArrow(
-        cut, "id long, side int, low int, part binary")
-    rows = parts.join(named, "id").withColumn("xs", F.when(F.col("side") == 0, F.col("xs"))).repartition("id") \
-        .sortWithinPartitions("id", "side")
+        (F.element_at(at, -1) + F.element_at("words", -1) + MARGIN).alias("high")]
+    named = found.withColumn("id", F.xxhash64("key", "other", F.get("xs", F.lit(0)), F.get("ys", F.lit(0))))
+    # The first row of a chain carries it; the second one only brings the words of the other document.
+    asked = named.select("id", F.col("key").alias("of"), F.lit(0).alias("side"), *span("xs"), "key", "other", "xs", "ys", "words").unionByName(
+        named.select("id", F.col("other").alias("of"), F.lit(1).alias("side"), *span("ys")), allowMissingColumns=True)
+    part = F.substring("text_words", F.col("low") * 4 + 1, (F.col("high") - F.col("low")) * 4).alias("part")
+    carried = ["id", "side", "low", "key", "other", "xs", "ys", "words"]
+    rows = asked.join(_words(texts).withColumnRenamed("key", "of"), "of").select(*carried, part).repartition("id").sortWithinPartitions("id", "side")
     names = ["key", "other", "start", "stop", "other_start", "other_stop", "agree"]
 
     def run(batches):
         held = None
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "side", "low", "part", "key", "other", "xs", "ys", "words"))):
-                if row[1] == 0:
-                    held = row
-                elif held is not None and held[0] == row[0]:
-                    a, b = np.frombuffer(held[3], np.uint32), np.frombuffer(row[3], np.uint32)
-                    xs, ys = [x - held[2] for x in held[6]], [y - row[2] for y in row[7]]
-                    for p in align(a, b, xs, ys, row[8]):
-                        out.append((row[4], row[5], p[0] + held[2], p[1] + held[2], p[2] + row[2], p[3] + row[2], p[4]))
-                    held = None
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+            now = pa.Table.from_batches([batch] if held is None else [held, batch])
+            starts = np.flatnonzero(now.column("side").to_numpy() == 0)
+            if len(starts):         # the last chain's other row may come with the next batch
+                last = now.slice(int(starts[-1]), 1).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _aligned(now)], names)
+            held = last if len(starts) else None
 
     aligned = rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
     return aligned.where((F.col("stop") - F.col("start") >= LEAST_PIECE) & (

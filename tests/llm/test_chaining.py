@@ -199,3 +199,36 @@ def test_exact_repeats_against_brute_force(spark):
     pooled = {w for p in pool for w in p}
     # Nothing far outside of the planted passages is touched.
     assert sum(texts[i][j] not in pooled for i, j in found) <= 0.02 * len(found)
+
+
+def test_texts_go_to_python_once_however_many_chains_ask(spark, capsys):
+    texts = spark.createDataFrame([], "key long, text string")
+    found = spark.createDataFrame([], "key long, other long, xs array<int>, ys array<int>, words array<int>")
+    c.passages(texts, found).explain()
+    steps = [line.split("MapInArrow")[1].split(")#")[0] for line in capsys.readouterr().out.splitlines() if "MapInArrow" in line]
+    assert [step.count("#") for step in steps if "text#" in step] == [2]        # key and text, and no parts that chains ask for
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_quick_forms_equal_plain_ones(seed):
+    draw = np.random.default_rng(seed)
+    for _ in range(200):
+        hashes = draw.integers(0, draw.choice([3, 30, 2**62]), draw.integers(11, 60)).astype(np.uint64)
+        runs = [hashes[i:i + c.WINDOW].argmin() + i for i in range(len(hashes) - c.WINDOW + 1)]
+        assert c.minimizers(hashes).tolist() == sorted(set(map(int, runs)))
+        a, b = (draw.integers(0, 5, draw.integers(1, 25)).tolist() for _ in range(2))
+        best = [[0] * (len(b) + 1)]
+        for word in a:
+            row = [0]
+            for j, other in enumerate(b):
+                row.append(best[-1][j] + 1 if word == other else max(row[j], best[-1][j + 1]))
+            best.append(row)
+        assert c._gap_matches(a, b) == best[-1][-1]
+        size = draw.integers(0, 30)
+        x, y = (draw.integers(0, 2, size).tolist() for _ in range(2))
+        gains = [sum(1 if p == q else -2 for p, q in zip(x[:i], y[:i])) for i in range(size + 1)]
+        more = gains.index(max(gains))
+        assert c._grown(x, y) == (more, sum(p == q for p, q in zip(x[:more], y[:more])))
+        pair = list({(int(draw.integers(40)), int(draw.integers(40)), int(draw.integers(5, 30))) for _ in range(2)})
+        if len(pair) == 2:
+            assert max(map(chain_score, c.chain(pair))) == pytest.approx(best_chain(pair))

@@ -14,13 +14,16 @@ signatures once. A signature's sets are verified against one of them, the one th
 verifications and not n^2. Where that leaves sets of one signature in different components, a link between them has to show in what tells both from
 the centre: ``_remaining`` joins those differences, again by a pigeonhole. No candidate is dropped.
 
+Signatures, compared texts and differences are many times what is kept of them. Beyond ``PASS_ROWS`` signatures they are shuffled in passes, up to
+``PARTS`` over the signatures and half as many over the rest, dealt by a hash of what they are joined on; a pass's shuffles go before the next one.
+
 Nulls: a null text has no shingles; such texts and empty ones are linked with nothing. A null doc_id takes part, but never names a component;
 a component without any id has null. Rows that share a doc_id and a text are one; with different texts they are documents of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 
 from dnsflow.llm.common import unused
 from dnsflow.llm.components import components
-from dnsflow.operators.scale import materialize, release
+from dnsflow.operators.scale import materialize, release, union_all
 
 SMALL = 1   # subsets of up to so many shingles are left out where credits allow
+PARTS = 8   # columns that a set's signatures are dealt to, and the most passes
+PASS_ROWS = 20_000_000  # signatures a pass, while there are fewer than PARTS
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -168,8 +173,17 @@ def _ids(docs: DataFrame) -> DataFrame:
         "key", F.coalesce("doc_id", "text_key"))
 
 
+def _dealt(flat: np.ndarray, sizes: list[int]) -> pa.StructArray:
+    """Lists of these sizes, each dealt to ``PARTS`` by the last bits of its values."""
+    n, part = len(sizes), flat & (PARTS - 1)
+    counts = np.bincount(part * n + np.repeat(np.arange(n), sizes), minlength=PARTS * n).reshape(PARTS, n)
+    values = np.split(flat[np.argsort(part.astype(np.uint8), kind="stable")], np.cumsum(counts.sum(axis=1))[:-1])
+    lists = [pa.ListArray.from_arrays(np.cumsum([0, *c], dtype=np.int32), pa.array(v, pa.int64())) for v, c in zip(values, counts)]
+    return pa.StructArray.from_arrays(lists, [f"p{i}" for i in range(PARTS)])
+
+
 def _index(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, text_key, doc_id, n_shingles, node and, for the first row of a set in a task, its signatures."""
+    """key, text_key, doc_id, n_shingles, node and, for the first row of a set in a task, its signatures (``n_sigs`` of them)."""
     def run(batches):
         seen = set()
         for batch in batches:
@@ -182,26 +196,65 @@ def _index(docs: DataFrame, rule: Rule) -> DataFrame:
                 found.append(signatures(shingles, rule) if node not in seen else np.zeros(0, np.int64))
                 seen.add(node)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(flat, pa.int64()))
+            counts = [*map(len, found)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "text_key", "doc_id")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists],
-                ["key", "text_key", "doc_id", "n_shingles", "node", "sigs"])
+                [*(batch.column(c) for c in ("key", "text_key", "doc_id")), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.array(counts, pa.int64()), _dealt(flat, counts)],
+                ["key", "text_key", "doc_id", "n_shingles", "node", "n_sigs", "sigs"])
+
+    parts = ", ".join(f"p{i}: array<long>" for i in range(PARTS))
+    return _ids(docs).mapInArrow(
+        run, f"key long, text_key long, doc_id long, n_shingles long, node long, n_sigs long, sigs struct<{parts}>")
+
+
+def _passes(rows: int) -> int:
+    """1, 2, 4 and so on up to ``PARTS``."""
+    return next((n for n in (1 << i for i in range(PARTS.bit_length())) if n == PARTS or rows <= n * PASS_ROWS))
 
-    return _ids(docs).mapInArrow(run, "key long, text_key long, doc_id long, n_shingles long, node long, sigs array<long>")
+
+def _shared(signed: DataFrame, passes: int) -> DataFrame:
+    """sig, node, k: the signatures that different sets have, and in how many rows. A pass reads and shuffles its part of the signatures."""
+    whole, found = Window.partitionBy("sig"), []
+    for n in range(passes):
+        own = F.concat(*[F.col(f"sigs.p{i}") for i in range(n, PARTS, passes)])
+        found.append(materialize(
+            signed.select("node", F.explode(own).alias("sig"))
+            .withColumn("least", F.min("node").over(whole)).withColumn("most", F.max("node").over(whole))
+            .withColumn("k", F.count(F.lit(1)).over(whole)).where("least != most")
+            .groupBy("sig", "node").agg(F.max("k").alias("k"))))
+        release(signed.sparkSession)
+    return union_all(found)
 
 
 def _texts(docs: DataFrame, index: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A text of each of ``nodes``: node, text. Its shingles are computed again where sets are compared: they would take three times its space."""
+    """One text of each of ``nodes``: node, text. Its shingles are computed again where sets are compared: they would take three times its space."""
     wanted = index.select("node", "key", "text_key").join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min(F.struct("key", "text_key")).alias("row")).select("node", "row.*")
-    return _ids(docs).join(wanted, ["key", "text_key"]).select("node", "text")
+    # Rows may come more than once; so would every pair of their sets.
+    return _ids(docs).join(wanted, ["key", "text_key"]).groupBy("key", "text_key").agg(
+        F.first("node").alias("node"), F.min("text").alias("text")).select("node", "text")
+
+
+def _in_pass(df: DataFrame, column: str, n: int, passes: int) -> DataFrame:
+    return df if passes == 1 else df.where(F.pmod(F.xxhash64(column), F.lit(passes)) == n)
 
 
-def _beside(pairs: DataFrame, texts: DataFrame, u: str, v: str) -> DataFrame:
-    """``pairs`` of nodes with their texts: u, v, a, b. The rows of a ``v`` mostly follow one another."""
-    left = texts.select(F.col("node").alias(u), F.col("text").alias("a"))
-    right = texts.select(F.col("node").alias(v), F.col("text").alias("b"))
-    return pairs.join(left, u).join(right, v).select(u, v, "a", "b")
+def _beside(
+    pairs: DataFrame, texts: DataFrame, u: str, v: str, passes: int, compare: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """What ``compare`` makes of ``pairs`` of nodes with their texts: u, v, a, b. The rows of a ``v`` mostly follow one another.
+
+    Written in passes over ``u``: each shuffles its share of the texts ``a`` and those texts that are ``b`` of any pair.
+    """
+    others = texts if passes == 1 else materialize(texts.join(pairs.select(F.col(v).alias("node")).distinct(), "node", "left_semi"))
+    right, found = others.select(F.col("node").alias(v), F.col("text").alias("b")), []
+    for n in range(passes):
+        left = _in_pass(texts, "node", n, passes).select(F.col("node").alias(u), F.col("text").alias("a"))
+        found.append(materialize(compare(_in_pass(pairs, u, n, passes).join(left, u).join(right, v).select(u, v, "a", "b"))))
+        release(texts.sparkSession)
+    if passes > 1:
+        release(texts.sparkSession, others)
+    return union_all(found)
 
 
 def _both_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]]]:
@@ -219,17 +272,17 @@ def _both_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[
         yield batch, sets(batch)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, rule: Rule, passes: int = 1) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
     def run(batches):
         for batch, sets in _both_sets(batches, rule.words):
             keep = [rule.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)) for a, b in sets]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return _beside(pairs, texts, "u", "v").mapInArrow(run, "u long, v long").distinct()
+    return _beside(pairs, texts, "u", "v", passes, lambda both: both.mapInArrow(run, "u long, v long").distinct())
 
 
-def _compared(tried: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _compared(tried: DataFrame, texts: DataFrame, rule: Rule, passes: int = 1) -> DataFrame:
     """For each (node, centre): whether they are linked, the node's size, in how many shingles they differ, and the first of these.
 
     ``firsts`` has as many of the differing shingles as ``_remaining`` may need, hashed with the centre: those that only the node has, then
@@ -253,11 +306,11 @@ def _compared(tried: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 [batch.column("node"), batch.column("centre"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()),
                  pa.array(apart, pa.int64()), lists], ["node", "centre", "linked", "size", "apart", "firsts"])
 
-    return _beside(tried, texts, "node", "centre").mapInArrow(
-        run, "node long, centre long, linked boolean, size long, apart long, firsts array<long>")
+    return _beside(tried, texts, "node", "centre", passes, lambda both: both.mapInArrow(
+        run, "node long, centre long, linked boolean, size long, apart long, firsts array<long>"))
 
 
-def _remaining(compared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def _remaining(compared: DataFrame, labels: DataFrame, rule: Rule, passes: int = 1) -> DataFrame:
     """Pairs (u, v) around one centre that may be linked though not yet in one component.
 
     Relative to their centre, u and v differ in |U| + |V| - 2 |U and V| shingles, where U and V are what tells each from the centre. So a link
@@ -265,26 +318,35 @@ def _remaining(compared: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     |U| - that + 1 and |V| - that + 1. The order puts shingles that the centre lacks first: edits of different copies seldom share any,
     so few pairs are left of n^2. |U| and |V| differ by no more than allowed, which bounds how many first ones are needed.
     """
+    spark = compared.sparkSession
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    members = (
-        compared.join(of("node"), "node", "left").join(of("centre"), "centre", "left")
+    members = materialize(
+        compared.select("node", "centre").join(of("node"), "node", "left").join(of("centre"), "centre", "left")
         .withColumn("label", F.coalesce("node_label", "node"))
-        .withColumn("outside", F.col("label") != F.coalesce("centre_label", "centre")))
-    mixed = materialize(members.where("outside").select("centre").distinct())
-    rows = members.join(mixed, "centre", "left_semi").select(
-        "node", "label", "outside", "size", "apart", F.posexplode("firsts").alias("place", "key"))
+        .select("node", "centre", "label", (F.col("label") != F.coalesce("centre_label", "centre")).alias("outside")))
+    mixed = members.where("outside").select("centre").distinct()
+    placed = materialize(members.join(mixed, "centre", "left_semi"))
     same = Window.partitionBy("key")
-    shared = materialize(
-        rows.withColumn("least", F.min("label").over(same)).withColumn("most", F.max("label").over(same))
-        .withColumn("any", F.max("outside").over(same)).where("least != most and any").drop("least", "most", "any"))
     side = lambda rows, n: rows.select("key", *[F.col(c).alias(f"{n}_{c}") for c in ("node", "label", "size", "apart", "place")])
     allowed = F.expr(f"({100 - rule.percent} * (u_size + v_size)) div {100 + rule.percent}")
     possible = (
         (F.col("u_label") != F.col("v_label")) & (100 * F.least("u_size", "v_size") >= rule.percent * F.greatest("u_size", "v_size"))
         & (2 * F.col("u_place") <= F.col("u_apart") - F.col("v_apart") + allowed)
         & (2 * F.col("v_place") <= F.col("v_apart") - F.col("u_apart") + allowed))
-    found = side(shared.where("outside"), "u").join(side(shared, "v"), "key").where(possible)
-    return _pairs("u_node", "v_node", found).join(_pairs("node", "centre", compared), ["u", "v"], "left_anti")
+    found = []
+    for n in range(passes):     # over centres, with which the shingles are hashed
+        rows = _in_pass(placed, "centre", n, passes).join(
+            _in_pass(compared.select("node", "centre", "size", "apart", "firsts"), "centre", n, passes), ["node", "centre"]).select(
+            "node", "label", "outside", "size", "apart", F.posexplode("firsts").alias("place", "key"))
+        shared = materialize(
+            rows.withColumn("least", F.min("label").over(same)).withColumn("most", F.max("label").over(same))
+            .withColumn("any", F.max("outside").over(same)).where("least != most and any").drop("least", "most", "any"))
+        release(spark)
+        found.append(materialize(_pairs("u_node", "v_node", side(shared.where("outside"), "u").join(side(shared, "v"), "key").where(possible))))
+        release(spark, shared)
+    rest = materialize(union_all(found).distinct().join(_pairs("node", "centre", compared), ["u", "v"], "left_anti"))
+    release(spark, members, placed, *found)
+    return rest
 
 
 def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -295,28 +357,26 @@ def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
     """key, text_key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
     spark = docs.sparkSession
     signed = materialize(_index(docs, rule))
-    whole = Window.partitionBy("sig")
-    shared = materialize(
-        signed.select("node", F.explode("sigs").alias("sig"))
-        .withColumn("least", F.min("node").over(whole)).withColumn("most", F.max("node").over(whole))
-        .withColumn("k", F.count(F.lit(1)).over(whole)).where("least != most")
-        .groupBy("sig", "node").agg(F.max("k").alias("k")))
-    index = materialize(signed.drop("sigs"))
+    passes = _passes(signed.agg(F.sum("n_sigs")).first()[0] or 0)
+    shared = _shared(signed, passes)
+    passes = max(1, passes // 2)
+    index = materialize(signed.drop("sigs", "n_sigs"))
     release(spark, signed)
     texts = materialize(_texts(docs, index, shared.select("node").distinct()))
+    release(spark)
     # The set that shares most signatures, and those of the largest groups, is the likeliest to be near all others.
     weights = shared.groupBy("node").agg(F.sum("k").alias("weight"))
-    centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(whole)["node"])
+    centres = shared.join(weights, "node").withColumn("centre", F.max(F.struct("weight", "node")).over(Window.partitionBy("sig"))["node"])
     tried = materialize(centres.select("node", "centre").where("node != centre").distinct())
     release(spark, shared)
-    compared = materialize(_compared(tried, texts, rule))
+    compared = _compared(tried, texts, rule, passes)
     links = compared.where("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
     near = materialize(components(links))
     release(spark, tried)       # not before the components: only then does nothing hold the comparison's shuffles any more
-    rest = materialize(_remaining(compared, near, rule))
+    rest = _remaining(compared, near, rule, passes)
     release(spark, compared)
     joined = near.select(F.col("node").alias("u"), F.col("label").alias("v"))
-    labels = materialize(components(joined.unionByName(materialize(_linked(rest, texts, rule)))))
+    labels = materialize(components(joined.unionByName(_linked(rest, texts, rule, passes))))
     release(spark, texts, rest, near)
     return index.select("key", "text_key", "doc_id", "n_shingles", "node").join(labels, "node", "left").select(
         "key", "text_key", "doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))

@@ -157,3 +157,30 @@ def test_compared_sets_are_not_written(spark, monkeypatch):
     rows = j.join(docs, j.Rule(5, 80)).collect()
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in rows)
     assert sum(size for signed, size in written if not signed) < 8 * sum(r["n_shingles"] for r in rows)
+
+
+def test_many_signatures_are_joined_in_passes(spark, monkeypatch):
+    rule = RULES[1]
+    texts = near_copies(3, 16)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    shared, materialize = [], j.materialize
+
+    def kept(df):
+        if df.columns == ["sig", "node", "k"]:
+            shared.append({r["sig"] for r in df.select("sig").distinct().collect()})
+        return materialize(df)
+
+    monkeypatch.setattr(j, "materialize", kept)
+    monkeypatch.setattr(j, "PASS_ROWS", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.join(docs, rule).collect()}
+    assert got == brute(texts, rule)
+    assert len(shared) == j.PARTS and all(shared) and len(set().union(*shared)) == sum(map(len, shared))
+
+
+def test_rows_that_come_more_than_once_are_compared_once(spark):
+    long = " ".join(f"x{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, long)] * 30 + [(1, long)] * 20 + [(2, long + " y")] * 10, "doc_id long, text string")
+    index = j._index(docs, RULES[0])
+    texts = j._texts(docs, index, index.select("node").distinct()).collect()
+    assert sorted(r["text"] for r in texts) == [long, long + " y"]
+    assert {r["component_id"] for r in j.join(docs, RULES[0]).collect()} == {1}

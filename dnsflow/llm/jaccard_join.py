@@ -14,8 +14,9 @@ signatures once. A signature's sets are verified against one of them, the one th
 verifications and not n^2. Where that leaves sets of one signature in different components, a link between them has to show in what tells both from
 the centre: ``_remaining`` joins those differences, again by a pigeonhole. No candidate is dropped.
 
-Signatures, compared texts and differences are many times what is kept of them. Beyond ``PASS_ROWS`` signatures they are shuffled in passes, up to
-``PARTS`` over the signatures and half as many over the rest, dealt by a hash of what they are joined on; a pass's shuffles go before the next one.
+Signatures, compared texts and differences are many times what is kept of them. Beyond ``PASS_ROWS`` signatures these are shuffled in up to ``PARTS``
+passes; beyond four times as many, the others in up to half as many passes. Rows are dealt by a hash of what they are joined on; a pass's shuffles go
+before the next one starts.
 
 Nulls: a null text has no shingles; such texts and empty ones are linked with nothing. A null doc_id takes part, but never names a component;
 a component without any id has null. Rows that share a doc_id and a text are one; with different texts they are documents of their own.
@@ -357,9 +358,8 @@ def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
     """key, text_key, doc_id, n_shingles, label of every row; equal labels are linked, if there are shingles."""
     spark = docs.sparkSession
     signed = materialize(_index(docs, rule))
-    passes = _passes(signed.agg(F.sum("n_sigs")).first()[0] or 0)
-    shared = _shared(signed, passes)
-    passes = max(1, passes // 2)
+    rows = signed.agg(F.sum("n_sigs")).first()[0] or 0
+    shared, passes = _shared(signed, _passes(rows)), min(PARTS // 2, _passes(rows // 4))
     index = materialize(signed.drop("sigs", "n_sigs"))
     release(spark, signed)
     texts = materialize(_texts(docs, index, shared.select("node").distinct()))
